@@ -30,4 +30,4 @@ def load_all() -> None:
         importlib.import_module(f"{__package__}.{m}")
 
 
-MODULES = ["q_reports"]
+MODULES = ["q_reports", "q_functions"]

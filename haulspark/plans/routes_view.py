@@ -176,6 +176,8 @@ COLUMNS: dict[str, tuple] = {
     "actual_end": (lambda: _sched_end() + _mins((F.col("l_partkey") % 7 - 2) * 15), ()),
     "start_lat": (lambda: (F.col("s_nationkey") + 25).cast("double"), ("supplier",)),
     "start_lon": (lambda: (F.col("s_nationkey") * 2 - 120).cast("double"), ("supplier",)),
+    "start_nation": (lambda: F.col("s_nationkey"), ("supplier",)),
+    "end_nation": (lambda: F.col("c_nationkey"), ("orders", "customer")),
     "end_lat": (lambda: (F.col("c_nationkey") + 25).cast("double"), ("orders", "customer")),
     "end_lon": (lambda: (F.col("c_nationkey") * 2 - 120).cast("double"), ("orders", "customer")),
     "raw_phone": (_phone, ("orders",)),

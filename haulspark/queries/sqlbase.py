@@ -60,6 +60,8 @@ routes AS (
             + to_minutes(cast((l_partkey % 7 - 2) * 15 AS BIGINT)) AS actual_end,
     cast(s_nationkey + 25 AS DOUBLE) AS start_lat,
     cast(s_nationkey * 2 - 120 AS DOUBLE) AS start_lon,
+    s_nationkey AS start_nation,
+    c_nationkey AS end_nation,
     cast(c_nationkey + 25 AS DOUBLE) AS end_lat,
     cast(c_nationkey * 2 - 120 AS DOUBLE) AS end_lon,
     CASE o_custkey % 4

@@ -10,10 +10,10 @@ shuffle; AQE splits the skewed side of the join), never a window over a
 possibly-huge partition.
 """
 
-from __future__ import annotations
-
 from collections.abc import Callable
 
+import pandas as pd
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -67,7 +67,6 @@ def register_validator(name: str, fn: Callable[[Column, dict], tuple[Column, Col
 
 def python_validator(pred: Callable[[object, dict], bool]) -> Callable[[Column, dict], tuple[Column, Column]]:
     """Wrap a per-value Python predicate as a vectorised pandas UDF rule."""
-    import pandas as pd
 
     def make(v: Column, params: dict):
         @F.pandas_udf("boolean")

@@ -30,4 +30,4 @@ def load_all() -> None:
         importlib.import_module(f"{__package__}.{m}")
 
 
-MODULES = ["q_reports", "q_functions", "q_metrics", "q_validate", "q_entity", "q_joins", "q_geo", "q_text", "q_streaming", "q_monitor", "q_sources", "q_standardize"]
+MODULES = ["q_reports", "q_functions", "q_metrics", "q_validate", "q_entity", "q_joins", "q_geo", "q_text", "q_streaming", "q_monitor", "q_sources", "q_standardize", "q_windows", "q_jobs"]

@@ -122,3 +122,21 @@ def quarantine(rejects: DataFrame, reasons: Column, root: str, load_date: str) -
      .withColumn("rejected_at", F.lit(load_date).cast("timestamp_ntz"))
      .withColumn("load_date", F.lit(load_date).cast("date"))
      .write.mode("append").partitionBy("load_date").parquet(root))
+
+
+def scan_messages(msgs: DataFrame, since: str | None = None, senders: list[str] | None = None,
+                  subjects: list[str] | None = None, unread_only: bool = True) -> DataFrame:
+    """S10 (re-aimed on a landed message table): date, sender-in-list and
+    subject-contains-any predicates, case-insensitive, unread only."""
+    cond = F.lit(True)
+    if since:
+        cond = cond & (F.col("date") >= F.lit(since).cast("date"))
+    if senders:
+        s = F.lower(F.col("sender"))
+        cond = cond & F.exists(F.array(*[F.lit(x.lower()) for x in senders]), lambda x: F.contains(s, x))
+    if subjects:
+        t = F.lower(F.col("subject"))
+        cond = cond & F.exists(F.array(*[F.lit(x.lower()) for x in subjects]), lambda x: F.contains(t, x))
+    if unread_only:
+        cond = cond & ~F.col("seen")
+    return msgs.filter(cond)

@@ -142,7 +142,8 @@ def _status():
 
 # column -> (expression factory, dimensions it needs)
 COLUMNS: dict[str, tuple] = {
-    "route_key": (lambda: F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"), ()),
+    "route_key": (lambda: F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
+                                      F.date_format("l_shipdate", "yyyyMMdd")), ()),
     "order_key": (lambda: F.col("l_orderkey"), ()),
     "line_no": (lambda: F.col("l_linenumber"), ()),
     "route_date": (lambda: _ship().cast("date"), ()),

@@ -21,7 +21,7 @@ routes_base AS (
 ),
 routes AS (
   SELECT
-    concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS route_key,
+    concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, strftime(l_shipdate, '%Y%m%d')) AS route_key,
     l_orderkey AS order_key,
     l_linenumber AS line_no,
     cast(l_shipdate AS DATE) AS route_date,

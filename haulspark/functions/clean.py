@@ -133,8 +133,37 @@ def full_address(*parts) -> Column:
 
 
 # ---------------------------------------------------------------- C6-C8
+def _shape(fmt: str) -> str:
+    """A regular expression for the text shape a datetime pattern accepts
+    (digits per field letter), used to skip formats that cannot match
+    instead of letting the parser fail on every row."""
+    out, i = "^", 0
+    while i < len(fmt):
+        ch = fmt[i]
+        j = i
+        while j < len(fmt) and fmt[j] == ch:
+            j += 1
+        run = fmt[i:j]
+        if ch == "y":
+            out += r"\d{4}"
+        elif ch in "MdHms":
+            out += r"\d{1,2}"
+        elif ch == "S":
+            out += r"\d{1,%d}" % len(run)
+        elif ch == "'":
+            k = fmt.index("'", i + 1)
+            out += fmt[i + 1:k]
+            j = k + 1
+        else:
+            out += "\\" + ch if ch in ".^$*+?()[]{}|/\\" else ch
+        i = j
+    return out + "$"
+
+
 def _first_parse(x, formats) -> Column:
-    return F.coalesce(*[F.try_to_timestamp(c(x), F.lit(f)) for f in formats]).cast("timestamp_ntz")
+    v = c(x)
+    return F.coalesce(*[F.when(v.rlike(_shape(f)), F.try_to_timestamp(v, F.lit(f))) for f in formats]) \
+        .cast("timestamp_ntz")
 
 
 def clean_datetime(x) -> Column:

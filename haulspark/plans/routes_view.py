@@ -214,7 +214,7 @@ def routes(spark: SparkSession, sf_dir: str, columns=ALL_COLUMNS,
         dims.update(COLUMNS[c][1])
     if "customer" in dims:
         dims.add("orders")
-    li = table(spark, sf_dir, "lineitem")
+    li = table(spark, sf_dir, "lineitem", spread=True)
     if date_from is not None:
         li = li.filter(F.col("l_shipdate") >= F.lit(date_from).cast("timestamp_ntz"))
     if date_to is not None:

@@ -27,6 +27,14 @@ ENGINE_CONF = {
 }
 
 
+# Whole-stage codegen fuses a route's ~30 metric expressions into one Java
+# method; HotSpot does not JIT methods above 8000 bytecodes unless told to, and
+# an interpreted fused method is slower than no fusion at all.  JVMs started
+# by the engine get the flag; sessions created elsewhere fall back to Spark's
+# own limit (fused stages above HotSpot's size run unfused, still compiled).
+JIT_FLAG = "-XX:-DontCompileHugeMethods"
+
+
 def get_session(master: str | None = None, shuffle_partitions: int | None = None,
                 app: str = "haulspark") -> SparkSession:
     """Create (or reuse) a session with the engine defaults."""
@@ -35,6 +43,7 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
         b = b.master(master)
     for k, v in ENGINE_CONF.items():
         b = b.config(k, v)
+    b = b.config("spark.driver.extraJavaOptions", JIT_FLAG).config("spark.executor.extraJavaOptions", JIT_FLAG)
     if shuffle_partitions:
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     b = b.config("spark.driver.memory", os.environ.get("HAULSPARK_DRIVER_MEM", "16g"))
@@ -52,6 +61,9 @@ def apply_engine_conf(spark: SparkSession) -> None:
             spark.conf.set(k, v)
         except Exception:  # static conf on a running session
             pass
+    opts = spark.sparkContext.getConf().get("spark.driver.extraJavaOptions", "") or ""
+    if JIT_FLAG not in opts:
+        spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:

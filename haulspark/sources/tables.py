@@ -16,5 +16,19 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
           "conversations")
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
+    df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    return spread_if_narrow(df) if spread else df
+
+
+def spread_if_narrow(df: DataFrame) -> DataFrame:
+    """Round-robin a scan over the cluster's cores when it yields fewer input
+    partitions than there are cores (e.g. a file written as one Parquet row
+    group, which Spark cannot split).  Filters and column pruning still reach
+    the scan below the exchange.  A scan that is already wide -- any real
+    table at scale -- is returned unchanged, so no shuffle is added there.
+    Round-robin (not hash) so a hot key cannot land in one partition."""
+    target = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    return df.repartition(target)

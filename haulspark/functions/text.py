@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .clean import fold_ws
 from .numeric import c
+from ..operators.rows import keep_rows
 
 
 def strip_markup(x) -> Column:
@@ -27,7 +28,7 @@ def extract_rules(df: DataFrame, text: str, rules: dict[str, str], flags: str =
     for name in rules:
         h = F.col(name).isNotNull()
         any_hit = h if any_hit is None else (any_hit | h)
-    return out.filter(any_hit)
+    return keep_rows(out, any_hit)
 
 
 def extract_table(df: DataFrame, key: str, text: str, pattern: str, names: list[str]) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import count_if, div, fixed_avg, fixed_sum, nz, round2, truthy
+from .rows import keep_rows
 
 UNKNOWN = "Unknown"
 DEFAULT_CAPACITY = 40000.0
@@ -295,11 +296,11 @@ def revenue_efficiency_trend(fact: DataFrame) -> DataFrame:
     """Least-squares line of revenue on efficiency score and the fitted
     value of every route.  The line is a scalar subquery (one aggregate job,
     inlined as a literal) -- no join back to the fact."""
-    pts = fact.filter(F.col("efficiency_score").isNotNull() & F.col("revenue").isNotNull())
-    line = pts.agg(F.regr_slope("revenue", "efficiency_score").alias("slope"),
-                   F.regr_intercept("revenue", "efficiency_score").alias("intercept"))
-    slope = line.select("slope").scalar()
-    icpt = line.select("intercept").scalar()
+    pts = keep_rows(fact, F.col("efficiency_score").isNotNull() & F.col("revenue").isNotNull())
+    line = pts.agg(F.struct(F.regr_slope("revenue", "efficiency_score").alias("slope"),
+                            F.regr_intercept("revenue", "efficiency_score").alias("intercept")).alias("l"))
+    fit = line.select("l").scalar()
+    slope, icpt = fit["slope"], fit["intercept"]
     return pts.select("route_key", F.col("efficiency_score"),
                       F.round(slope, 6).alias("slope"), F.round(icpt, 4).alias("intercept"),
                       round2(slope * F.col("efficiency_score") + icpt).alias("fitted_revenue"))
@@ -369,14 +370,14 @@ def error_summary(errors: DataFrame, type_col: str = "error_type",
                   msg_col: str = "message") -> DataFrame:
     """Count and distinct messages per error type, and the most common
     type (ties -> alphabetically first).  Messages are counted, not collected,
-    so a type with millions of rows never becomes one in-memory list."""
+    so a type with millions of rows never becomes one in-memory list; the
+    ranking runs on the per-type rows only (one row per rule type)."""
     per_type = errors.groupBy(type_col).agg(
         F.count(F.lit(1)).alias("error_count"),
         F.count_distinct(msg_col).alias("distinct_messages"),
         F.min(msg_col).alias("example_message"))
-    top = per_type.agg(F.min_by(F.col(type_col), F.struct(-F.col("error_count"),
-                                                          F.col(type_col))).alias("t"))
-    return per_type.withColumn("is_most_common", F.col(type_col) == top.select("t").scalar())
+    w = Window.orderBy(F.col("error_count").desc(), F.col(type_col))
+    return per_type.withColumn("is_most_common", F.row_number().over(w) == 1)
 
 
 # --- A25 / A26 / A27 / A30 / A33: monthly & weekly templates ---------------------

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.clean import parse_date, to_float, to_int
+from .rows import keep_rows
 
 ERROR, WARNING = "error", "warning"
 
@@ -92,6 +93,30 @@ def _s(x: Column) -> Column:
     return x.cast("string")
 
 
+def _num(df_cols: set, f: str, vs: Column) -> Column:
+    return F.col(f"__num_{f}") if f"__num_{f}" in df_cols else to_float(vs)
+
+
+def _date(df_cols: set, f: str, vs: Column) -> Column:
+    return F.col(f"__date_{f}") if f"__date_{f}" in df_cols else parse_date(vs)
+
+
+def _conversions(rules: list[dict], cols: set) -> dict[str, Column]:
+    """Each field's number / date conversion, computed once per row as a
+    column (rules then reference it instead of re-parsing the text)."""
+    out = {}
+    for r in rules:
+        f, t, p = r["field"], r["type"], r.get("params", {})
+        if f not in cols:
+            continue
+        vs = _s(F.col(f))
+        if t in ("range", "positive") or (t == "type" and p.get("type") == "float"):
+            out[f"__num_{f}"] = to_float(vs)
+        if t == "date_range" or (t == "type" and p.get("type") == "date"):
+            out[f"__date_{f}"] = parse_date(vs)
+    return out
+
+
 def rule_check(df_cols: set, rule: dict, record: Column | None = None) -> tuple[Column, Column]:
     """(violated, suggested_value as text) of one rule."""
     f, t, p = rule["field"], rule["type"], rule.get("params", {})
@@ -105,14 +130,14 @@ def rule_check(df_cols: set, rule: dict, record: Column | None = None) -> tuple[
         if kind == "int":
             conv = to_int(vs)
         elif kind == "float":
-            conv = to_float(vs)
+            conv = _num(df_cols, f, vs)
         elif kind == "date":
-            conv = F.when(vs != "", parse_date(vs))
+            conv = F.when(vs != "", _date(df_cols, f, vs))
         else:
             return F.lit(False), vs
         return ~null & conv.isNull(), _s(conv)
     if t == "range":
-        x = to_float(vs)
+        x = _num(df_cols, f, vs)
         lo, hi = p.get("min"), p.get("max")
         bad, sug = x.isNull(), vs
         if lo is not None:
@@ -150,7 +175,7 @@ def rule_check(df_cols: set, rule: dict, record: Column | None = None) -> tuple[
         ok = F.length(F.regexp_replace(vs, r"[^0-9]", "")) == 10
         return ~null & ~ok, F.trim(vs)
     if t == "date_range":
-        d = parse_date(vs)
+        d = _date(df_cols, f, vs)
         lo = parse_date(F.lit(p["min_date"])) if p.get("min_date") else None
         hi = parse_date(F.lit(p["max_date"])) if p.get("max_date") else None
         bad, sug = d.isNull(), vs
@@ -160,7 +185,7 @@ def rule_check(df_cols: set, rule: dict, record: Column | None = None) -> tuple[
             bad, sug = bad | (d > hi), F.when(d > hi, _s(hi)).otherwise(sug)
         return ~null & bad, F.when(bad, sug).otherwise(_s(d))
     if t == "positive":
-        x = to_float(vs)
+        x = _num(df_cols, f, vs)
         return ~null & (x.isNull() | (x <= 0)), F.coalesce(_s(x), vs)
     if t == "unique":
         # resolved by with_findings via a grouped count; placeholder here
@@ -188,6 +213,9 @@ def with_findings(df: DataFrame, rules: list[dict] = ROUTE_RULES, out: str = "fi
         dup = (df.filter(F.col(f).isNotNull()).groupBy(f).agg(F.count(F.lit(1)).alias("_n"))
                .filter("_n > 1").select(f, F.lit(True).alias(f"__dup_{f}")))
         df = df.join(dup, f, "left").withColumn(f"__dup_{f}", F.coalesce(f"__dup_{f}", F.lit(False)))
+    conv = _conversions(rules, set(df.columns))
+    if conv:
+        df = df.withColumns(conv)
     cols = set(df.columns)
     items = []
     for r in rules:
@@ -195,7 +223,7 @@ def with_findings(df: DataFrame, rules: list[dict] = ROUTE_RULES, out: str = "fi
         v = F.col(r["field"]) if r["field"] in cols else F.lit(None).cast("string")
         items.append(F.when(F.coalesce(bad, F.lit(False)), _finding(r, sug, v)))
     out_df = df.withColumn(out, F.array_compact(F.array(*items)))
-    return out_df.drop(*[c for c in out_df.columns if c.startswith("__dup_")])
+    return out_df.drop(*[c for c in out_df.columns if c.startswith(("__dup_", "__num_", "__date_"))])
 
 
 def has_errors(findings: str = "findings") -> Column:
@@ -204,7 +232,7 @@ def has_errors(findings: str = "findings") -> Column:
 
 def split_valid(df: DataFrame, findings: str = "findings") -> tuple[DataFrame, DataFrame]:
     """(valid rows, invalid rows) by any error-severity finding."""
-    return df.filter(~has_errors(findings)), df.filter(has_errors(findings))
+    return keep_rows(df, ~has_errors(findings)), keep_rows(df, has_errors(findings))
 
 
 def batch_summary(df: DataFrame, findings: str = "findings") -> DataFrame:
@@ -221,8 +249,12 @@ def batch_summary(df: DataFrame, findings: str = "findings") -> DataFrame:
 
 def findings_report(df: DataFrame, key: str, findings: str = "findings") -> DataFrame:
     """One row per finding with its position in the record's list."""
-    return (df.select(key, F.posexplode(findings).alias("position", "f"))
-            .select(key, "position", "f.*"))
+    # inline() yields the columns directly: selecting fields of an exploded
+    # struct would let nested-column pruning copy the findings expression
+    # once per field below the generator.
+    fields = ["field_name", "rule_type", "severity", "message", "value", "suggested_value"]
+    rows = F.transform(F.col(findings), lambda x, i: F.struct(i.alias("position"), *[x[f].alias(f) for f in fields]))
+    return df.select(key, F.inline(rows))
 
 
 def post_transform_checks(routes: DataFrame, locations: DataFrame) -> DataFrame:

@@ -167,6 +167,26 @@ METRIC_COLUMNS = ("total_hours", "total_minutes", "driving_hours", "wait_hours",
                   "deadhead_percentage", "fuel_efficiency", "efficiency_score")
 
 
+_TIMES = {"actual_start", "actual_end", "scheduled_start", "scheduled_end"}
+_COORDS = {"start_lat", "start_lon", "end_lat", "end_lon"}
+_COSTS = {"total_miles", "vehicle_mpg", "driver_rate", "other_costs"} | _TIMES
+# view columns each metric reads (transitively)
+METRIC_INPUTS = {
+    "total_hours": _TIMES, "total_minutes": _TIMES, "driving_hours": _TIMES, "wait_hours": _TIMES,
+    "average_speed": _TIMES | {"total_miles"},
+    "calculated_distance": _COORDS, "distance_efficiency": _COORDS | {"total_miles"},
+    "est_fuel_cost": {"total_miles", "vehicle_mpg"}, "est_toll_cost": {"total_miles"},
+    "est_driver_pay": _TIMES | {"driver_rate"},
+    "maintenance_cost": {"total_miles"}, "insurance_cost": {"total_miles"},
+    "total_variable_costs": {"total_miles", "vehicle_mpg"}, "total_costs": _COSTS,
+    "profit": _COSTS | {"revenue"}, "profit_margin": _COSTS | {"revenue"},
+    "revenue_per_mile": {"revenue", "total_miles"}, "cost_per_mile": _COSTS | {"revenue"},
+    "deadhead_percentage": {"total_miles", "empty_miles"},
+    "fuel_efficiency": {"total_miles", "fuel_consumed"},
+    "efficiency_score": _COORDS | _TIMES | {"total_miles"},
+}
+
+
 def with_route_metrics(df: DataFrame, mpg_col: str | None = "vehicle_mpg",
                        rate_col: str | None = "driver_rate") -> DataFrame:
     """All metrics of a route in one projection.

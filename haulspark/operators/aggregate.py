@@ -19,6 +19,41 @@ from .rows import keep_rows
 UNKNOWN = "Unknown"
 DEFAULT_CAPACITY = 40000.0
 
+_DRV = ["driver_name", "total_miles", "revenue", "efficiency_score", "average_speed"]
+_LEDGER = ["route_key", "route_date", "revenue", "fuel_cost", "toll_cost", "driver_pay", "other_costs"]
+# Fact columns each aggregation reads (report_fact(need=...) joins only the
+# dimensions behind them).
+NEEDS = {
+    "driver_performance": _DRV + ["total_costs"],
+    "driver_metrics": _DRV, "driver_rating": _DRV, "monthly_driver_ranking": _DRV + ["route_date"],
+    "vehicle_utilization": ["vehicle_id", "total_miles", "load_weight", "fuel_consumed", "vehicle_capacity"],
+    "vehicle_metrics": ["vehicle_info", "total_miles", "fuel_consumed", "maintenance_cost"],
+    "vehicle_load": ["vehicle_id", "total_miles", "fuel_consumed", "load_weight", "vehicle_capacity"],
+    "vehicle_performance": ["vehicle_id", "total_miles", "fuel_consumed", "load_weight", "vehicle_capacity",
+                            "maintenance_cost", "total_costs"],
+    "period_summary": ["total_miles", "revenue", "total_costs"],
+    "customer_metrics": ["customer_name", "revenue", "total_miles"],
+    "customer_profitability": ["customer_name", "revenue", "total_costs"],
+    "weekly_customer_table": ["customer_id", "customer_name", "revenue", "total_miles", "total_costs",
+                              "customer_rating"],
+    "financial_summary": ["revenue", "fuel_cost", "driver_pay", "other_costs", "toll_cost", "total_miles"],
+    "daily_rollup": ["route_date", "total_miles", "revenue", "fuel_cost", "driver_pay", "other_costs"],
+    "revenue_trend": ["route_date", "revenue"],
+    "monthly_comparison": ["route_date", "revenue", "total_costs"],
+    "weekly_overview": ["route_date", "total_miles", "revenue", "total_costs", "fuel_efficiency"],
+    "cost_breakdown_categories": ["fuel_cost", "toll_cost", "driver_pay", "total_miles", "other_costs"],
+    "status_distribution": ["status"],
+    "driver_totals": ["driver_name", "revenue", "total_miles"],
+    "vehicle_mpg": ["vehicle_info", "total_miles", "fuel_consumed"],
+    "revenue_efficiency_trend": ["route_key", "efficiency_score", "revenue"],
+    "kpis": ["revenue", "total_miles", "total_costs", "efficiency_score", "average_speed", "route_date"],
+    "financial_ledger": _LEDGER, "financial_analysis": _LEDGER,
+    "month_over_month": ["route_date", "revenue", "efficiency_score"],
+    "operational_vs_target": ["route_date", "efficiency_score", "deadhead_percentage", "average_speed"],
+    "weekly_driver_table": ["driver_id", "driver_name", "total_miles", "revenue", "average_speed",
+                            "efficiency_score", "driver_safety"],
+}
+
 
 def _s(x) -> Column:
     return fixed_sum(nz(x))

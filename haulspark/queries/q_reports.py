@@ -19,10 +19,10 @@ YEAR = ("1996-01-01", "1996-12-31")
 EMPTY = ("1990-01-01", "1990-01-31")
 
 
-def _fact(spark, sf, period=None):
+def _fact(spark, sf, period=None, need=None):
     if period is None:
-        return report_fact(spark, sf)
-    return report_fact(spark, sf, *period)
+        return report_fact(spark, sf, need=need)
+    return report_fact(spark, sf, *period, need=need)
 
 
 def _where(period) -> str:
@@ -60,7 +60,7 @@ FROM (SELECT driver_name, count(*) AS total_routes, {fsum(nz('total_miles'))} AS
              count(*) FILTER (WHERE coalesce(efficiency_score, 0) >= 80) AS ot
       FROM route_metrics GROUP BY driver_name)"""))
 def a1(spark, sf):
-    return A.driver_performance(_fact(spark, sf))
+    return A.driver_performance(_fact(spark, sf, need=A.NEEDS["driver_performance"]))
 
 
 # ---------------------------------------------------------------- A2
@@ -74,7 +74,7 @@ FROM (SELECT vehicle_id, count(*) AS total_routes, {fsum(nz('total_miles'))} AS
              coalesce(max(vehicle_capacity), 40000.0) AS cap
       FROM route_metrics GROUP BY vehicle_id)"""))
 def a2(spark, sf):
-    return A.vehicle_utilization(_fact(spark, sf))
+    return A.vehicle_utilization(_fact(spark, sf, need=A.NEEDS["vehicle_utilization"]))
 
 
 # ---------------------------------------------------------------- A3
@@ -91,7 +91,7 @@ FROM (SELECT count(*) AS n, {fsum(nz('total_miles'))} AS m, {fsum(nz('revenue'))
 
 @register("A3_period_summary", with_routes(A3_SQL_BODY.format(where="")))
 def a3(spark, sf):
-    return A.period_summary(_fact(spark, sf))
+    return A.period_summary(_fact(spark, sf, need=A.NEEDS["period_summary"]))
 
 
 # ---------------------------------------------------------------- A4 / A5
@@ -109,13 +109,13 @@ FROM (SELECT coalesce(driver_name, 'Unknown') AS name, count(*) AS route_count,
 
 @register("A4_driver_metrics", with_routes(A4_SQL_BODY.format(extra="", where="")))
 def a4(spark, sf):
-    return A.driver_metrics(_fact(spark, sf))
+    return A.driver_metrics(_fact(spark, sf, need=A.NEEDS["driver_metrics"]))
 
 
 @register("A5_driver_rating", with_routes(A4_SQL_BODY.format(
     extra=", " + r2("(coalesce(e, 0.0) + coalesce(v, 0.0) / 10) / 2") + " AS rating", where="")))
 def a5(spark, sf):
-    return A.driver_rating(_fact(spark, sf))
+    return A.driver_rating(_fact(spark, sf, need=A.NEEDS["driver_rating"]))
 
 
 # ---------------------------------------------------------------- A6 / A7 / A29
@@ -128,7 +128,7 @@ FROM (SELECT coalesce(vehicle_info, 'Unknown') AS vehicle, count(*) AS route_cou
              {fsum(nz('maintenance_cost'))} AS mc
       FROM route_metrics GROUP BY 1)"""))
 def a6(spark, sf):
-    return A.vehicle_metrics(_fact(spark, sf))
+    return A.vehicle_metrics(_fact(spark, sf, need=A.NEEDS["vehicle_metrics"]))
 
 
 @register("A7_vehicle_load", with_routes(f"""
@@ -140,7 +140,7 @@ FROM (SELECT vehicle_id, count(*) AS route_count, {fsum(nz('total_miles'))} AS m
              {fsum('coalesce(vehicle_capacity, 40000.0)')} AS cap
       FROM route_metrics GROUP BY vehicle_id)"""))
 def a7(spark, sf):
-    return A.vehicle_load(_fact(spark, sf))
+    return A.vehicle_load(_fact(spark, sf, need=A.NEEDS["vehicle_load"]))
 
 
 @register("A29_vehicle_performance", with_routes(f"""
@@ -154,7 +154,7 @@ FROM (SELECT vehicle_id, count(*) AS route_count, {fsum(nz('total_miles'))} AS m
              {fsum(nz('maintenance_cost'))} AS mc, {fsum(nz('total_costs'))} AS tc
       FROM route_metrics GROUP BY vehicle_id)"""))
 def a29(spark, sf):
-    return A.vehicle_performance(_fact(spark, sf))
+    return A.vehicle_performance(_fact(spark, sf, need=A.NEEDS["vehicle_performance"]))
 
 
 # ---------------------------------------------------------------- A8 / A28 / A34
@@ -166,7 +166,7 @@ FROM (SELECT coalesce(customer_name, 'Unknown') AS cust, count(*) AS route_count
              {fsum(nz('revenue'))} AS r, {fsum(nz('total_miles'))} AS m
       FROM route_metrics GROUP BY 1)"""))
 def a8(spark, sf):
-    return A.customer_metrics(_fact(spark, sf))
+    return A.customer_metrics(_fact(spark, sf, need=A.NEEDS["customer_metrics"]))
 
 
 @register("A28_customer_profitability", with_routes(f"""
@@ -178,7 +178,7 @@ FROM (SELECT coalesce(customer_name, 'Unknown') AS cust, count(*) AS route_count
              {fsum(nz('revenue'))} AS r, {fsum(nz('total_costs'))} AS tc
       FROM route_metrics GROUP BY 1)"""))
 def a28(spark, sf):
-    return A.customer_profitability(_fact(spark, sf))
+    return A.customer_profitability(_fact(spark, sf, need=A.NEEDS["customer_profitability"]))
 
 
 @register("A34_weekly_customer_table", with_routes(f"""
@@ -189,7 +189,7 @@ FROM (SELECT customer_id, customer_name, count(*) AS routes, {fsum(nz('revenue')
              max(customer_rating) AS rating
       FROM route_metrics {_where(WEEK)} AND customer_id IS NOT NULL GROUP BY 1, 2)"""))
 def a34(spark, sf):
-    return A.weekly_customer_table(_fact(spark, sf, WEEK))
+    return A.weekly_customer_table(_fact(spark, sf, WEEK, need=A.NEEDS["weekly_customer_table"]))
 
 
 # ---------------------------------------------------------------- A9
@@ -205,7 +205,7 @@ FROM (SELECT {fsum(nz('revenue'))} AS r, {fsum(nz('fuel_cost'))} AS f, {fsum(nz(
              {fsum(nz('other_costs'))} AS o, {fsum(nz('toll_cost'))} AS t,
              {fsum(nz('total_miles'))} AS m FROM route_metrics)"""))
 def a9(spark, sf):
-    return A.financial_summary(_fact(spark, sf))
+    return A.financial_summary(_fact(spark, sf, need=A.NEEDS["financial_summary"]))
 
 
 # ---------------------------------------------------------------- A10 / A11 / A16 / A17 / A32
@@ -220,13 +220,13 @@ FROM (SELECT route_date, count(*) AS routes, {fsum(nz('total_miles'))} AS m,
 
 @register("A10_daily_rollup", with_routes(A10_SQL))
 def a10(spark, sf):
-    return A.daily_rollup(_fact(spark, sf))
+    return A.daily_rollup(_fact(spark, sf, need=A.NEEDS["daily_rollup"]))
 
 
 @register("A11_revenue_trend", with_routes(
     f"SELECT route_date, {r2(fsum(nz('revenue')))} AS revenue FROM route_metrics GROUP BY route_date"))
 def a11(spark, sf):
-    return A.revenue_trend(_fact(spark, sf))
+    return A.revenue_trend(_fact(spark, sf, need=A.NEEDS["revenue_trend"]))
 
 
 @register("A16_monthly_comparison", with_routes(f"""
@@ -234,7 +234,7 @@ SELECT month, {r2('r')} AS revenue, {r2('c')} AS costs, {r2('r - c')} AS profit
 FROM (SELECT cast(date_trunc('month', route_date) AS DATE) AS month, {fsum(nz('revenue'))} AS r,
              {fsum(nz('total_costs'))} AS c FROM route_metrics GROUP BY 1)"""))
 def a16(spark, sf):
-    return A.monthly_comparison(_fact(spark, sf))
+    return A.monthly_comparison(_fact(spark, sf, need=A.NEEDS["monthly_comparison"]))
 
 
 @register("A17_summary_rows", with_routes(f"""
@@ -247,7 +247,7 @@ SELECT 'AVERAGE', NULL, {r2(fsum('miles') + ' / count(miles)')}, {r2(fsum('reven
        {r2(fsum('costs') + ' / count(costs)')}, {r2(fsum('profit') + ' / count(profit)')} FROM d""".replace(
     "\n, d AS", ", d AS", 1)))
 def a17(spark, sf):
-    return A.with_summary_rows(A.daily_rollup(_fact(spark, sf)),
+    return A.with_summary_rows(A.daily_rollup(_fact(spark, sf, need=A.NEEDS["daily_rollup"])),
                                ["miles", "revenue", "costs", "profit"], "route_date")
 
 
@@ -261,7 +261,7 @@ SELECT CASE WHEN grouping_row THEN 'total' ELSE 'detail' END AS row_kind, route_
        {r2('CASE WHEN r > 0 THEN (r - c) / r ELSE 0.0 END * 100')} AS profit_margin, {r2('mpg')} AS avg_mpg
 FROM (SELECT *, route_date IS NULL AS grouping_row FROM g)"""))
 def a32(spark, sf):
-    return A.weekly_overview(_fact(spark, sf))
+    return A.weekly_overview(_fact(spark, sf, need=A.NEEDS["weekly_overview"]))
 
 
 # ---------------------------------------------------------------- A12 / A13 / A14 / A15
@@ -277,20 +277,20 @@ s AS (SELECT fuel + tolls + driver_pay + maintenance + insurance + other AS tota
 SELECT category, {r2('amount')} AS amount, {r2('amount / total * 100')} AS share_pct
 FROM l, s WHERE amount > 0"""))
 def a12(spark, sf):
-    return A.cost_breakdown_categories(_fact(spark, sf))
+    return A.cost_breakdown_categories(_fact(spark, sf, need=A.NEEDS["cost_breakdown_categories"]))
 
 
 @register("A13_status_distribution", with_routes(
     "SELECT status, count(*) AS route_count FROM route_metrics GROUP BY status"))
 def a13(spark, sf):
-    return A.status_distribution(_fact(spark, sf))
+    return A.status_distribution(_fact(spark, sf, need=A.NEEDS["status_distribution"]))
 
 
 @register("A14_driver_totals", with_routes(
     f"SELECT driver_name, {r2(fsum(nz('revenue')))} AS revenue, {r2(fsum(nz('total_miles')))} AS miles "
     "FROM route_metrics GROUP BY driver_name"))
 def a14d(spark, sf):
-    return A.driver_totals(_fact(spark, sf))
+    return A.driver_totals(_fact(spark, sf, need=A.NEEDS["driver_totals"]))
 
 
 @register("A14_vehicle_mpg", with_routes(f"""
@@ -298,7 +298,7 @@ SELECT vehicle_info, {r2('CASE WHEN f > 0 THEN m / f ELSE 0.0 END')} AS mpg
 FROM (SELECT vehicle_info, {fsum(nz('total_miles'))} AS m, {fsum(nz('fuel_consumed'))} AS f
       FROM route_metrics GROUP BY vehicle_info)"""))
 def a14v(spark, sf):
-    return A.vehicle_mpg(_fact(spark, sf))
+    return A.vehicle_mpg(_fact(spark, sf, need=A.NEEDS["vehicle_mpg"]))
 
 
 @register("A15_revenue_trend_line", with_routes("""
@@ -309,7 +309,7 @@ SELECT route_key, efficiency_score, round(slope, 6) AS slope, round(intercept, 4
        round_even((slope * efficiency_score + intercept) * 100, 0) / 100 AS fitted_revenue
 FROM p, l"""))
 def a15(spark, sf):
-    return A.revenue_efficiency_trend(_fact(spark, sf))
+    return A.revenue_efficiency_trend(_fact(spark, sf, need=A.NEEDS["revenue_efficiency_trend"]))
 
 
 # ---------------------------------------------------------------- A18 / A19 / A20
@@ -340,7 +340,7 @@ FROM route_metrics {_where(MONTH)}"""
 
 @register("A18_kpi_metrics", with_routes(A18_SQL))
 def a18(spark, sf):
-    return A.kpis(_fact(spark, sf, MONTH), MONTHLY_KPIS)
+    return A.kpis(_fact(spark, sf, MONTH, need=A.NEEDS["kpis"]), MONTHLY_KPIS)
 
 
 @register("A19_formula_kpis", with_routes(f"""
@@ -349,7 +349,7 @@ SELECT *, {r2('(total_revenue - total_costs) / nullif(total_revenue, 0) * 100')}
        {r2('total_costs / nullif(total_miles, 0)')} AS cost_per_mile
 FROM ({A18_SQL})"""))
 def a19(spark, sf):
-    return A.formula_kpis(A.kpis(_fact(spark, sf, MONTH), MONTHLY_KPIS), MONTHLY_FORMULAS)
+    return A.formula_kpis(A.kpis(_fact(spark, sf, MONTH, need=A.NEEDS["kpis"]), MONTHLY_KPIS), MONTHLY_FORMULAS)
 
 
 @register("A20_per_route_averages", with_routes(f"""
@@ -359,7 +359,7 @@ SELECT total_routes, {r2('total_revenue / greatest(total_routes, 1)')} AS revenu
        {r2('total_profit / greatest(total_routes, 1)')} AS profit_per_route
 FROM ({A3_SQL_BODY.format(where='')})"""))
 def a20(spark, sf):
-    return A.per_route_averages(A.period_summary(_fact(spark, sf)))
+    return A.per_route_averages(A.period_summary(_fact(spark, sf, need=A.NEEDS["period_summary"])))
 
 
 # ---------------------------------------------------------------- A21
@@ -384,7 +384,7 @@ FROM (SELECT cast(date_trunc('month', route_date) AS DATE) AS month,
                / count(CASE WHEN average_speed <> 0 THEN 1 END) AS v
       FROM route_metrics GROUP BY 1, 2)"""))
 def a25(spark, sf):
-    return A.monthly_driver_ranking(_fact(spark, sf))
+    return A.monthly_driver_ranking(_fact(spark, sf, need=A.NEEDS["monthly_driver_ranking"]))
 
 
 _LEDGER_UNION = " UNION ALL ".join(
@@ -398,7 +398,7 @@ SELECT route_key, route_date AS transaction_date,
        category, {r2('amount')} AS amount
 FROM ({_LEDGER_UNION}) WHERE amount IS NOT NULL AND amount <> 0"""))
 def a31(spark, sf):
-    return A.financial_ledger(_fact(spark, sf))
+    return A.financial_ledger(_fact(spark, sf, need=A.NEEDS["financial_ledger"]))
 
 
 @register("A26_financial_analysis", with_routes(f"""
@@ -413,7 +413,7 @@ SELECT category, month, {r2('cur')} AS current_amount, {r2('prev')} AS previous_
        {r2('cur - prev')} AS change, {r2('(cur - prev) / nullif(prev, 0) * 100')} AS pct_change,
        {r2('ytd')} AS year_to_date FROM w"""))
 def a26(spark, sf):
-    return A.financial_analysis(_fact(spark, sf))
+    return A.financial_analysis(_fact(spark, sf, need=A.NEEDS["financial_analysis"]))
 
 
 @register("A27_month_over_month", with_routes(f"""
@@ -427,7 +427,7 @@ SELECT month, {r2('r')} AS revenue, routes, {r2('e')} AS avg_efficiency,
        {r2('(routes - pn) / nullif(pn, 0) * 100')} AS routes_growth,
        {r2('(e - pe) / nullif(pe, 0) * 100')} AS efficiency_growth FROM w"""))
 def a27(spark, sf):
-    return A.month_over_month(_fact(spark, sf))
+    return A.month_over_month(_fact(spark, sf, need=A.NEEDS["month_over_month"]))
 
 
 _TARGETS_SQL = " UNION ALL ".join(f"SELECT '{k}' AS metric, {v} AS target"
@@ -455,7 +455,7 @@ SELECT month, metric, actual, cast(target AS DOUBLE) AS target, {r2('actual - ta
 def a30(spark, sf):
     targets = spark.createDataFrame([(k, float(v)) for k, v in A.OPERATIONAL_TARGETS.items()],
                                     "metric string, target double")
-    return A.operational_vs_target(_fact(spark, sf), targets)
+    return A.operational_vs_target(_fact(spark, sf, need=A.NEEDS["operational_vs_target"]), targets)
 
 
 @register("A33_weekly_driver_table", with_routes(f"""
@@ -472,13 +472,13 @@ FROM (SELECT driver_id, driver_name, count(*) AS routes, {fsum(nz('total_miles')
              max(driver_safety) AS safety_score
       FROM route_metrics {_where(WEEK)} GROUP BY 1, 2)"""))
 def a33(spark, sf):
-    return A.weekly_driver_table(_fact(spark, sf, WEEK))
+    return A.weekly_driver_table(_fact(spark, sf, WEEK, need=A.NEEDS["weekly_driver_table"]))
 
 
 # ---------------------------------------------------------------- R4-R8 bundles (summary sections)
 @register("R4_daily_report", with_routes(A3_SQL_BODY.format(where=_where(DAY))))
 def r4(spark, sf):
-    return A.period_summary(_fact(spark, sf, DAY))
+    return A.period_summary(_fact(spark, sf, DAY, need=A.NEEDS["period_summary"]))
 
 
 @register("R5_weekly_report", with_routes(f"""
@@ -488,24 +488,24 @@ FROM (SELECT route_date, count(*) AS routes, {fsum(nz('total_miles'))} AS m, {fs
              {fsum(nz('fuel_cost') + ' + ' + nz('driver_pay') + ' + ' + nz('other_costs'))} AS c
       FROM route_metrics {_where(WEEK)} GROUP BY route_date)"""))
 def r5(spark, sf):
-    return A.daily_rollup(_fact(spark, sf, WEEK))
+    return A.daily_rollup(_fact(spark, sf, WEEK, need=A.NEEDS["daily_rollup"]))
 
 
 @register("R6_monthly_report", with_routes(A4_SQL_BODY.format(extra="", where=_where(MONTH))))
 def r6(spark, sf):
-    return A.driver_metrics(_fact(spark, sf, MONTH))
+    return A.driver_metrics(_fact(spark, sf, MONTH, need=A.NEEDS["driver_metrics"]))
 
 
 @register("R7_custom_period_report", with_routes(A3_SQL_BODY.format(where=_where(YEAR))))
 def r7(spark, sf):
-    return A.period_summary(_fact(spark, sf, YEAR))
+    return A.period_summary(_fact(spark, sf, YEAR, need=A.NEEDS["period_summary"]))
 
 
 @register("R8_empty_period", with_routes(A3_SQL_BODY.format(where=_where(EMPTY))))
 def r8(spark, sf):
-    return A.period_summary(_fact(spark, sf, EMPTY))
+    return A.period_summary(_fact(spark, sf, EMPTY, need=A.NEEDS["period_summary"]))
 
 
 def flagship(spark, sf):
     """entry(): the monthly summary row of the report bundle."""
-    return A.period_summary(_fact(spark, sf, MONTH))
+    return A.period_summary(_fact(spark, sf, MONTH, need=A.NEEDS["period_summary"]))

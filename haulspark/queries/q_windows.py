@@ -21,7 +21,7 @@ FROM ({A4_SQL_BODY.format(extra='', where='')})"""))
 def w3(spark, sf):
     """Rank drivers by mean efficiency -- after aggregation (one row per
     driver), never over the fact."""
-    d = A.driver_metrics(report_fact(spark, sf))
+    d = A.driver_metrics(report_fact(spark, sf, need=A.NEEDS["driver_metrics"]))
     return d.select("name", "efficiency", F.rank().over(Window.orderBy(F.col("efficiency").desc())).alias("rank"))
 
 
@@ -34,7 +34,7 @@ SELECT route_date, revenue,
 FROM d, s""".replace("\n, d AS", ", d AS", 1)))
 def w6(spark, sf):
     """Colour bands (min / median / max) and data bars of daily revenue."""
-    daily = A.revenue_trend(report_fact(spark, sf))
+    daily = A.revenue_trend(report_fact(spark, sf, need=A.NEEDS["revenue_trend"]))
     return W.percentile_bands(daily, "revenue")
 
 
@@ -51,7 +51,7 @@ SELECT driver_name, {r2(fsum('coalesce(revenue, 0)'))} AS revenue FROM routes GR
 ORDER BY {fsum('coalesce(revenue, 0)')} DESC, driver_name LIMIT 5"""))
 def t2(spark, sf):
     """Top 5 drivers by revenue (top-k is the feature; ties by name)."""
-    d = A.driver_totals(report_fact(spark, sf))
+    d = A.driver_totals(report_fact(spark, sf, need=A.NEEDS["driver_totals"]))
     return W.top_k(d.select("driver_name", "revenue"), [F.col("revenue").desc(), "driver_name"], 5)
 
 

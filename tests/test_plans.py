@@ -35,3 +35,25 @@ def test_validation_is_one_projection_without_python(spark):
 def test_aggregates_are_partial_before_shuffle(spark):
     p = _plan(A.driver_metrics(report_fact(spark, SF_SMALL)))
     assert p.count("HashAggregate") >= 2
+
+
+def test_radius_search_is_an_equi_join(spark):
+    import __spark_entry__ as E
+    df = E.queries()["G4_within_radius"](spark, SF_SMALL)
+    p = _plan(df)
+    assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p
+    assert "cell_lat" in p and ("SortMergeJoin" in p or "BroadcastHashJoin" in p)
+
+
+def test_summary_joins_only_needed_dimensions(spark):
+    import __spark_entry__ as E
+    p = _plan(E.queries()["A3_period_summary"](spark, SF_SMALL))
+    assert "part.parquet" in p and "orders.parquet" not in p and "customer.parquet" not in p
+    assert "supplier.parquet" not in p
+
+
+def test_filter_on_computed_column_is_not_duplicated(spark):
+    import __spark_entry__ as E
+    p = _plan(E.queries()["A15_revenue_trend_line"](spark, SF_SMALL))
+    # the efficiency score is computed in the projection, not copied into a pushed-down Filter
+    assert "Generate" in p

@@ -32,6 +32,9 @@ ENGINE_CONF = {
 # an interpreted fused method is slower than no fusion at all.  JVMs started
 # by the engine get the flag; sessions created elsewhere fall back to Spark's
 # own limit (fused stages above HotSpot's size run unfused, still compiled).
+# Python workers import the package from here (a cluster has it installed or shipped).
+PACKAGE_ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+
 JIT_FLAG = "-XX:-DontCompileHugeMethods"
 
 
@@ -61,25 +64,28 @@ def apply_engine_conf(spark: SparkSession) -> None:
             spark.conf.set(k, v)
         except Exception:  # static conf on a running session
             pass
-    opts = spark.sparkContext.getConf().get("spark.driver.extraJavaOptions", "") or ""
+    sc = spark.sparkContext
+    sc.environment["PYTHONPATH"] = os.pathsep.join(dict.fromkeys(
+        [PACKAGE_ROOT, *filter(None, sc.environment.get("PYTHONPATH", "").split(os.pathsep))]))
+    opts = sc.getConf().get("spark.driver.extraJavaOptions", "") or ""
     if JIT_FLAG not in opts:
         spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder, setting a local one only if unset."""
-    d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        d = spark.sparkContext.getCheckpointDir()
+    """Return the shared checkpoint folder of ``spark.checkpoint.dir``.
+
+    Only a local master may go without the setting (tests): it gets a fresh
+    folder under the system's temporary one.  On a cluster that would be a
+    machine-local folder, so a missing setting is an error there."""
+    sc = spark.sparkContext
+    d = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not d:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         d = tempfile.mkdtemp(prefix="haulspark-ckpt-")
-        spark.sparkContext.setCheckpointDir(d)
-        spark.conf.set("spark.checkpoint.dir", d)
-    else:
-        try:
-            spark.sparkContext.setCheckpointDir(d)
-        except Exception:
-            pass
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(d)
     return d
 
 

@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from haulspark.llm.frames import carry, pick, restore
+from haulspark.operators.rows import keep_rows
 
 WORD = r"[^\x20\x09-\x0D]+"
 BLANKS = " \t\n\x0b\x0c\r"
@@ -142,4 +143,5 @@ def keep_clean(docs: DataFrame, base=BASE_RULES, rules=RULES, text_col: str = "t
     The text is the only input column the rules read; the others are carried."""
     names = docs.columns
     judged = _judged(carry(docs, text=text_col), base, rules)
-    return restore(judged.filter("kept"), names)
+    # a plain filter would be pushed below the projections with their expressions copied into it
+    return restore(keep_rows(judged, F.col("kept")), names)

@@ -32,6 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from haulspark.llm.frames import pick
+from haulspark.operators.rows import keep_rows
 
 WORDS = 4  # 64-bit words of a block
 PROBES = 6  # bits set for a url in its block
@@ -135,15 +136,15 @@ def judge(pages: DataFrame, blocklist: DataFrame, rules=DEFAULT_RULES,
     bloom = build_filter(listed, blocks)
     df = parsed(pages, rules, id_col, url_col)
     asks = F.col("ruled").isNull() & F.col("canonical_url").isNotNull()
-    ask, rest = df.filter(asks), df.filter(~asks)
+    ask, rest = keep_rows(df, asks), keep_rows(df, ~asks)
     block, masks = _block_and_mask(F.col("canonical_url"), blocks)
     probe = ask.withColumns({"block": block} | {f"m{w}": m for w, m in enumerate(masks)})
     hit = reduce(lambda a, b: a & b, [
         F.coalesce(F.col(f"w{w}"), F.lit(0)).bitwiseAND(F.col(f"m{w}")) == F.col(f"m{w}") for w in range(WORDS)])
     probed = probe.join(bloom, "block", "left").withColumn("possible", hit)
     plain = ("page_id", "host", "path", "canonical_url", "ruled")
-    misses = probed.filter("NOT possible").select(*plain, F.lit(False).alias("listed"))
-    exact = probed.filter("possible").select(*plain).join(
+    misses = keep_rows(probed, ~F.col("possible")).select(*plain, F.lit(False).alias("listed"))
+    exact = keep_rows(probed, F.col("possible")).select(*plain).join(
         listed.select(F.col("url").alias("canonical_url"), F.lit(True).alias("found")), "canonical_url", "left")
     hits = exact.select(*plain, F.coalesce("found", F.lit(False)).alias("listed"))
     out = rest.select(*plain, F.when(F.col("ruled").isNull(), F.lit(False)).alias("listed")).unionByName(misses).unionByName(hits)

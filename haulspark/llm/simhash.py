@@ -327,7 +327,9 @@ def clusters(docs: DataFrame, shingle: int = 4, max_bits: int = MAX_BITS, block:
     ensure_checkpoint_dir(docs.sparkSession)
     prints = fingerprints(docs, shingle, id_col, text_col).checkpoint()
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
-    return prints.join(_roots(prints, max_bits, block), "fp").select(
+    # a table of its own, so that both sides of the join are dealt anew and a hot fingerprint can be split
+    roots = _roots(prints, max_bits, block).checkpoint()
+    return prints.join(roots, "fp").select(
         "doc_id", hexed.alias("fingerprint"), "component_id", "root")
 
 

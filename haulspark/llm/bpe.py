@@ -39,10 +39,12 @@ from pyspark.sql import functions as F
 
 from haulspark.llm.frames import grown, pick, small_batches
 
-PIECES_KEPT = 500_000
+PIECES_KEPT = 400_000
 STATES_KEPT = 300_000
 LONG_TEXT = 1 << 20
 NEVER = 1 << 40
+NODE = 24  # bits of a tree node
+TREE = (1 << NODE) - 1
 REPLACEMENT = "�"
 
 
@@ -59,73 +61,98 @@ class Codec:
         self.tokens = {i: t for t, i in self.ranks.items()}
         self.pattern = regex.compile(pattern)
         self.longest = max(map(len, self.ranks), default=1)
-        self.prefixes = {t[:n] for t in self.ranks for n in range(1, len(t))}
         self.whole = {i for t, i in self.ranks.items() if _is_whole(t)}
-        self.edges: dict[bytes, tuple | None] = {}
-        self.pairs: dict[tuple[int, bytes], bool] = {}
+        self.edges: dict[int, tuple | None] = {}
+        self.pairs: dict[int, bool] = {}
         self.pieces: dict[str, bytes] = {}
+        self.child: dict[int, int] = {}  # node << 8 | byte -> node
         self._restart()
 
     # -- transducer -------------------------------------------------------
 
+    def _plant(self) -> None:
+        """The tree of token prefixes; only encoders need it."""
+        self.token_at, self.inner, self.depth = [-1], bytearray(1), [0]
+        for token, i in self.ranks.items():
+            node = 0
+            for byte in token:
+                self.inner[node] = 1
+                down = self.child.get(node << 8 | byte)
+                if down is None:
+                    down = self.child[node << 8 | byte] = len(self.token_at)
+                    self.token_at.append(-1)
+                    self.inner.append(0)
+                    self.depth.append(self.depth[node] + 1)
+                node = down
+            self.token_at[node] = i
+
     def _restart(self) -> None:
-        start = ((-1, b""),)
-        self.states: list[tuple] = [start]
-        self.number = {start: 0}
+        # a configuration is (last token + 1) << NODE | tree node; a state is a tuple of them
+        self.states: list[tuple] = [(0,)]
+        self.number = {(0,): 0}
         self.moves: dict[int, int] = {}  # state << 8 | byte -> next state << 32 | token
 
-    def _edges(self, token: bytes) -> tuple[list, list] | None:
+    def _edges(self, i: int) -> tuple[list, list] | None:
         """How a token's first and last part grow while its bytes are merged by
         rank, as (part, rank of its merge, rank of the merge that takes it up);
         None if merging does not give the token back."""
-        if token in self.edges:
-            return self.edges[token]
-        parts = [token[i:i + 1] for i in range(len(token))]
+        if i in self.edges:
+            return self.edges[i]
+        token = self.tokens[i]
+        parts = [token[k:k + 1] for k in range(len(token))]
         left, right = [(parts[0], -1)], [(parts[-1], -1)]
         while len(parts) > 1:
-            rank, at = min((self.ranks.get(parts[i] + parts[i + 1], NEVER), i) for i in range(len(parts) - 1))
+            rank, at = min((self.ranks.get(parts[k] + parts[k + 1], NEVER), k) for k in range(len(parts) - 1))
             if rank == NEVER:
-                self.edges[token] = None
+                self.edges[i] = None
                 return None
             if at == 0:
                 left.append((parts[0] + parts[1], rank))
             if at == len(parts) - 2:
                 right.append((parts[-2] + parts[-1], rank))
             parts[at:at + 2] = [parts[at] + parts[at + 1]]
-        spans = [[(x, born, chain[i + 1][1] if i + 1 < len(chain) else NEVER) for i, (x, born) in enumerate(chain)]
+        spans = [[(x, born, chain[k + 1][1] if k + 1 < len(chain) else NEVER) for k, (x, born) in enumerate(chain)]
                  for chain in (left, right)]
-        self.edges[token] = spans[0], spans[1]
-        return self.edges[token]
+        self.edges[i] = spans[0], spans[1]
+        return self.edges[i]
 
-    def _may_follow(self, last: int, token: bytes) -> bool:
+    def _may_follow(self, last: int, token: int) -> bool:
         """Whether ``token`` may come after ``last`` (-1: at the start): no merge
         across the border comes before the merges that build the two tokens."""
         after = self._edges(token)
         if last < 0 or after is None:
             return after is not None
-        ok = self.pairs.get((last, token))
+        ok = self.pairs.get(last << 32 | token)
         if ok is None:
             if len(self.pairs) > STATES_KEPT:
                 self.pairs.clear()
-            ok = self.pairs[last, token] = not any(
-                born_x < gone_y and born_y < gone_x and (rank := self.ranks.get(x + y, NEVER)) < gone_x and rank <= gone_y
-                and rank != NEVER
-                for x, born_x, gone_x in self._edges(self.tokens[last])[1] for y, born_y, gone_y in after[0])
+            rank_of = self.ranks.get
+            ok = True
+            for x, born_x, gone_x in self._edges(last)[1]:
+                for y, born_y, gone_y in after[0]:
+                    if born_x < gone_y and born_y < gone_x:
+                        rank = rank_of(x + y)
+                        if rank is not None and rank < gone_x and rank <= gone_y:
+                            ok = False
+            self.pairs[last << 32 | token] = ok
         return ok
 
     def _move(self, state: int, byte: int) -> int:
         """Next state << 32 | id of the token that ends with this byte."""
+        if not self.child:
+            self._plant()
         live, ended = [], -1
-        c = bytes((byte,))
-        for last, read in self.states[state]:
-            now = read + c
-            if now in self.prefixes:
-                live.append((last, now))
-            if ended < 0 and now in self.ranks and self._may_follow(last, now):
-                ended = self.ranks[now]
+        for config in self.states[state]:
+            node = self.child.get((config & TREE) << 8 | byte)
+            if node is None:
+                continue
+            if self.inner[node]:
+                live.append(config & ~TREE | node)
+            if ended < 0 <= self.token_at[node] and self._may_follow((config >> NODE) - 1, self.token_at[node]):
+                ended = self.token_at[node]
         if ended < 0:
             raise ValueError(f"the vocabulary has no token for byte {byte}")
-        key = (*live, (ended, b""))
+        key = (*live, (ended + 1) << NODE)
         n = self.number.get(key)
         if n is None:
             n = self.number[key] = len(self.states)
@@ -164,8 +191,8 @@ class Codec:
     def _agreed(self, ends: list[int], state: int) -> tuple[int, list[int]]:
         """The bytes and tokens on which all live configurations agree."""
         common: set[int] | None = None
-        for _, read in self.states[state]:
-            at, seen = len(ends) - len(read), {0}
+        for config in self.states[state]:
+            at, seen = len(ends) - self.depth[config & TREE], {0}
             while at > 0:
                 seen.add(at)
                 at -= len(self.tokens[ends[at - 1]])
@@ -292,6 +319,29 @@ def _ranks(df: DataFrame, ranks_path: str):
         return df.sparkSession.sparkContext.broadcast(f.read())
 
 
+def _encoded(own: Codec, texts: pa.Array) -> list[pa.Array]:
+    ids = [own.encode(t.as_py()) for t in texts]
+    return [pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())]
+
+
+def _decoded(own: Codec, packed: pa.Array) -> list[pa.Array]:
+    out, valid = [], []
+    for x in packed:
+        ids = array.array("I", x.as_py() or b"")
+        out.append(b"".join([own.tokens[i] for i in ids]))
+        # only tokens that end inside a character need the machine
+        ok = own.whole.issuperset(ids)
+        if not ok:
+            m = Utf8Machine()
+            for i in ids:
+                if not (m.clear and i in own.whole):
+                    m.feed(own.tokens[i])
+            m.finish()
+            ok = m.valid
+        valid.append(ok)
+    return [pa.array(out, pa.binary()), pa.array(valid, pa.bool_())]
+
+
 def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens (long), ids (binary: little-endian unsigned 32-bit)."""
     df = small_batches(pick(docs, doc_id=id_col, text=text_col))
@@ -300,10 +350,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(raw.value, pattern)
         for b in batches:
-            ids = [own.encode(t.as_py()) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())],
-                names=["doc_id", "n_tokens", "ids"])
+            yield pa.RecordBatch.from_arrays([b.column(0), *_encoded(own, b.column(1))], names=["doc_id", "n_tokens", "ids"])
 
     return df.mapInArrow(run, grown(df.select("doc_id"), "n_tokens long, ids binary"))
 
@@ -316,29 +363,26 @@ def decode(tokens: DataFrame, ranks_path: str, pattern: str, ids_col: str = "ids
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(raw.value, pattern)
         for b in batches:
-            out, valid = [], []
-            for x in b.column(at):
-                ids = array.array("I", x.as_py() or b"")
-                data = b"".join([own.tokens[i] for i in ids])
-                out.append(data)
-                # only tokens that end inside a character need the machine
-                if own.whole.issuperset(ids):
-                    valid.append(True)
-                else:
-                    m = Utf8Machine()
-                    for i in ids:
-                        if not (m.clear and i in own.whole):
-                            m.feed(own.tokens[i])
-                    m.finish()
-                    valid.append(m.valid)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.binary()), pa.array(valid)],
+            yield pa.RecordBatch.from_arrays([*b.columns, *_decoded(own, b.column(at))],
                                              names=[*b.schema.names, "decoded", "valid_utf8"])
 
     return tokens.mapInArrow(run, grown(tokens, "decoded binary, valid_utf8 boolean"))
 
 
 def digests(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256, valid_utf8: encode, then decode the ids."""
-    done = decode(encode(docs, ranks_path, pattern, id_col, text_col), ranks_path, pattern)
+    """doc_id, n_tokens, ids_sha256, decoded_sha256, valid_utf8.
+
+    Encodes, then decodes the ids, in one Python task instead of two."""
+    df = small_batches(pick(docs, doc_id=id_col, text=text_col))
+    raw = _ranks(docs, ranks_path)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = codec(raw.value, pattern)
+        for b in batches:
+            ids = _encoded(own, b.column(1))
+            yield pa.RecordBatch.from_arrays([b.column(0), *ids, *_decoded(own, ids[1])],
+                                             names=["doc_id", "n_tokens", "ids", "decoded", "valid_utf8"])
+
+    done = df.mapInArrow(run, grown(df.select("doc_id"), "n_tokens long, ids binary, decoded binary, valid_utf8 boolean"))
     return done.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
                        F.sha2("decoded", 256).alias("decoded_sha256"), "valid_utf8")

@@ -83,7 +83,10 @@ def _lit_array(values) -> Column:
 
 
 def entities(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(ANY), F.lit(0))
+    """Every match of a pattern.  All patterns need a digit, an ``@`` or a title,
+    so the long alternation runs only on texts that have one."""
+    maybe = text.rlike("[0-9@]") | text.rlike(rf"(?<![\w-])(?:{_ALL_TITLES}|M\.)\.? \p{{Lu}}")
+    return F.when(maybe, F.regexp_extract_all(text, F.lit(ANY), F.lit(0)))
 
 
 def kind_of(raw: Column) -> Column:

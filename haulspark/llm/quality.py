@@ -131,10 +131,11 @@ MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words
 
 def measure(docs: DataFrame, base=BASE_RULES, rules=RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: the counts, the ratios, the failed rules and ``kept``."""
-    out = _judged(pick(docs, doc_id=id_col, text=text_col), base, rules)
-    return out.select("doc_id", *MEASURES, "base_failed", "kept", "n_lines", "n_stop_words", "n_symbol_lines",
-                      "repeat_percent", "symbol_ratio", "mean_word_length", "stop_ratio", "dup_line_ratio",
-                      "symbol_line_ratio", "failed_rules")
+    judged = _judged(pick(docs, doc_id=id_col, text=text_col), base, rules)
+    results = (*MEASURES, "base_failed", "kept", "n_lines", "n_stop_words", "n_symbol_lines", "repeat_percent", "symbol_ratio",
+               "mean_word_length", "stop_ratio", "dup_line_ratio", "symbol_line_ratio", "failed_rules")
+    # a caller's filter on a result must not be pushed into the projections, where it would copy their expressions
+    return judged.select("doc_id", F.explode(F.array(F.struct(*results))).alias("r")).select("doc_id", "r.*")
 
 
 def keep_clean(docs: DataFrame, base=BASE_RULES, rules=RULES, text_col: str = "text") -> DataFrame:

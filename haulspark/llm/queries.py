@@ -131,7 +131,7 @@ win AS (
   SELECT rid, i, words[i] AS a, words[i + 1] AS b, words[i + 2] AS c
   FROM (SELECT rid, words, unnest(range(1, len(words) - 1)) AS i FROM w WHERE len(words) >= 3)),
 again AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, a, b, c) AS n FROM win) WHERE n > 1),
-covered AS (SELECT rid, count(DISTINCT at) AS n FROM (SELECT rid, unnest([i, i + 1, i + 2]) AS at FROM again) GROUP BY rid),
+covered AS (SELECT rid, count(DISTINCT pos) AS n FROM (SELECT rid, unnest([i, i + 1, i + 2]) AS pos FROM again) GROUP BY rid),
 m AS (
   SELECT w.doc_id, len(words) AS n_words, length(regexp_replace(text, '{blank}', '', 'g')) AS word_chars,
          length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols, len(lines) AS n_lines,

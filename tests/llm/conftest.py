@@ -13,7 +13,7 @@ SF = "/root/testdata/sf0.001"
 def docs(spark):
     """Nulls, empty and blank texts, a very long one, ties, repeated rows, clashing names."""
     long = " ".join(f"w{i % 977}" for i in range(60_000))
-    body = " ".join(f"word{i}" for i in range(90))
+    body = " ".join(f"word{i}" if i % 5 else f"the word{i}" for i in range(90))
     rows = [(1, body, "en"), (2, body, "de"), (3, None, None), (4, "", "en"), (5, " \t\n", "en"), (6, "one", "en"),
             (7, long, "en"), (1, body, "en"), (None, body, "en"), (None, None, None), (8, body.replace("word44", "other"), "en")]
     return spark.createDataFrame(rows, "doc_id long, text string, lang string").selectExpr(

@@ -505,4 +505,4 @@ def test_pipeline_stages_on_odd_input(spark, docs):
             stage(spark, got, SF).write.parquet(path)
             got = spark.read.parquet(path)
             assert n == 4 or got.columns == docs.columns
-        assert got.count() == (2 if start is docs else 0)
+        assert sorted(r.doc_id for r in got.collect()) in (([1], [1, 8]) if start is docs else ([],))

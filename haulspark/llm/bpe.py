@@ -39,8 +39,8 @@ from pyspark.sql import functions as F
 
 from haulspark.llm.frames import grown, pick, small_batches
 
-PIECES_KEPT = 400_000
-STATES_KEPT = 300_000
+PIECES_KEPT = 300_000
+STATES_KEPT = 240_000
 LONG_TEXT = 1 << 20
 NEVER = 1 << 40
 NODE = 24  # bits of a tree node

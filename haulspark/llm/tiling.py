@@ -48,7 +48,7 @@ MIN_MATCH = 4
 THRESHOLD = 0.5
 FIRST_LENGTH = 20
 BLOCK_WINDOWS = 1 << 20
-WORDS_KEPT = 1 << 20
+WORDS_KEPT = 1 << 17
 _BASE = 1_000_003
 _MOD = (1 << 61) - 1
 _MIX = np.uint64(0x9E3779B97F4A7C15)

@@ -3,8 +3,8 @@
 ``round2`` is the engine's money rounding: half-to-even on the binary value
 scaled by 100 (``rint``), reproducible in DuckDB as ``round_even(x*100,0)/100``.
 ``fixed_sum`` sums doubles exactly and order-independently by summing
-``rint(x * 10^scale)`` as BIGINT, so partial aggregates can combine in any
-order on any number of executors and still give the same last digit.
+``rint(x * 10^scale)`` as DECIMAL (28 digits, so no number of rows overflows),
+so partial aggregates can combine in any order on any number of executors and still give the same last digit.
 """
 
 from __future__ import annotations
@@ -46,7 +46,7 @@ def div(a, b) -> Column:
 
 def fixed_sum(x, scale: int = SUM_SCALE) -> Column:
     """Exact, order-free sum of a double column (as double)."""
-    return F.sum(F.rint(c(x) * float(scale)).cast("long")) / float(scale)
+    return F.sum(F.rint(c(x) * float(scale)).cast("decimal(18,0)")).cast("double") / float(scale)
 
 
 def fixed_avg(x, scale: int = SUM_SCALE) -> Column:

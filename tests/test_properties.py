@@ -61,3 +61,10 @@ def test_spread_only_narrow_scans(spark):
     narrow = spark.range(0, 1000, 1, 1)
     out = spread_if_narrow(narrow)
     assert out.rdd.getNumPartitions() == target and out.count() == 1000
+
+
+def test_fixed_sum_beyond_bigint(spark):
+    from haulspark.functions.numeric import fixed_sum
+    from pyspark.sql import functions as F
+    got = spark.range(1000).agg(fixed_sum(F.lit(9.0e13)).alias("s")).first()["s"]
+    assert got == 9.0e16

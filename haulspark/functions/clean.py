@@ -240,6 +240,13 @@ def business_days(start, end) -> Column:
     return F.when(n <= 0, F.lit(0)).otherwise(full * 5 + extra)
 
 
+def business_dates(start, end) -> Column:
+    """The Monday-Friday dates in [start, end] themselves."""
+    a, b = c(start).cast("date"), c(end).cast("date")
+    days = F.when(a <= b, F.sequence(a, b)).when(a > b, F.array().cast("array<date>"))
+    return F.filter(days, lambda d: F.weekday(d) < 5)
+
+
 def duration_parts(start, end) -> Column:
     """Whole hours, minutes and seconds plus totals of end - start."""
     us = F.unix_micros(c(end).cast("timestamp")) - F.unix_micros(c(start).cast("timestamp"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,13 +17,15 @@ def strip_markup(x) -> Column:
     return F.regexp_replace(c(x), r"<[^>]+>", "")
 
 
-def extract_rules(df: DataFrame, text: str, rules: dict[str, str], flags: str = "(?i)",
+def extract_rules(df: DataFrame, text: str, rules: dict[str, str], flags: str = "(?im)",
                   fold: bool = False) -> DataFrame:
-    """One column per named pattern (first match, group 1, '' ->
-    NULL); only rows where some field matched are kept."""
+    """One column per named pattern (first match, group 1 without
+    blanks around it, '' -> NULL; ``^`` and ``$`` hold at every line); only rows
+    where some field matched are kept."""
     cols = {}
     for name, pat in rules.items():
-        v = F.nullif(F.regexp_extract(F.col(text), flags + pat, 1), F.lit(""))
+        v = F.regexp_replace(F.regexp_extract(F.col(text), flags + pat, 1), r"^\s+|\s+$", "")
+        v = F.nullif(v, F.lit(""))
         cols[name] = F.nullif(fold_ws(v), F.lit("")) if fold else v
     out = df.withColumns(cols)
     any_hit = None
@@ -32,8 +36,11 @@ def extract_rules(df: DataFrame, text: str, rules: dict[str, str], flags: str =
 
 
 def extract_table(df: DataFrame, key: str, text: str, pattern: str, names: list[str]) -> DataFrame:
-    """Every match of ``pattern`` becomes a row; group i -> names[i-1]."""
-    arrays = [F.regexp_extract_all(F.col(text), F.lit(pattern), i + 1).alias(n) for i, n in enumerate(names)]
+    """Every match of ``pattern`` becomes a row; group i -> names[i-1], white
+    space folded; a pattern without groups gives its whole match as names[0]."""
+    first = 1 if re.compile(pattern).groups else 0
+    arrays = [F.transform(F.regexp_extract_all(F.col(text), F.lit(pattern), i + first), fold_ws).alias(n)
+              for i, n in enumerate(names)]
     z = df.select(key, F.arrays_zip(*arrays).alias("m"))
     return z.select(key, F.posexplode("m").alias("match_no", "r")).select(key, "match_no", *[f"r.{n}" for n in names])
 

@@ -68,13 +68,13 @@ DATE_FIELDS = ["route_date", "start_time", "end_time"]
 
 # Required fields per source kind.
 REQUIRED_FIELDS = {
-    "generic_api": ["route_id", "route_date"],
-    "eld": ["driver_id", "vehicle_id", "date"],
-    "tms": ["load_id", "pickup_date", "delivery_date"],
-    "dispatch": ["trip_id", "driver", "truck"],
-    "file": ["route_id", "route_date"],
-    "email": ["route_id"],
-    "manual": ["route_date", "driver_name"],
+    "generic_api": ["route_id", "date"],
+    "eld": ["vehicle_id", "driver_id", "start_time", "total_miles"],
+    "tms": ["load_id", "pickup_date", "delivery_date", "revenue"],
+    "dispatch": ["trip_id", "driver_name", "vehicle_id", "route_date"],
+    "file": ["route_id", "date"],
+    "email": ["subject", "sender"],
+    "manual": ["route_id", "route_date"],
 }
 
 LOAD_TYPES = ["general", "refrigerated", "hazardous", "oversized", "fragile"]
@@ -83,15 +83,16 @@ ROUTE_STATUSES = ["scheduled", "in_progress", "completed", "cancelled", "delayed
 # Name keywords that make a column numeric in the flat-table cleaner.
 P17_NUMERIC_KEYWORDS = ["miles", "weight", "value", "speed", "cost", "revenue", "pay", "fuel"]
 # ... and in the record type normaliser.
-P16_NUMERIC_KEYWORDS = ["miles", "weight", "value", "speed", "cost", "revenue", "pay", "fuel",
-                        "rate", "score", "capacity"]
+P16_NUMERIC_KEYWORDS = ["miles", "weight", "value", "cost", "pay", "rate", "speed", "consumed", "revenue",
+                        "latitude", "longitude"]
+# Location sub-fields (P15): the first alias with a value wins.
 LOCATION_SUBFIELD_ALIASES = {
-    "address": ["address", "street", "addr", "street_address"],
-    "city": ["city", "town"],
+    "address": ["street", "street_address", "addr"],
+    "city": ["city", "municipality"],
     "state": ["state", "province", "region"],
-    "zip_code": ["zip_code", "zip", "postal_code", "zipcode"],
-    "latitude": ["latitude", "lat"],
-    "longitude": ["longitude", "lng", "lon"],
+    "zip_code": ["zip", "postal_code", "zipcode"],
+    "latitude": ["lat", "latitude"],
+    "longitude": ["lon", "longitude", "lng"],
 }
 
 
@@ -171,41 +172,78 @@ def standardize(df: DataFrame, aliases: dict[str, list[str]], source: str, sourc
                      *[e.alias(k) for k, e in cols.items()])
 
 
+# The manual-entry fields (P8), in order.
 MANUAL_FIELDS = ["route_id", "route_date", "driver_name", "vehicle_id", "customer_name", "origin_address",
-                 "destination_address", "total_miles", "revenue", "load_weight", "load_type", "start_time",
-                 "end_time", "status", "fuel_cost", "toll_cost", "driver_pay", "notes"]
-
-
-def manual_record(df: DataFrame) -> DataFrame:
-    """The 18 manual fields; numbers converted, dates parsed to ISO text
-    but an unparsable date keeps its original text."""
+                 "destination_address", "total_miles", "revenue", "load_weight", "load_type", "status",
+                 "start_time", "end_time", "fuel_cost", "toll_cost", "driver_pay", "notes"]
+MANUAL_NUMBERS = ["total_miles", "revenue", "load_weight", "fuel_cost", "toll_cost", "driver_pay"]
+MANUAL_DATES = ["route_date", "start_time", "end_time"]
+# Manual entry, cleaning (P9): these dates besides.
+MANUAL_SCHEDULE = ["scheduled_start_time", "scheduled_end_time"]
+# Manual entry, type checks (P10): field, message.
+MANUAL_TEXT_CHECKS = {"route_id": "Route ID must be a string"}
+MANUAL_DATE_CHECKS = {"route_date": "Invalid date format for route_date"}
+MANUAL_NUMBER_CHECKS = {"total_miles": "Total miles must be numeric", "revenue": "Revenue must be numeric",
+                        "load_weight": "Load weight must be numeric"}
+
+
+def manual_record(df: DataFrame, source_name: str, collected_at: str) -> DataFrame:
+    """Provenance and the 18 manual fields; numbers converted, text
+    whitespace-folded, dates parsed to ISO text but an unparsable date keeps its
+    original text."""
     out = []
     for f in MANUAL_FIELDS:
         v = F.col(f).cast("string") if f in df.columns else F.lit(None).cast("string")
-        if f in ("total_miles", "revenue", "load_weight", "fuel_cost", "toll_cost", "driver_pay"):
+        if f in MANUAL_NUMBERS:
             out.append(C.to_float(v).alias(f))
-        elif f in ("route_date", "start_time", "end_time"):
+        elif f in MANUAL_DATES:
             out.append(F.coalesce(iso_text(C.parse_date(v)), v).alias(f))
         else:
-            out.append(v.alias(f))
-    return df.select(*out)
+            out.append(F.when(v.isNotNull(), C.fold_ws(v)).alias(f))
+    raw = F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"ignoreNullFields": "false"})
+    return df.select(F.lit("manual_entry").alias("source"), F.lit(source_name).alias("source_name"),
+                     F.lit(collected_at).cast("timestamp_ntz").alias("collected_at"), raw.alias("raw_data"), *out)
 
 
-def manual_type_errors(doc: Column, numeric: list[str], dates: list[str], texts: list[str]) -> Column:
-    """P10: type checks of a manual-entry VARIANT record -> error messages."""
+def manual_clean(df: DataFrame, entered_at: str) -> DataFrame:
+    """Names normalised (P1), numbers converted, dates to ISO text (NULL if
+    unparsable), text whitespace-folded, other types unchanged; the source and the
+    entry time in front.  A missing value is NULL."""
+    df = normalize_columns(df)
+    out = []
+    for f, t in df.dtypes:
+        v = F.col(f"`{f}`")
+        if f in MANUAL_NUMBERS:
+            v = C.to_float(v.cast("string"))
+        elif f in MANUAL_DATES + MANUAL_SCHEDULE:
+            v = iso_text(C.parse_date(v.cast("string")))
+        elif t == "string":
+            v = F.when(v.isNotNull(), C.fold_ws(v))
+        out.append(v.alias(f))
+    return df.select(F.lit("manual_entry").alias("source"),
+                     F.lit(entered_at).cast("timestamp_ntz").alias("entry_timestamp"), *out)
+
+
+def manual_type_errors(doc: Column, index: Column) -> Column:
+    """P10: type checks of a manual-entry VARIANT record -> error messages.
+
+    Absent and null fields pass.  Numbers may come as numbers or as text (the
+    conversion is the cleaner's task), so only objects and lists fail."""
     errs = []
-    for f in numeric:
-        t = F.schema_of_variant(F.try_variant_get(doc, f"$.{f}", "variant"))
-        ok = t.isin("BIGINT", "DOUBLE", "INT", "SMALLINT", "TINYINT", "FLOAT") | t.startswith("DECIMAL") | (t == "VOID")
-        errs.append(F.when(F.try_variant_get(doc, f"$.{f}", "variant").isNotNull() & ~ok,
-                           F.lit(f"{f} must be a number")))
-    for f in dates:
-        s = F.try_variant_get(doc, f"$.{f}", "string")
-        errs.append(F.when(s.isNotNull() & C.parse_date(s).isNull(), F.lit(f"{f} must be a valid date")))
-    for f in texts:
+
+    def failed(bad: Column, message: str) -> None:
+        errs.append(F.when(bad, F.concat(F.lit("Record "), index.cast("string"), F.lit(f": {message}"))))
+
+    def kind(f: str) -> Column:
         t = F.schema_of_variant(F.try_variant_get(doc, f"$.{f}", "variant"))
-        errs.append(F.when(F.try_variant_get(doc, f"$.{f}", "variant").isNotNull() & ~t.startswith("STRING")
-                           & (t != "VOID"), F.lit(f"{f} must be text")))
+        return F.when(t != "VOID", t)
+
+    for f, message in MANUAL_TEXT_CHECKS.items():
+        failed(kind(f).isNotNull() & (kind(f) != "STRING"), message)
+    for f, message in MANUAL_DATE_CHECKS.items():
+        failed(kind(f).isNotNull() & C.parse_date(F.try_variant_get(doc, f"$.{f}", "string")).isNull(), message)
+    for f, message in MANUAL_NUMBER_CHECKS.items():
+        failed(kind(f).startswith("OBJECT") | kind(f).startswith("ARRAY"), message)
     return F.array_compact(F.array(*errs))
 
 
@@ -239,9 +277,9 @@ def alias_struct_fields(df: DataFrame, col: str, aliases: dict[str, list[str]] =
 
 def normalize_types(df: DataFrame) -> DataFrame:
     """By name keyword: date/time -> datetime parse, numeric keywords ->
-    number, anything else trimmed."""
+    number; other text trimmed, other types unchanged."""
     out = []
-    for c in df.columns:
+    for c, t in df.dtypes:
         lc = c.lower()
         v = F.col(f"`{c}`")
         if "date" in lc or "time" in lc:
@@ -249,7 +287,7 @@ def normalize_types(df: DataFrame) -> DataFrame:
         elif any(k in lc for k in P16_NUMERIC_KEYWORDS):
             out.append(C.to_number(v).alias(c))
         else:
-            out.append(F.trim(v.cast("string")).alias(c))
+            out.append((F.trim(v) if t == "string" else v).alias(c))
     return df.select(*out)
 
 
@@ -302,6 +340,26 @@ def enum_or_default(x, domain: list[str], default: str) -> Column:
     return F.when(v.isin(domain), v).otherwise(F.lit(default))
 
 
+# The route record (P20) -- field, value of a missing one.
+ROUTE_TEXT_DEFAULTS = {"special_requirements": "", "notes": ""}
+
+
+def route_projection(df: DataFrame, fields: list[str]) -> DataFrame:
+    """P20: the route fields in order: load type and status parsed to their
+    domains, missing free text '', any other missing field NULL."""
+    out = []
+    for f in fields:
+        v = F.col(f) if f in df.columns else F.lit(None).cast("string")
+        if f == "load_type":
+            v = enum_or_default(v, LOAD_TYPES, "general")
+        elif f == "status":
+            v = enum_or_default(v, ROUTE_STATUSES, "scheduled")
+        elif f in ROUTE_TEXT_DEFAULTS:
+            v = F.coalesce(v, F.lit(ROUTE_TEXT_DEFAULTS[f]))
+        out.append(v.alias(f))
+    return df.select(*out)
+
+
 def fill_missing(df: DataFrame, pairs: dict[str, str]) -> DataFrame:
     """Stored value kept unless missing or zero; then the computed one."""
     return df.withColumns({stored: F.when(nz(stored) == 0, F.col(calc)).otherwise(F.col(stored))

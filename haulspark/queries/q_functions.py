@@ -182,13 +182,17 @@ def c20(spark, sf):
 SELECT route_key, route_date, cast(route_date + to_days(line_no * 4) AS DATE) AS until_date,
   cast(len(list_filter(generate_series(cast(route_date AS TIMESTAMP),
                                        cast(route_date + to_days(line_no * 4) AS TIMESTAMP),
-                                       INTERVAL 1 DAY), lambda x: isodow(x) <= 5)) AS INTEGER) AS business_days
+                                       INTERVAL 1 DAY), lambda x: isodow(x) <= 5)) AS INTEGER) AS business_days,
+  array_to_string(list_transform(list_filter(generate_series(
+    cast(route_date AS TIMESTAMP), cast(route_date + to_days(line_no * 4) AS TIMESTAMP), INTERVAL 1 DAY),
+    lambda x: isodow(x) <= 5), lambda x: strftime(x, '%Y-%m-%d')), ',') AS business_dates
 FROM routes"""))
 def c21(spark, sf):
     r = _r(spark, sf, "route_date", "line_no")
     until = F.date_add("route_date", F.col("line_no") * 4)
     return r.select("route_key", "route_date", until.alias("until_date"),
-                    C.business_days(F.col("route_date"), until).alias("business_days"))
+                    C.business_days(F.col("route_date"), until).alias("business_days"),
+                    F.array_join(C.business_dates("route_date", until).cast("array<string>"), ",").alias("business_dates"))
 
 
 @register("C22_duration_parts", with_routes("""

@@ -180,61 +180,92 @@ def p12(spark, sf):
 
 # ---------------------------------------------------------------- P8-P11, P13
 @register("P8_manual_record", with_routes(f"""
-SELECT route_key AS route_id, coalesce({s_iso('raw_date')}, raw_date) AS route_date, driver_name,
-       {s_float('raw_amount')} AS revenue FROM routes"""))
+SELECT 'manual_entry' AS source, 'desk' AS source_name, TIMESTAMP '{AS_OF}' AS collected_at,
+       json_object('route_id', route_key, 'route_date', raw_date, 'driver_name', '  ' || driver_name || '  jr ',
+                   'revenue', raw_amount, 'status', status)::VARCHAR AS raw_data,
+       route_key AS route_id, coalesce({s_iso('raw_date')}, raw_date) AS route_date, driver_name || ' jr' AS driver_name,
+       {s_float('raw_amount')} AS revenue, status, cast(NULL AS VARCHAR) AS notes FROM routes"""))
 def p8(spark, sf):
-    r = routes(spark, sf, ("route_key", "raw_date", "driver_name", "raw_amount"))
+    r = routes(spark, sf, ("route_key", "raw_date", "driver_name", "raw_amount", "status"))
     m = P.manual_record(r.select(F.col("route_key").alias("route_id"), F.col("raw_date").alias("route_date"),
-                                 "driver_name", F.col("raw_amount").alias("revenue")))
-    return m.select("route_id", "route_date", "driver_name", "revenue")
+                                 F.concat(F.lit("  "), "driver_name", F.lit("  jr ")).alias("driver_name"),
+                                 F.col("raw_amount").alias("revenue"), "status"), "desk", AS_OF)
+    return m.select("source", "source_name", "collected_at", "raw_data", "route_id", "route_date", "driver_name",
+                    "revenue", "status", "notes")
 
 
-@register("P9_manual_clean", with_routes("""
-SELECT trim(route_key) AS route_id, trim(driver_name) AS driver_name, trim(raw_city) AS city FROM routes"""))
+@register("P9_manual_clean", with_routes(f"""
+SELECT 'manual_entry' AS source, TIMESTAMP '{AS_OF}' AS entry_timestamp, route_key AS route_id,
+       {s_iso('raw_date')} AS route_date, driver_name || ' jr' AS driver_name, {s_float('raw_amount')} AS revenue,
+       total_miles, line_no, CASE WHEN customer_name IS NOT NULL THEN 'for ' || customer_name END AS notes
+FROM routes"""))
 def p9(spark, sf):
-    """Manual records: keys normalised (P1), values trimmed."""
-    r = routes(spark, sf, ("route_key", "driver_name", "raw_city"))
-    return P.normalize_columns(r.select(F.col("route_key").alias("Route-ID"), F.col("driver_name").alias("Driver Name"),
-                                        F.col("raw_city").alias(" City")))
+    """Manual records: names normalised, values typed, text folded."""
+    r = routes(spark, sf, ("route_key", "raw_date", "driver_name", "raw_amount", "total_miles", "line_no",
+                           "customer_name"))
+    return P.manual_clean(r.select(
+        F.concat(F.col("route_key"), F.lit(" ")).alias("Route-ID"), F.col("raw_date").alias("Route Date"),
+        F.concat("driver_name", F.lit("   jr")).alias("Driver Name"), F.col("raw_amount").alias(" Revenue"),
+        F.col("total_miles").alias("Total Miles"), F.col("line_no").alias("Line No"),
+        F.concat(F.lit("for  "), "customer_name").alias("Notes")), AS_OF)
 
 
-@register("P10_manual_type_checks", with_routes("""
+@register("P10_manual_type_checks", with_routes(f"""
 SELECT route_key, concat_ws('; ',
-  CASE WHEN line_no % 3 = 0 THEN 'total_miles must be a number' END,
-  CASE WHEN line_no % 3 = 1 AND raw_date IS NOT NULL AND coalesce(
-       try_strptime(raw_date, '%Y-%m-%d'), try_strptime(raw_date, '%m/%d/%Y'), try_strptime(raw_date, '%d/%m/%Y'),
-       try_strptime(raw_date, '%Y-%m-%d %H:%M:%S'), try_strptime(raw_date, '%m/%d/%Y %H:%M:%S'),
-       try_strptime(raw_date, '%Y-%m-%dT%H:%M:%S'), try_strptime(raw_date, '%Y-%m-%dT%H:%M:%S.%f')) IS NULL
-       THEN 'route_date must be a valid date' END,
-  CASE WHEN line_no % 3 = 2 THEN 'driver_name must be text' END) AS errors
+  CASE WHEN line_no IN (2, 5) THEN 'Record ' || line_no || ': Route ID must be a string' END,
+  CASE WHEN line_no IN (1, 4) AND raw_date IS NOT NULL AND {s_iso('raw_date')} IS NULL
+       THEN 'Record ' || line_no || ': Invalid date format for route_date' END,
+  CASE WHEN line_no = 7 THEN 'Record ' || line_no || ': Revenue must be numeric' END,
+  CASE WHEN line_no = 7 THEN 'Record ' || line_no || ': Load weight must be numeric' END) AS errors
 FROM routes"""))
 def p10(spark, sf):
-    """Manual-entry JSON with a wrongly typed field per record kind: miles as
-    text, a date spelling, or the driver as a number."""
-    r = routes(spark, sf, ("route_key", "line_no", "raw_date", "total_miles", "driver_name", "driver_id"))
-    k = F.col("line_no") % 3
-    doc = (F.when(k == 0, F.to_json(F.struct(F.col("total_miles").cast("string").alias("total_miles"))))
-           .when(k == 1, F.to_json(F.struct(F.col("raw_date").alias("route_date"))))
-           .otherwise(F.to_json(F.struct(F.col("driver_id").alias("driver_name")))))
-    v = F.parse_json(doc)
-    errs = P.manual_type_errors(v, ["total_miles"], ["route_date"], ["driver_name"])
-    return r.select("route_key", F.array_join(errs, "; ").alias("errors"))
-
-
-@register("P11_required_sets", _w(API_FEED_SQL, """
+    """Manual-entry JSON by line number: a date spelling (1, 4), a numeric route
+    id (2, 5), miles as text, which passes (3, 6), an object and a list in place of
+    numbers (7)."""
+    r = routes(spark, sf, ("route_key", "line_no", "raw_date", "driver_id"))
+    key, n = F.col("route_key").alias("route_id"), F.col("line_no")
+    doc = (F.when(n.isin(1, 4), F.to_json(F.struct(key, F.col("raw_date").alias("route_date"))))
+           .when(n.isin(2, 5), F.to_json(F.struct(F.col("driver_id").alias("route_id"))))
+           .when(n == 7, F.to_json(F.struct(key, F.struct(F.col("driver_id").alias("amount")).alias("revenue"),
+                                            F.array(F.col("driver_id")).alias("load_weight"))))
+           .otherwise(F.to_json(F.struct(key, F.lit("12.5").alias("total_miles")))))
+    return r.select("route_key", F.array_join(P.manual_type_errors(F.parse_json(doc), n), "; ").alias("errors"))
+
+
+# What the landed records of P11 lack, by line number (field -> condition).
+_P11_GAPS = {"vehicle_id": "line_no = 1", "driver_id": "line_no = 2", "driver_name": "line_no = 3",
+             "start_time": "line_no = 4", "delivery_date": "line_no = 5", "date": "line_no = 6",
+             "sender": "line_no % 2 = 0", "revenue": "line_no = 7", "route_date": "line_no = 1"}
+
+
+@register("P11_required_sets", with_routes("""
 SELECT count(*) AS records,
-       count(*) FILTER (WHERE trip_id IS NULL OR driver_id IS NULL) AS dispatch_missing,
-       count(*) FILTER (WHERE shipper IS NULL OR trim(shipper) = '') AS customer_missing
-FROM api_feed"""))
+       count(*) FILTER (WHERE line_no = 6) AS generic_api_missing,
+       count(*) FILTER (WHERE line_no IN (1, 2, 4)) AS eld_missing,
+       count(*) FILTER (WHERE line_no IN (5, 7)) AS tms_missing,
+       count(*) FILTER (WHERE line_no IN (1, 3)) AS dispatch_missing,
+       count(*) FILTER (WHERE line_no = 6) AS file_missing,
+       count(*) FILTER (WHERE line_no % 2 = 0) AS email_missing,
+       count(*) FILTER (WHERE line_no = 1) AS manual_missing
+FROM routes"""))
 def p11(spark, sf):
-    """Required sets per source kind (the 'dispatch' set on an API feed
-    renamed to its vocabulary), plus a customer requirement."""
-    api = api_feed(spark, sf).withColumnsRenamed({"driver_id": "driver", "total_distance": "truck"})
-    e = P.required_errors(api, ["trip_id", "driver"], "dispatch_errors")
-    e = P.required_errors(e, ["shipper"], "customer_errors")
-    return e.agg(F.count(F.lit(1)).alias("records"),
-                 F.count_if(F.size("dispatch_errors") > 0).cast("long").alias("dispatch_missing"),
-                 F.count_if(F.size("customer_errors") > 0).cast("long").alias("customer_missing"))
+    """Every source kind's required set on records with gaps: a field that is
+    blank in every other gap, NULL in the rest."""
+    r = routes(spark, sf, ("route_key", "line_no", "vehicle_id", "driver_id", "driver_name", "total_miles", "revenue",
+                           "route_date", "scheduled_start"))
+    key, day = F.col("route_key"), F.col("route_date").cast("string")
+    fields = {"route_id": key, "load_id": key, "trip_id": key, "date": day, "pickup_date": day, "delivery_date": day,
+              "route_date": day, "start_time": F.col("scheduled_start").cast("string"), "total_miles": F.col("total_miles"),
+              "vehicle_id": F.col("vehicle_id").cast("string"), "driver_id": F.col("driver_id").cast("string"),
+              "driver_name": F.col("driver_name"), "revenue": F.col("revenue").cast("string"),
+              "subject": F.concat(F.lit("Route "), key), "sender": F.lit("dispatch@example.com")}
+    for k, (f, gap) in enumerate(_P11_GAPS.items()):
+        fields[f] = F.when(F.expr(gap), F.lit(" " if k % 2 else None).cast("string")).otherwise(fields[f])
+    e = r.select(*[v.alias(f) for f, v in fields.items()])
+    for kind, required in P.REQUIRED_FIELDS.items():
+        e = P.required_errors(e, required, f"{kind}_errors")
+    return e.agg(F.count(F.lit(1)).alias("records"), *[
+        F.count_if(F.size(f"{kind}_errors") > 0).cast("long").alias(f"{kind}_missing") for kind in P.REQUIRED_FIELDS])
 
 
 @register("P13_batch_standardize", _w(FILE_FEED_SQL + "," + API_FEED_SQL.strip() + "," + EMAIL_FEED_SQL.strip(), f"""
@@ -270,14 +301,26 @@ def p14(spark, sf):
 
 
 @register("P15_location_subfields", with_routes("""
-SELECT route_key, raw_address AS address, raw_city AS city, raw_zip AS zip_code,
-       end_lat AS latitude, end_lon AS longitude FROM routes"""))
+SELECT route_key, CASE WHEN line_no % 3 = 2 THEN 'x ' || raw_address ELSE raw_address END AS address,
+       raw_city AS city, raw_state AS state, raw_zip AS zip_code,
+       CASE WHEN line_no % 3 = 0 THEN end_lat ELSE end_lat + 1 END AS latitude,
+       CASE WHEN line_no % 3 = 2 THEN end_lon + 1 ELSE end_lon END AS longitude FROM routes"""))
 def p15(spark, sf):
-    r = routes(spark, sf, ("route_key", "raw_address", "raw_city", "raw_zip", "end_lat", "end_lon"))
-    s = r.select("route_key", F.struct(F.col("raw_address").alias("street"), F.col("raw_city").alias("town"),
-                                       F.col("raw_zip").alias("postal_code"), F.col("end_lat").alias("lat"),
-                                       F.col("end_lon").alias("lng")).alias("loc"))
-    return P.alias_struct_fields(s, "loc").select("route_key", "loc.address", "loc.city", "loc.zip_code",
+    """Every alias occurs, and where two have a value the first must win."""
+    r = routes(spark, sf, ("route_key", "line_no", "raw_address", "raw_city", "raw_state", "raw_zip", "end_lat", "end_lon"))
+
+    def only(k, c):
+        return F.when(F.col("line_no") % 3 == k, F.col(c))
+
+    loc = {"addr": F.when(F.col("line_no") % 3 != 1, F.concat(F.lit("x "), "raw_address")),
+           "street_address": only(1, "raw_address"), "street": only(0, "raw_address"),
+           "municipality": F.when(F.col("line_no") % 3 != 0, F.col("raw_city")), "city": only(0, "raw_city"),
+           "region": only(2, "raw_state"), "province": only(1, "raw_state"), "state": only(0, "raw_state"),
+           "zipcode": only(2, "raw_zip"), "postal_code": only(1, "raw_zip"), "zip": only(0, "raw_zip"),
+           "latitude": F.col("end_lat") + 1, "lat": only(0, "end_lat"),
+           "lng": F.col("end_lon") + 1, "longitude": only(1, "end_lon"), "lon": only(0, "end_lon")}
+    s = r.select("route_key", F.struct(*[v.alias(k) for k, v in loc.items()]).alias("loc"))
+    return P.alias_struct_fields(s, "loc").select("route_key", "loc.address", "loc.city", "loc.state", "loc.zip_code",
                                                   "loc.latitude", "loc.longitude")
 
 
@@ -295,12 +338,16 @@ def _c8(x):
 
 
 @register("P16_type_normalization", with_routes(f"""
-SELECT {_c6('raw_date')} AS pickup_date, {_c8('raw_amount')} AS pay_rate, trim(' ' || route_key) AS reference
+SELECT {_c6('raw_date')} AS pickup_date, {_c8('raw_amount')} AS pay_rate, {_c8('raw_amount')} AS fuel_consumed,
+       trim(raw_amount) AS fuel_score, end_lat AS latitude, line_no, trim(' ' || route_key) AS reference
 FROM routes"""))
 def p16(spark, sf):
-    r = routes(spark, sf, ("route_key", "raw_date", "raw_amount"))
-    return P.normalize_types(r.select(F.col("raw_date").alias("pickup_date"), F.col("raw_amount").alias("pay_rate"),
-                                      F.concat(F.lit(" "), F.col("route_key")).alias("reference")))
+    """``fuel_score`` holds no keyword and stays text; ``line_no`` keeps its type."""
+    r = routes(spark, sf, ("route_key", "line_no", "raw_date", "raw_amount", "end_lat"))
+    return P.normalize_types(r.select(
+        F.col("raw_date").alias("pickup_date"), F.col("raw_amount").alias("pay_rate"),
+        F.col("raw_amount").alias("fuel_consumed"), F.concat("raw_amount", F.lit(" ")).alias("fuel_score"),
+        F.col("end_lat").alias("latitude"), "line_no", F.concat(F.lit(" "), F.col("route_key")).alias("reference")))
 
 
 @register("P17_clean_flat_table", with_routes(f"""
@@ -348,18 +395,36 @@ def p19(spark, sf):
                     P.enum_or_default("status", P.ROUTE_STATUSES, "scheduled").alias("status"))
 
 
-ROUTE_FIELDS = ["route_key", "route_date", "driver_id", "vehicle_id", "customer_id", "load_weight", "total_miles",
-                "empty_miles", "fuel_consumed", "revenue", "fuel_cost", "toll_cost", "driver_pay", "other_costs",
-                "scheduled_start", "scheduled_end", "actual_start", "actual_end", "status"]
+# The route record (P20), in order.
+ROUTE_FIELDS = ["route_date", "load_weight", "load_type", "load_value", "special_requirements",
+                "scheduled_start_time", "actual_start_time", "scheduled_end_time", "actual_end_time", "total_miles",
+                "empty_miles", "fuel_consumed", "average_speed", "revenue", "fuel_cost", "toll_cost", "driver_pay",
+                "other_costs", "status", "notes"]
 
 
-@register("P20_route_projection", with_routes(
-    "SELECT " + ", ".join(ROUTE_FIELDS) + ", CASE WHEN lower(trim(load_type_raw)) IN "
-    "('general', 'refrigerated', 'hazardous', 'oversized', 'fragile') THEN lower(trim(load_type_raw)) "
-    "ELSE 'general' END AS load_type FROM routes"))
+@register("P20_route_projection", with_routes("""
+SELECT route_key, route_date, load_weight, CASE WHEN lower(trim(load_type_raw)) IN
+         ('general', 'refrigerated', 'hazardous', 'oversized', 'fragile') THEN lower(trim(load_type_raw))
+         ELSE 'general' END AS load_type,
+       CASE WHEN line_no % 2 = 0 THEN revenue END AS load_value,
+       CASE WHEN load_type_raw = 'fragile' THEN 'handle with care' ELSE '' END AS special_requirements,
+       scheduled_start AS scheduled_start_time, actual_start AS actual_start_time, scheduled_end AS scheduled_end_time,
+       actual_end AS actual_end_time, total_miles, empty_miles, fuel_consumed,
+       CASE WHEN line_no % 3 = 0 THEN total_miles / 8.0 END AS average_speed, revenue, fuel_cost, toll_cost, driver_pay,
+       other_costs, status, '' AS notes FROM routes"""))
 def p20(spark, sf):
-    r = routes(spark, sf, tuple(ROUTE_FIELDS) + ("load_type_raw",))
-    return r.select(*ROUTE_FIELDS, P.enum_or_default("load_type_raw", P.LOAD_TYPES, "general").alias("load_type"))
+    """Cleaned records -> route records; some lack a value, all lack notes."""
+    r = routes(spark, sf, ("route_key", "line_no", "route_date", "load_weight", "load_type_raw", "scheduled_start",
+                           "actual_start", "scheduled_end", "actual_end", "total_miles", "empty_miles", "fuel_consumed",
+                           "revenue", "fuel_cost", "toll_cost", "driver_pay", "other_costs", "status"))
+    n = F.col("line_no")
+    landed = r.withColumns({
+        "load_type": F.col("load_type_raw"), "load_value": F.when(n % 2 == 0, F.col("revenue")),
+        "special_requirements": F.when(F.col("load_type_raw") == "fragile", F.lit("handle with care")),
+        "average_speed": F.when(n % 3 == 0, F.col("total_miles") / 8.0)}).withColumnsRenamed({
+            "scheduled_start": "scheduled_start_time", "actual_start": "actual_start_time",
+            "scheduled_end": "scheduled_end_time", "actual_end": "actual_end_time"})
+    return P.route_projection(landed, ["route_key", *ROUTE_FIELDS])
 
 
 # A report template table spec (field, display name), in column order.

@@ -24,7 +24,7 @@ LINK_PATTERN = r'<a href="([^"]*)">([^<]*)</a>'
 
 def _rx(x, p):
     p = p.replace("'", "''")
-    return f"nullif(regexp_extract({x}, '(?i){p}', 1), '')"
+    return f"nullif(regexp_replace(regexp_extract({x}, '(?im){p}', 1), '^\\s+|\\s+$', '', 'g'), '')"
 
 
 _DOC = "url || ' ' || html"
@@ -47,11 +47,14 @@ def c14(spark, sf):
     return X.extract_rules(p, "html", KV_RULES, fold=True).select("page_id", *KV_RULES)
 
 
+_FOLD = r"trim(regexp_replace(x, '\s+', ' ', 'g'))"
+
+
 @register("C15_table_extraction", f"""
 SELECT page_id, i AS match_no, h[i + 1] AS href, l[i + 1] AS label FROM (
   SELECT page_id, h, l, unnest(range(len(h))) AS i FROM (
-    SELECT page_id, regexp_extract_all(html, '{LINK_PATTERN}', 1) AS h,
-           regexp_extract_all(html, '{LINK_PATTERN}', 2) AS l FROM pages))""")
+    SELECT page_id, list_transform(regexp_extract_all(html, '{LINK_PATTERN}', 1), lambda x: {_FOLD}) AS h,
+           list_transform(regexp_extract_all(html, '{LINK_PATTERN}', 2), lambda x: {_FOLD}) AS l FROM pages))""")
 def c15(spark, sf):
     p = table(spark, sf, "pages").select("page_id", "html")
     return X.extract_table(p, "page_id", "html", LINK_PATTERN, ["href", "label"])

@@ -19,6 +19,10 @@ def test_report_fact_pushes_date_range(spark):
     assert "LessThan(l_shipdate" in p
 
 
+def test_no_round_robin_in_front_of_the_fact(spark):
+    assert "RoundRobinPartitioning" not in _plan(report_fact(spark, SF_SMALL))
+
+
 def test_column_pruning_reaches_scan(spark):
     df = A.status_distribution(report_fact(spark, SF_SMALL))
     p = _plan(df)

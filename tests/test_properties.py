@@ -53,16 +53,6 @@ def test_custom_python_validator(spark):
     assert {r["code"]: r["n"] for r in out} == {"ab": 1, "abc": 0, None: 0}
 
 
-def test_spread_only_narrow_scans(spark):
-    from haulspark.sources.tables import spread_if_narrow
-    target = spark.sparkContext.defaultParallelism
-    wide = spark.range(0, 1000, 1, target * 2)
-    assert spread_if_narrow(wide) is wide
-    narrow = spark.range(0, 1000, 1, 1)
-    out = spread_if_narrow(narrow)
-    assert out.rdd.getNumPartitions() == target and out.count() == 1000
-
-
 def test_fixed_sum_beyond_bigint(spark):
     from haulspark.functions.numeric import fixed_sum
     from pyspark.sql import functions as F

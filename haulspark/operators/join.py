@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.numeric import fixed_sum
+
 
 def semi_lookup(dim: DataFrame, ids: DataFrame, dim_key: str, id_key: str) -> DataFrame:
     """J4 (batched): dimension rows whose key is in an id list."""
@@ -35,7 +37,7 @@ def completion_totals(old: DataFrame, new: DataFrame, drivers: DataFrame) -> Dat
     n = new.select("route_key", F.col("status").alias("new_status"), "driver_id", "total_miles")
     t = (n.join(o, "route_key")
          .filter((F.col("new_status") == "completed") & ~F.col("old_status").eqNullSafe(F.lit("completed")))
-         .groupBy("driver_id").agg(F.sum(F.coalesce("total_miles", F.lit(0.0))).alias("add_miles"),
+         .groupBy("driver_id").agg(fixed_sum(F.coalesce("total_miles", F.lit(0.0))).alias("add_miles"),
                                    F.count(F.lit(1)).alias("add_routes")))
     return (drivers.join(t, "driver_id", "left")
             .select("driver_id", (F.col("total_miles") + F.coalesce("add_miles", F.lit(0.0))).alias("total_miles"),
@@ -44,16 +46,19 @@ def completion_totals(old: DataFrame, new: DataFrame, drivers: DataFrame) -> Dat
 
 def geocode(points: DataFrame, gazetteer: DataFrame, city: str = "city", state: str = "state") -> DataFrame:
     """One resolution per distinct (city, state); most specific match
-    first (city + state), then city alone; misses stay NULL."""
+    first (city + state), then city alone; misses stay NULL.  Of several
+    gazetteer rows for one key the least counts, so points never multiply."""
     keys = points.select(city, state).distinct()
-    g2 = gazetteer.select(F.col("city").alias(city), F.col("state").alias(state),
-                          F.col("latitude").alias("_lat2"), F.col("longitude").alias("_lon2"))
+    g2 = (gazetteer.groupBy(F.col("city").alias(city), F.col("state").alias(state))
+          .agg(F.min(F.struct("latitude", "longitude")).alias("_p2")))
     g1 = (gazetteer.groupBy(F.col("city").alias(city))
-          .agg(F.min_by("latitude", "state").alias("_lat1"), F.min_by("longitude", "state").alias("_lon1")))
+          .agg(F.min(F.struct("state", "latitude", "longitude")).alias("_p1")))
     res = (keys.join(g2, [city, state], "left").join(g1, city, "left")
-           .select(city, state, F.coalesce("_lat2", "_lat1").alias("latitude"),
-                   F.coalesce("_lon2", "_lon1").alias("longitude")))
-    return points.join(res, [city, state], "left")
+           .select(F.col(city).alias("_city"), F.col(state).alias("_state"),
+                   F.coalesce("_p2.latitude", "_p1.latitude").alias("latitude"),
+                   F.coalesce("_p2.longitude", "_p1.longitude").alias("longitude")))
+    same = points[city].eqNullSafe(res["_city"]) & points[state].eqNullSafe(res["_state"])
+    return points.join(res, same, "left").drop("_city", "_state")
 
 
 def recipients(alerts: DataFrame, rules: DataFrame, members: DataFrame) -> DataFrame:

@@ -27,7 +27,7 @@ def threshold_issues(metrics: DataFrame, thresholds: DataFrame, keys: list[str])
     threshold); value > threshold is an issue; issues joined with '; '.
     Per key at most one issue per metric, so the joined list is bounded by
     the threshold table."""
-    j = metrics.join(F.broadcast(thresholds), "metric")
+    j = metrics.join(thresholds, "metric")
     issue = F.when(F.col("value") > F.col("threshold"),
                    F.concat(F.col("metric"), F.lit(" above "), F.col("threshold").cast("string")))
     g = j.groupBy(*keys).agg(F.array_sort(F.collect_list(issue)).alias("_i"))
@@ -56,8 +56,9 @@ def observed(df: DataFrame, name: str = "pipeline") -> tuple[DataFrame, Observat
 
 
 def last_runs(runs: DataFrame, job: str, ts: str, result: str, success: str) -> DataFrame:
-    """Per job: runs, successes, last run time and its result."""
+    """Per job: runs, successes, last run time and its result (of runs at
+    the same time, the greatest result)."""
     return runs.groupBy(job).agg(F.count(F.lit(1)).alias("runs"),
                                  F.count_if(F.col(success)).cast("long").alias("successes"),
                                  F.max(ts).alias("last_run"),
-                                 F.max_by(result, ts).alias("last_result"))
+                                 F.max_by(result, F.struct(ts, result)).alias("last_result"))

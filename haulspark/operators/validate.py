@@ -3,7 +3,8 @@
 A rule is ``{field, type, params, severity, message}``.  Every rule becomes a
 ``when(violated, struct(...))`` expression; a record's findings are the
 non-NULL entries of one ``array(...)`` -- a single Project over the scan, no
-Python per row.  NULL input passes every rule except ``required``.
+Python per row.  NULL input passes every built-in rule except ``required``;
+registered and record-level rules see it.
 Uniqueness (V11) is the only rule that needs other rows: it is a grouped
 count joined back (partial aggregation collapses a hot value before the
 shuffle; AQE splits the skewed side of the join), never a window over a
@@ -11,6 +12,7 @@ possibly-huge partition.
 """
 
 from collections.abc import Callable
+from string import Formatter
 
 import pandas as pd
 
@@ -60,20 +62,29 @@ CUSTOM_VALIDATORS: dict[str, Callable[[Column, dict], tuple[Column, Column]]] =
 
 
 def register_validator(name: str, fn: Callable[[Column, dict], tuple[Column, Column]]) -> None:
-    """Add a rule type; ``fn`` maps the value column and params to
-    ``(ok, suggested)`` columns.  A plain Python predicate can be lifted with
+    """Add a rule type; ``fn`` maps the value column (NULL included) and params
+    to ``(ok, suggested)`` or ``(ok, suggested, error)`` columns; a NULL ``ok`` is a
+    violation.  A plain Python predicate can be lifted with
     :func:`python_validator` (Arrow-batched pandas UDF, the slow path)."""
     CUSTOM_VALIDATORS[name] = fn
 
 
 def python_validator(pred: Callable[[object, dict], bool]) -> Callable[[Column, dict], tuple[Column, Column]]:
-    """Wrap a per-value Python predicate as a vectorised pandas UDF rule."""
+    """Wrap a per-value Python predicate as a vectorised pandas UDF rule; an
+    exception becomes the finding's error text."""
 
     def make(v: Column, params: dict):
-        @F.pandas_udf("boolean")
-        def ok(s: pd.Series) -> pd.Series:
-            return s.map(lambda x: True if x is None else bool(pred(x, params)))
-        return ok(v.cast("string")), v.cast("string")
+        def one(x):
+            try:
+                return bool(pred(None if pd.isna(x) else x, params)), None
+            except Exception as e:  # noqa: BLE001 -- the rule is the caller's
+                return False, str(e)
+
+        @F.pandas_udf("ok boolean, error string")
+        def check(s: pd.Series) -> pd.DataFrame:
+            return pd.DataFrame([one(x) for x in s], columns=["ok", "error"])
+        got = check(v.cast("string"))
+        return got["ok"], v.cast("string"), got["error"]
     return make
 
 
@@ -117,7 +128,7 @@ def _conversions(rules: list[dict], cols: set) -> dict[str, Column]:
     return out
 
 
-def rule_check(df_cols: set, rule: dict, record: Column | None = None) -> tuple[Column, Column]:
+def rule_check(df_cols: set, rule: dict) -> tuple[Column, Column]:
     """(violated, suggested_value as text) of one rule."""
     f, t, p = rule["field"], rule["type"], rule.get("params", {})
     v = F.col(f) if f in df_cols else F.lit(None).cast("string")
@@ -190,25 +201,57 @@ def rule_check(df_cols: set, rule: dict, record: Column | None = None) -> tuple[
     if t == "unique":
         # resolved by with_findings via a grouped count; placeholder here
         return F.col(f"__dup_{f}"), vs
-    if t == "record":
-        # Rule-level callable that sees the whole record as a struct
-        ok = p["fn"](v, record if record is not None else F.struct("*"))
-        return ~null & ~ok, vs
-    if t in CUSTOM_VALIDATORS:
-        ok, sug = CUSTOM_VALIDATORS[t](v, p)
-        return ~null & ~ok, _s(sug)
     raise ValueError(f"unknown rule type {t}")
 
 
-def _finding(rule: dict, sug: Column, v: Column) -> Column:
+def custom_check(df_cols: set, rule: dict) -> tuple[Column, Column, Column]:
+    """(violated, suggested value, error text) of a registered (E1) or
+    record-level (E2) rule.  The rule also sees NULL; a callable that raises while
+    the expression is built is an error of every record, not of the job."""
+    f, t, p = rule["field"], rule["type"], rule.get("params", {})
+    v = F.col(f) if f in df_cols else F.lit(None).cast("string")
+    none = F.lit(None).cast("string")
+    try:
+        # A callable that sees the whole record as a struct
+        got = p["fn"](v, F.struct("*")) if t == "record" else CUSTOM_VALIDATORS[t](v, p)
+    except Exception as e:  # noqa: BLE001 -- the rule is the caller's
+        return F.lit(True), none, F.lit(str(e))
+    ok, sug, error, *_ = (*got, none, none) if isinstance(got, tuple) else (got, _s(v), none)
+    return ~F.coalesce(ok, F.lit(False)), _s(sug), error
+
+
+def _message(rule: dict, v: Column, index: Column) -> Column:
+    """The rule's message with ``{value}``, ``{record_index}`` and its parameters filled in."""
+    filled = {"value": F.coalesce(_s(v), F.lit("None")), "record_index": _s(index),
+              **{k: F.lit(str(x)) for k, x in rule.get("params", {}).items() if not callable(x)}}
+    parts = []
+    for text, name, _, _ in Formatter().parse(rule["message"]):
+        if text:
+            parts.append(F.lit(text))
+        if name is not None:
+            if name not in filled:
+                raise ValueError(f"message {rule['message']!r}: nothing fills {{{name}}}")
+            parts.append(filled[name])
+    return F.concat(*parts) if len(parts) > 1 else parts[0] if parts else F.lit("")
+
+
+def _finding(rule: dict, sug: Column, v: Column, index: Column, error: Column | None = None) -> Column:
+    severity, message = F.lit(rule["severity"]), _message(rule, v, index)
+    if error is not None:
+        name = "Custom validator" if rule["type"] == "record" else f"Validator {rule['type']}"
+        severity = F.when(error.isNotNull(), ERROR).otherwise(severity)
+        message = F.when(error.isNotNull(), F.concat(F.lit(f"{name} error: "), error)).otherwise(message)
+        sug = F.when(error.isNull(), sug)
     return F.struct(F.lit(rule["field"]).alias("field_name"), F.lit(rule["type"]).alias("rule_type"),
-                    F.lit(rule["severity"]).alias("severity"), F.lit(rule["message"]).alias("message"),
+                    severity.alias("severity"), message.alias("message"),
                     _s(v).alias("value"), sug.alias("suggested_value"))
 
 
-def with_findings(df: DataFrame, rules: list[dict] = ROUTE_RULES, out: str = "findings") -> DataFrame:
+def with_findings(df: DataFrame, rules: list[dict] = ROUTE_RULES, out: str = "findings",
+                  index: str | None = None) -> DataFrame:
     """Add ``findings array<struct<field_name, rule_type, severity,
-    message, value, suggested_value>>`` in rule order."""
+    message, value, suggested_value>>`` in rule order.  ``index`` names the column
+    that fills ``{record_index}`` in messages."""
     for f in {r["field"] for r in rules if r["type"] == "unique"}:
         dup = (df.filter(F.col(f).isNotNull()).groupBy(f).agg(F.count(F.lit(1)).alias("_n"))
                .filter("_n > 1").select(f, F.lit(True).alias(f"__dup_{f}")))
@@ -218,10 +261,12 @@ def with_findings(df: DataFrame, rules: list[dict] = ROUTE_RULES, out: str = "fi
         df = df.withColumns(conv)
     cols = set(df.columns)
     items = []
+    at = F.col(index) if index else F.lit(None).cast("string")
     for r in rules:
-        bad, sug = rule_check(cols, r)
+        own = r["type"] == "record" or r["type"] in CUSTOM_VALIDATORS
+        bad, sug, *error = custom_check(cols, r) if own else rule_check(cols, r)
         v = F.col(r["field"]) if r["field"] in cols else F.lit(None).cast("string")
-        items.append(F.when(F.coalesce(bad, F.lit(False)), _finding(r, sug, v)))
+        items.append(F.when(F.coalesce(bad, F.lit(False)), _finding(r, sug, v, at, *error)))
     out_df = df.withColumn(out, F.array_compact(F.array(*items)))
     return out_df.drop(*[c for c in out_df.columns if c.startswith(("__dup_", "__num_", "__date_"))])
 

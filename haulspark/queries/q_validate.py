@@ -243,20 +243,21 @@ def v15(spark, sf):
 V.register_validator("multiple_of", lambda v, p: (
     F.coalesce(F.pmod(v.try_cast("double"), F.lit(float(p["step"]))) == 0, F.lit(False)), v.cast("string")))
 E1_RULE = {"field": "total_miles", "type": "multiple_of", "params": {"step": 40}, "severity": V.WARNING,
-           "message": "Miles should be a multiple of 40"}
-E2_RULE = {"field": "driver_name", "type": "record", "severity": V.WARNING,
-           "message": "Driver must not also be the customer",
-           "params": {"fn": lambda v, rec: v != F.coalesce(rec["customer_name"], F.lit(""))}}
+           "message": "Miles should be a multiple of {step}, not {value}"}
+E2_RULE = {"field": "customer_name", "type": "record", "severity": V.WARNING,
+           "message": "Record {record_index}: miles without a customer",
+           "params": {"fn": lambda v, rec: (v.isNotNull() | rec["total_miles"].isNull(),
+                                            F.concat(F.lit("Customer of "), rec["driver_name"]))}}
 
 
 @register("E1_custom_validator", with_routes(f"""
 , {COLLECTED_SQL.strip()}
 SELECT record_key, 0 AS position, 'total_miles' AS field_name, 'multiple_of' AS rule_type,
-       'warning' AS severity, 'Miles should be a multiple of 40' AS message,
+       'warning' AS severity, 'Miles should be a multiple of 40, not ' || coalesce(total_miles, 'None') AS message,
        total_miles AS value, total_miles AS suggested_value
 FROM collected
-WHERE total_miles IS NOT NULL AND (try_cast(total_miles AS DOUBLE) IS NULL
-      OR try_cast(total_miles AS DOUBLE) - 40 * floor(try_cast(total_miles AS DOUBLE) / 40) <> 0)""".replace(
+WHERE try_cast(total_miles AS DOUBLE) IS NULL
+      OR try_cast(total_miles AS DOUBLE) - 40 * floor(try_cast(total_miles AS DOUBLE) / 40) <> 0""".replace(
     "\n, collected AS", ", collected AS", 1)))
 def e1(spark, sf):
     return V.findings_report(_found(spark, sf, [E1_RULE]), "record_key")
@@ -264,10 +265,11 @@ def e1(spark, sf):
 
 @register("E2_record_rule", with_routes(f"""
 , {COLLECTED_SQL.strip()}
-SELECT record_key, 0 AS position, 'driver_name' AS field_name, 'record' AS rule_type,
-       'warning' AS severity, 'Driver must not also be the customer' AS message,
-       driver_name AS value, driver_name AS suggested_value
-FROM collected WHERE driver_name IS NOT NULL AND driver_name = coalesce(customer_name, '')""".replace(
+SELECT record_key, 0 AS position, 'customer_name' AS field_name, 'record' AS rule_type,
+       'warning' AS severity, 'Record ' || record_key || ': miles without a customer' AS message,
+       customer_name AS value, 'Customer of ' || driver_name AS suggested_value
+FROM collected WHERE customer_name IS NULL AND total_miles IS NOT NULL""".replace(
     "\n, collected AS", ", collected AS", 1)))
 def e2(spark, sf):
-    return V.findings_report(_found(spark, sf, [E2_RULE]), "record_key")
+    """The rule sees the NULL customer and the rest of its record."""
+    return V.findings_report(V.with_findings(collected(spark, sf), [E2_RULE], index="record_key"), "record_key")

@@ -95,10 +95,10 @@ def idempotent_totals(stream: DataFrame, key: str, value: str, name: str) -> Dat
     ledger_dir, ckpt = os.path.join(base, "ledger"), os.path.join(base, "_checkpoint")
 
     def latest() -> tuple[int | None, str | None]:
-        try:
-            led = spark.read.parquet(ledger_dir)
-        except Exception:  # no ledger yet
-            return None, None
+        path = spark._jvm.org.apache.hadoop.fs.Path(ledger_dir)
+        if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+            return None, None  # no ledger yet; any other failure to read must stop the batch
+        led = spark.read.schema("batch_id long, version string").parquet(ledger_dir)
         row = led.agg(F.max_by("version", "batch_id").alias("v"), F.max("batch_id").alias("b")).first()
         return row["b"], row["v"]
 

@@ -50,7 +50,48 @@ def test_custom_python_validator(spark):
     df = spark.createDataFrame([("ab",), ("abc",), (None,)], "code string")
     rules = [{"field": "code", "type": "odd_len", "params": {}, "severity": "warning", "message": "even"}]
     out = V.with_findings(df, rules).select("code", F.size("findings").alias("n")).collect()
-    assert {r["code"]: r["n"] for r in out} == {"ab": 1, "abc": 0, None: 0}
+    assert {r["code"]: r["n"] for r in out} == {"ab": 1, "abc": 0, None: 1}  # the rule sees None
+
+
+def test_raising_rules_are_findings(spark):
+    V.register_validator("late", V.python_validator(lambda v, p: 1 // int(v) >= 0))
+    V.register_validator("early", lambda v, p: p["absent"])
+    rules = [{"field": "code", "type": t, "params": {}, "severity": "warning", "message": "{value}"}
+             for t in ("late", "early")]
+    df = spark.createDataFrame([("1",), ("0",)], "code string")
+    got = {r["code"]: [(f["rule_type"], f["severity"], f["message"]) for f in r["findings"]]
+           for r in V.with_findings(df, rules).collect()}
+    early = ("early", "error", "Validator early error: 'absent'")
+    assert got["1"] == [early]
+    assert got["0"][0][:2] == ("late", "error") and "zero" in got["0"][0][2] and got["0"][1] == early
+
+
+def test_radius_search_across_antimeridian_and_poles(spark):
+    from math import asin, cos, radians, sin, sqrt
+    from haulspark.operators.geo import within_radius
+
+    def miles(a, b, c, d):
+        a, b, c, d = map(radians, (a, b, c, d))
+        return 2 * 3956 * asin(sqrt(min(1, sin((c - a) / 2) ** 2 + cos(a) * cos(c) * sin((d - b) / 2) ** 2)))
+
+    spots = [(lat, lon) for lat in (-90.0, -89.2, -75.5, 0.0, 10.0, 70.3, 85.0, 89.0, 90.0)
+             for lon in (-180.0, -179.99, -120.5, -1.0, 0.0, 45.0, 179.99)]
+    df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(spots)], "id long, lat double, lon double")
+    for radius in (0.0, 60.0, 300.0, 5000.0):
+        got = within_radius(df.withColumnRenamed("id", "point_id"), df.withColumnRenamed("id", "centre_id"), radius)
+        want = {(i, j) for i, p in enumerate(spots) for j, q in enumerate(spots) if miles(*p, *q) <= radius}
+        rows = [(r["centre_id"], r["point_id"]) for r in got.collect()]
+        assert len(rows) == len(set(rows))
+        assert set(rows) == want, radius
+
+
+def test_geocode_keeps_the_number_of_points(spark):
+    from haulspark.operators.join import geocode
+    points = spark.createDataFrame([(1, "a", "x"), (2, "a", None), (3, "b", "x")], "id int, city string, state string")
+    gaz = spark.createDataFrame([("a", "x", 1.0, 2.0), ("a", "x", 0.5, 9.0), ("a", "y", 7.0, 7.0)],
+                                "city string, state string, latitude double, longitude double")
+    got = {r["id"]: (r["latitude"], r["longitude"]) for r in geocode(points, gaz).collect()}
+    assert got == {1: (0.5, 9.0), 2: (0.5, 9.0), 3: (None, None)}
 
 
 def test_fixed_sum_beyond_bigint(spark):

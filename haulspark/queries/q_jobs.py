@@ -13,7 +13,7 @@ from ..sources import files as S
 from ..sources.tables import table
 from .q_entity import NESTED_SQL, ORDER, nested_routes
 from .q_joins import GAZ_SQL, _POINTS_SQL, _points, gazetteer
-from .q_reports import A18_SQL, MONTH, MONTHLY_FORMULAS, MONTHLY_KPIS
+from .q_reports import A18_ALL_SQL, A18_SQL, MONTH, MONTHLY_FORMULAS, MONTHLY_KPIS
 from .q_sources import _landed_csv
 from .q_standardize import (API_FEED_SQL, EMAIL_FEED_SQL, FILE_FEED_SQL, api_feed, email_feed, file_feed,
                             s_float, s_iso)
@@ -156,3 +156,13 @@ FROM ({A18_SQL})"""))
 def e4(spark, sf):
     """A report template given as a spec, compiled to DataFrames."""
     return JB.compile_template(report_fact(spark, sf, *MONTH), TEMPLATE)["kpis"]
+
+
+@register("E4_report_template_all", with_routes(f"""
+SELECT *, {r2('(total_revenue - total_costs) / nullif(total_revenue, 0) * 100')} AS profit_margin_pct,
+       {r2('total_revenue / nullif(total_routes, 0)')} AS revenue_per_route,
+       {r2('total_costs / nullif(total_miles, 0)')} AS cost_per_mile
+FROM ({A18_ALL_SQL})"""))
+def e4_all(spark, sf):
+    """The same template over the whole fact."""
+    return JB.compile_template(report_fact(spark, sf), TEMPLATE)["kpis"]

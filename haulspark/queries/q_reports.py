@@ -352,6 +352,24 @@ def a19(spark, sf):
     return A.formula_kpis(A.kpis(_fact(spark, sf, MONTH, need=A.NEEDS["kpis"]), MONTHLY_KPIS), MONTHLY_FORMULAS)
 
 
+# The same over the whole fact.
+A18_ALL_SQL = A18_SQL.replace(_where(MONTH), "")
+
+
+@register("A18_kpi_metrics_all", with_routes(A18_ALL_SQL))
+def a18_all(spark, sf):
+    return A.kpis(_fact(spark, sf, need=A.NEEDS["kpis"]), MONTHLY_KPIS)
+
+
+@register("A19_formula_kpis_all", with_routes(f"""
+SELECT *, {r2('(total_revenue - total_costs) / nullif(total_revenue, 0) * 100')} AS profit_margin_pct,
+       {r2('total_revenue / nullif(total_routes, 0)')} AS revenue_per_route,
+       {r2('total_costs / nullif(total_miles, 0)')} AS cost_per_mile
+FROM ({A18_ALL_SQL})"""))
+def a19_all(spark, sf):
+    return A.formula_kpis(A.kpis(_fact(spark, sf, need=A.NEEDS["kpis"]), MONTHLY_KPIS), MONTHLY_FORMULAS)
+
+
 @register("A20_per_route_averages", with_routes(f"""
 SELECT total_routes, {r2('total_revenue / greatest(total_routes, 1)')} AS revenue_per_route,
        {r2('total_miles / greatest(total_routes, 1)')} AS miles_per_route,

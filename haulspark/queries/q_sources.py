@@ -233,15 +233,16 @@ sec AS (SELECT 'summary' AS section, cast(1 AS BIGINT) AS rows
         UNION ALL SELECT 'routes', count(*) FROM m)""")
 
 
-def _bundle(spark, sf):
-    f = report_fact(spark, sf, *MONTH).persist()
+def _bundle(spark, sf, period):
+    f = report_fact(spark, sf, *period).persist()
     return {"summary": A.period_summary(f), "drivers": A.driver_metrics(f), "customers": A.customer_metrics(f),
             "routes": f.select("route_key", "route_date", "driver_name", "revenue", "total_costs", "profit")}
 
 
-def _export(spark, sf, formats, name):
+def _export(spark, sf, formats, name, period=MONTH):
+    """The bundle of a period (inclusive dates; () for the whole fact), exported."""
     root = scratch_path(spark, name)
-    return K.export_bundle(_bundle(spark, sf), root, formats)
+    return K.export_bundle(_bundle(spark, sf, period), root, formats)
 
 
 @register("S13_csv_export", _BUNDLE_SQL + "\nSELECT section, 'csv' AS format, rows, 'ok' AS status FROM sec WHERE rows > 0")
@@ -258,3 +259,22 @@ def s14(spark, sf):
 SELECT section, f AS format, rows, 'ok' AS status FROM sec, (VALUES ('csv'), ('json'), ('parquet')) v(f) WHERE rows > 0""")
 def s15(spark, sf):
     return _export(spark, sf, ["csv", "json", "parquet"], "s15-export")
+
+
+_BUNDLE_ALL_SQL = _BUNDLE_SQL.replace(f" WHERE route_date BETWEEN DATE '{MONTH[0]}' AND DATE '{MONTH[1]}'", "")
+
+
+@register("S13_csv_export_all", _BUNDLE_ALL_SQL + "\nSELECT section, 'csv' AS format, rows, 'ok' AS status FROM sec WHERE rows > 0")
+def s13_all(spark, sf):
+    return _export(spark, sf, ["csv"], "s13-export-all", ())
+
+
+@register("S14_json_export_all", _BUNDLE_ALL_SQL + "\nSELECT section, 'json' AS format, rows, 'ok' AS status FROM sec WHERE rows > 0")
+def s14_all(spark, sf):
+    return _export(spark, sf, ["json"], "s14-export-all", ())
+
+
+@register("S15_multi_format_export_all", _BUNDLE_ALL_SQL + """
+SELECT section, f AS format, rows, 'ok' AS status FROM sec, (VALUES ('csv'), ('json'), ('parquet')) v(f) WHERE rows > 0""")
+def s15_all(spark, sf):
+    return _export(spark, sf, ["csv", "json", "parquet"], "s15-export-all", ())

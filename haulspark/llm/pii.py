@@ -5,14 +5,15 @@ text: e-mail and IPv4 addresses, card, phone, social-security and IBAN numbers,
 and person names after a title.
 
 *Inventory.*  Every entity is split into parts with a canonical form (an e-mail
-in lower case, a phone's last ten digits, a name's given name and surname), so
+in lower case, a phone's last ten digits, a name's given names and surname), so
 that two spellings of one entity share a part: coreference.  The distinct parts
 form the inventory.
 
 *Surrogates* come from SHA-256 of (key, kind, canonical form, attempt): same
 kind, same shape (digit for digit, letter for letter, separators kept), same
 country or brand prefix and a valid check digit where the original had one,
-given names of the title's gender, names in the original's script.
+given names of the title's gender, names in the original's script.  An initial
+becomes another letter, name particles stay.
 
 *Collision check.*  A surrogate must differ from every other surrogate and every
 original of its kind; the losers of a round draw again with the next attempt
@@ -27,7 +28,9 @@ put the documents or pairs on the side that adaptive execution splits.
 Defined results: a null text stays null, an empty one empty; repeated rows and
 ties give equal replacements; an empty table gives an empty result; extra
 columns are carried by :func:`replace` (``n_chars`` follows the new text).
-Names without a title are not detected.
+Names without a title are not detected; behind a title every capitalised word,
+initial and name particle up to the next other word belongs to the name, the last
+being the surname.
 """
 
 from __future__ import annotations
@@ -47,8 +50,12 @@ TITLES = {
     "f": ("Mrs", "Ms", "Miss", "Frau", "Mme", "Madame", "Mlle", "Señora", "Sra", "госпожа", "г-жа", "κυρία"),
     "u": ("Dr", "Prof", "Mx"),
 }
-_NAME = r"\p{Lu}[\p{L}'’-]*+"
 _ALL_TITLES = "|".join(t for ts in TITLES.values() for t in ts)
+_PARTICLES = "(?:(?:de|del|della|di|da|das|do|dos|du|van|von|der|den|ter|ten|zu|zur|la|las|los|le|el|al|bin|ibn|af|av) ){0,3}+"
+_INITIALS = r"(?:(?:\p{Lu}\.)++ ?|\p{Lu} )*+"
+# a word of a name, none that starts another name or ends this one
+_WORD = rf"(?!(?:{_ALL_TITLES}|Jr|Junior|II|III|IV)(?![\p{{L}}]))\p{{Lu}}[\p{{L}}'’-]++"
+_NAME = rf"(?:{_INITIALS}{_PARTICLES}{_WORD}|\p{{Lu}}[\p{{L}}'’-]*+)(?: {_INITIALS}{_PARTICLES}{_WORD})*+"
 
 # Each pattern starts at a token start and uses possessive runs: linear time on any text.
 PATTERNS = {
@@ -58,7 +65,7 @@ PATTERNS = {
     "card": r"(?<![\w+])(?:[3-6]\d{3}(?:[ -]?\d{4}){3}|3[47]\d{2}[ -]?\d{6}[ -]?\d{5})(?![\w-])",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
     "phone": r"(?<![\w+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?![\w-])",
-    "name": rf"(?<![\w-])(?:(?:{_ALL_TITLES})\.? |M\. ){_NAME}(?: {_NAME})?",
+    "name": rf"(?<![\w-])(?:(?:{_ALL_TITLES})\.? |M\. ){_NAME}",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 
@@ -85,7 +92,7 @@ def _lit_array(values) -> Column:
 def entities(text: Column) -> Column:
     """Every match of a pattern.  All patterns need a digit, an ``@`` or a title,
     so the long alternation runs only on texts that have one."""
-    maybe = text.rlike("[0-9@]") | text.rlike(rf"(?<![\w-])(?:{_ALL_TITLES}|M\.)\.? \p{{Lu}}")
+    maybe = text.rlike("[0-9@]") | text.rlike(rf"(?<![\w-])(?:{_ALL_TITLES}|M\.)\.? (?:{_PARTICLES})\p{{Lu}}")
     return F.when(maybe, F.regexp_extract_all(text, F.lit(ANY), F.lit(0)))
 
 
@@ -110,20 +117,45 @@ def _alnum(x: Column) -> Column:
     return F.regexp_replace(x, r"[^A-Za-z0-9]", "")
 
 
+def _pieces(raw: Column) -> Column:
+    """The words of a name, each with the space behind it; initials may have none."""
+    return F.split(raw, r"(?<= )|(?<=\p{Lu}\.)(?=\p{Lu})")
+
+
+def _words(raw: Column) -> Column:
+    return F.transform(_pieces(raw), lambda w: F.rtrim(w))
+
+
+def _initial(word: Column, key: str) -> Column:
+    """Another letter of the same script for an initial; other words as they are."""
+    letter = F.substring(word, 1, 1)
+    others = F.when(_script(word) == "cyrillic", "АБВГДЕЖЗИКЛМНОПРСТУФХЦЧШЭЮЯ").when(
+        _script(word) == "greek", "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ").otherwise("ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+    others = F.replace(others, letter, F.lit(""))
+    drawn = F.conv(F.substring(F.sha2(F.concat(F.lit(key + "|initial|"), letter), 256), 1, 8), 16, 10).cast("long")
+    other = F.substring(others, (drawn % F.length(others)).cast("int") + 1, F.lit(1))
+    return F.when(word.rlike(r"^\p{Lu}(?:\.|$)"), F.concat(other, F.substring(word, F.lit(2), F.length(word)))).otherwise(word)
+
+
 def parts_of(raw: Column, kind: Column) -> Column:
-    """array<struct(kind, value)>: what is replaced, in canonical form."""
+    """array<struct(kind, value, at)>: what is replaced, in canonical form, and a name's word number."""
     digits = F.regexp_replace(raw, r"[^0-9]", "")
-    words = F.split(raw, " ")
+    words = _words(raw)
     last = F.element_at(words, -1)
     script = _script(last)
     gender = F.when((script != "latin") & (_gender(words[0]) == "u"), F.lit("m")).otherwise(_gender(words[0]))
 
-    def part(k: Column, v: Column) -> Column:
-        return F.struct(k.alias("kind"), v.alias("value"))
+    def part(k: Column, v: Column, at: Column = F.lit(0)) -> Column:
+        return F.struct(k.alias("kind"), v.alias("value"), at.alias("at"))
+
+    def name(w: Column, i: Column) -> Column:
+        """The last word is the surname; initials and particles have no part."""
+        is_last = i == F.size(words) - 1
+        given = F.concat(F.lit("given_"), gender, F.lit("_"), script)
+        return F.when((i > 0) & (is_last | w.rlike(r"^\p{Lu}[\p{L}'’-]")),
+                      part(F.when(is_last, F.concat(F.lit("surname_"), script)).otherwise(given), F.initcap(w), i))
 
-    surname = part(F.concat(F.lit("surname_"), script), F.initcap(last))
-    given = part(F.concat(F.lit("given_"), gender, F.lit("_"), script), F.initcap(words[1]))
-    return (F.when(kind == "name", F.when(F.size(words) > 2, F.array(given, surname)).otherwise(F.array(surname)))
+    return (F.when(kind == "name", F.filter(F.transform(words, name), lambda x: x.isNotNull()))
             .when(kind == "phone", F.array(part(kind, F.when(F.length(digits) > 10, F.expr("right(regexp_replace(raw, '[^0-9]', ''), 10)")).otherwise(digits))))
             .when(kind == "email", F.array(part(kind, F.lower(raw))))
             .when(kind == "ip", F.array(part(kind, raw)))
@@ -216,8 +248,8 @@ def mapping(raws: DataFrame, key: str) -> DataFrame:
     """(raw) distinct -> (raw, kind, replacement)."""
     ensure_checkpoint_dir(raws.sparkSession)
     raws = raws.withColumn("entity", kind_of(F.col("raw")))
-    parts = raws.select("raw", "entity", F.posexplode(parts_of(F.col("raw"), F.col("entity"))).alias("at", "part"))
-    parts = parts.select("raw", "entity", "at", "part.kind", "part.value").checkpoint()
+    parts = raws.select("raw", "entity", F.explode(parts_of(F.col("raw"), F.col("entity"))).alias("part"))
+    parts = parts.select("raw", "entity", "part.at", "part.kind", "part.value").checkpoint()
     known = assign(parts.select("kind", "value").distinct(), key)
     found = parts.join(known, ["kind", "value"])
     whole = found.groupBy("raw", "entity").agg(F.sort_array(F.collect_list(F.struct("at", "surrogate"))).alias("s"))
@@ -225,9 +257,11 @@ def mapping(raws: DataFrame, key: str) -> DataFrame:
     one = F.get("s", F.lit(0))["surrogate"]
     digits = F.regexp_replace(raw, r"[^0-9]", "")
     dialled = F.when(F.length(digits) > 10, F.concat(F.expr("left(regexp_replace(raw, '[^0-9]', ''), length(regexp_replace(raw, '[^0-9]', '')) - 10)"), one)).otherwise(one)
-    names = F.array_join(F.transform("s", lambda x: x["surrogate"]), " ")
+    at = F.map_from_entries("s")
+    names = F.array_join(F.transform(_pieces(raw), lambda w, i: F.when(i == 0, w).otherwise(F.concat(
+        F.coalesce(F.element_at(at, i), _initial(F.rtrim(w), key)), F.when(w.endswith(" "), " ").otherwise("")))), "")
     text = (F.when(entity.isin("email", "ip"), one).when(entity == "phone", _fill(raw, dialled, "[0-9]"))
-            .when(entity == "name", F.concat(F.substring_index(raw, " ", 1), F.lit(" "), names))
+            .when(entity == "name", names)
             .otherwise(_fill(raw, one, "[A-Za-z0-9]")))
     return whole.select("raw", entity.alias("kind"), text.alias("replacement"))
 

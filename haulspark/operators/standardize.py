@@ -334,6 +334,39 @@ def clean_party(s: str, extra: list[str] | None = None) -> Column:
     return F.struct(*parts)
 
 
+# The nested route record (P18), by the cleaning of its fields.
+NESTED_LOCATIONS = ("start_location", "end_location")
+NESTED_PARTIES = ("customer", "driver")
+NESTED_NUMBERS = ("load_weight", "load_value", "total_miles", "empty_miles", "fuel_consumed", "average_speed", "revenue",
+                  "fuel_cost", "toll_cost", "driver_pay", "other_costs")
+NESTED_TIMES = ("route_date", "scheduled_start_time", "actual_start_time", "scheduled_end_time", "actual_end_time")
+NESTED_TEXTS = ("load_type", "special_requirements", "status", "notes")
+
+
+def clean_nested_record(df: DataFrame) -> DataFrame:
+    """Every field of the nested route record cleaned, struct members by
+    C1-C5, dates and times by C6, numbers by C8, texts trimmed (empty: NULL);
+    other columns and struct members are kept, absent fields stay absent."""
+    def members(s: str, cleaned: Column, done: set) -> Column:
+        rest = [F.col(f"{s}.{m}").alias(m) for m in df.schema[s].dataType.names if m not in done]
+        return F.struct(*[cleaned[m].alias(m) for m in sorted(done)], *rest)
+
+    def party(s: str) -> Column:
+        names = df.schema[s].dataType.names
+        how = {"name": C.clean_name, "phone": C.clean_phone, "email": C.clean_email}
+        return F.struct(*[(fn(F.col(f"{s}.{m}")) if m in names else F.lit(None).cast("string")).alias(m) for m, fn in how.items()])
+
+    new = {}
+    for s in NESTED_LOCATIONS:
+        new[s] = lambda s=s: members(s, clean_location(s), {"address", "city", "state", "zip_code"})
+    for s in NESTED_PARTIES:
+        new[s] = lambda s=s: members(s, party(s), {"name", "phone", "email"})
+    new |= {c: lambda c=c: C.to_number(F.col(c)) for c in NESTED_NUMBERS}
+    new |= {c: lambda c=c: C.clean_datetime(F.col(c)) for c in NESTED_TIMES}
+    new |= {c: lambda c=c: F.regexp_replace(F.when(F.col(c) != "", F.col(c)), r"^\s+|\s+$", "") for c in NESTED_TEXTS}
+    return df.withColumns({c: make() for c, make in new.items() if c in df.columns})
+
+
 def enum_or_default(x, domain: list[str], default: str) -> Column:
     """Case-insensitive member of the domain, else the default (NULL too)."""
     v = F.lower(F.trim(F.col(x) if isinstance(x, str) else x))

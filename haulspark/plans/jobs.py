@@ -71,7 +71,8 @@ def collection_summary(found: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- R2 / R3
 def process_routes(spark: SparkSession, nested: DataFrame, gazetteer: DataFrame, order: list[str],
                    points: DataFrame) -> dict[str, DataFrame]:
-    """R2: dedupe -> geocode -> entities -> checks.  Returns the outputs; the
+    """R2: dedupe -> geocode -> entities, without clean, metrics, checks and
+    store.  Returns the outputs; the
     deduplicated fact is checkpointed (lineage cut) before the fan-out."""
     ensure_checkpoint_dir(spark)
     kept = U.first_per_key(nested, ["order_key", "line_no"], order).checkpoint(eager=True)

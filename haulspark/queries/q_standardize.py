@@ -374,13 +374,22 @@ def p17(spark, sf):
 # ---------------------------------------------------------------- P18-P23
 @register("P18_clean_nested_record")
 def p18(spark, sf):
-    """The nested route record cleaned field by field (C1-C8 on struct
-    members); rows-only check here, the same functions are oracle-checked
-    one by one in C1-C11."""
+    """The whole nested route record, landed as text, cleaned field by field
+    (C1-C8 on members); rows-only check here, the same functions are
+    oracle-checked one by one in C1-C11."""
     from .q_entity import nested_routes
-    n = nested_routes(spark, sf)
-    return n.select("route_key", P.clean_location("end_location").alias("end_location"),
-                    P.clean_party("customer").alias("customer"))
+    numbers = [c for c in P.NESTED_NUMBERS if c not in ("load_value", "average_speed", "fuel_cost")]
+    times = {f"{c}_time": c for c in ("scheduled_start", "actual_start", "scheduled_end", "actual_end")}
+    need = (*numbers, *times.values(), "raw_date", "raw_amount", "load_type_raw", "status")
+    more = [*[F.col(c).cast("string").alias(c) for c in numbers],
+            F.col("raw_amount").alias("fuel_cost"), F.col("raw_amount").alias("load_value"),
+            (F.col("total_miles") / 8.0).cast("string").alias("average_speed"),
+            *[F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(t) for t, c in times.items()],
+            F.col("raw_date"), F.concat(F.lit(" "), "load_type_raw").alias("load_type"),
+            F.when(F.col("load_type_raw") == "fragile", F.lit(" handle with care ")).alias("special_requirements"),
+            F.concat("status", F.lit(" ")).alias("status"), F.lit("").alias("notes")]
+    n = nested_routes(spark, sf, need, more).withColumn("route_date", F.col("raw_date")).drop("raw_date")
+    return P.clean_nested_record(n).drop("order_key", "line_no")
 
 
 @register("P19_enum_parse", with_routes("""

@@ -5,7 +5,7 @@ import datetime
 import __spark_entry__ as E
 from haulspark.operators import standardize as P
 
-from conftest import SF_SMALL
+from sf import SF_SMALL
 
 
 def test_every_field_of_the_record_comes_out(spark):

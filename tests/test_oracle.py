@@ -10,7 +10,7 @@ sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(
 import __spark_entry__ as E  # noqa: E402
 from oracle_check import norm, sort_key  # noqa: E402
 
-from conftest import SF_SMALL  # noqa: E402
+from sf import SF_SMALL  # noqa: E402
 
 ORACLE = E.oracle_sql()
 QUERIES = E.queries()

@@ -1,6 +1,6 @@
 """Plan-shape checks: pushdown, pruning, no Python in validation, equi joins."""
 
-from conftest import SF_SMALL
+from sf import SF_SMALL
 
 from haulspark.plans.report_fact import report_fact
 from haulspark.plans.collected_view import collected

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL
+from sf import SF_SMALL
 
 from haulspark.operators import entity as U
 from haulspark.operators import validate as V

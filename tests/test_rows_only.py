@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as E
-from conftest import SF_SMALL
+from sf import SF_SMALL
 
 from haulspark.operators import geo as G
 from haulspark.operators import standardize as P

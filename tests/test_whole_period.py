@@ -4,7 +4,7 @@ import pytest
 
 import __spark_entry__ as E
 
-from conftest import SF_SMALL
+from sf import SF_SMALL
 
 NAMES = ["A18_kpi_metrics", "A19_formula_kpis", "E4_report_template", "S13_csv_export", "S14_json_export", "S15_multi_format_export"]
 

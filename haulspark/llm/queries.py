@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from haulspark.llm import bpe, pii, quality, secrets, shuffle, simhash, substring, tiling, unigram, url_filter
+from haulspark.llm import bpe, collocations, pii, quality, secrets, shuffle, simhash, substring, tiling, unigram, url_filter
 
 RANKS = "byte_bpe_50k.tiktoken"
 PIECES = "piece_bpe_32k.model"
@@ -72,9 +72,13 @@ def op10_uniform_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(read(spark, sf_dir, "documents")).withColumnRenamed("grp", "lang")
+
+
 QUERIES = {f.__name__: f for f in (
     op1_url_filter, op2_substring_dedup, op3_simhash_dedup, op4_bpe_codec, op5_benchmark_tiling, op6_secret_scan,
-    op7_token_counts, op8_quality_rules, op9_pii_surrogates, op10_uniform_shards)}
+    op7_token_counts, op8_quality_rules, op9_pii_surrogates, op10_uniform_shards, op11_phrase_collocations)}
 
 
 def _list(values) -> str:
@@ -150,4 +154,37 @@ SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_s
        n_stop_words::BIGINT AS n_stop_words, n_symbol_lines::BIGINT AS n_symbol_lines FROM r"""
 
 
-ORACLE = {"op1_url_filter": op1_sql(), "op8_quality_rules": op8_sql()}
+def op11_sql(table: str = "documents", max_words: int = 3, min_count: int = 10, share: int = 50, top: int = 2000) -> str:
+    """Plain SQL: all n-grams counted, each cut scored, the least taken."""
+    orders = range(2, max_words + 1)
+    grams = " UNION ALL ".join(
+        f"SELECT lang, {n} AS m, unnest(list_transform(range(1, len(w) - {n} + 2), lambda i: array_to_string(w[i:i + {n} - 1], ' '))) AS phrase FROM p"
+        for n in range(1, max_words + 1))
+    cuts = " UNION ALL ".join(
+        f"SELECT c.lang, c.m, c.phrase, c.a, {k} AS k, array_to_string(string_split(c.phrase, ' ')[1:{k}], ' ') AS first, "
+        f"array_to_string(string_split(c.phrase, ' ')[{k + 1}:{n}], ' ') AS rest FROM c WHERE c.m = {n}"
+        for n in orders for k in range(1, n))
+    inside = " UNION ALL ".join(
+        f"SELECT lang, {n} AS m, array_to_string(string_split(phrase, ' ')[{i + 1}:{i + n}], ' ') AS phrase, a FROM c WHERE m = {long}"
+        for long in orders for n in range(2, long) for i in range(long - n + 1)) or "SELECT lang, m, phrase, a FROM c WHERE false"
+    return rf"""
+WITH d AS (
+  SELECT coalesce(lang, '{collocations.UNKNOWN_GROUP}') AS lang,
+         unnest(string_split_regex(translate(coalesce(text, ''), '{url_filter._UPPER}', '{url_filter._LOWER}'), '[.,;:!?\x0A-\x0D]')) AS piece FROM {table}),
+p AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM d),
+f AS (SELECT lang, m, phrase, count(*) AS a FROM ({grams}) GROUP BY ALL),
+n AS (SELECT lang, sum(a)::BIGINT AS n FROM f WHERE m = 1 GROUP BY lang),
+c AS (SELECT * FROM f WHERE m > 1 AND a >= {min_count}),
+s AS (
+  SELECT x.lang, x.m, x.phrase, x.a, x.k, l.a AS l, r.a AS r,
+         ((1000000::HUGEINT * x.a * x.a) // (l.a::HUGEINT * r.a))::BIGINT AS score
+  FROM ({cuts}) x JOIN f l ON l.lang = x.lang AND l.m = x.k AND l.phrase = x.first
+  JOIN f r ON r.lang = x.lang AND r.m = x.m - x.k AND r.phrase = x.rest),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inside AS (SELECT lang, m, phrase, max(a) AS longest FROM ({inside}) GROUP BY ALL),
+kept AS (SELECT b.* FROM b LEFT JOIN inside i USING (lang, m, phrase) WHERE coalesce(100 * i.longest < {share} * b.a, true)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN n USING (lang) WHERE rank <= {top}"""
+
+
+ORACLE = {"op11_phrase_collocations": op11_sql(), "op1_url_filter": op1_sql(), "op8_quality_rules": op8_sql()}

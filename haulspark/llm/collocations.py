@@ -120,6 +120,8 @@ def ngrams(group: bytes, data: bytes, order: int, known: list[np.ndarray]) -> tu
         both = (rank[:-1] >= 0) & (rank[1:] >= 0)
         last = ids[n:]
         keys = rank[:-1][both] * len(words) + last[both]
+        if not len(keys):
+            return [], np.empty(0, np.int64), total
         found, inverse, counts = np.unique(keys, return_inverse=True, return_counts=True)
         rank = np.full(len(both), -1, np.int64)
         rank[both] = inverse

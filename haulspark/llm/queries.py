@@ -12,12 +12,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from haulspark.llm import bpe, collocations, pii, quality, secrets, shuffle, simhash, substring, tiling, unigram, url_filter
+from haulspark.llm import alignment, bpe, collocations, packing, pii, quality, secrets, shuffle, simhash, substring, tiling, unigram, url_filter
 
 RANKS = "byte_bpe_50k.tiktoken"
 PIECES = "piece_bpe_32k.model"
 KEY = "surrogate-key-1"
 SHARDS = 16
+END_OF_TEXT = {"<|endoftext|>": 50256}
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,9 +77,19 @@ def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.mine(read(spark, sf_dir, "documents")).withColumnRenamed("grp", "lang")
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.aligned(read(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN,
+                             public_tokenizers.path(PIECES))
+
+
+def op13_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN, END_OF_TEXT)
+
+
 QUERIES = {f.__name__: f for f in (
     op1_url_filter, op2_substring_dedup, op3_simhash_dedup, op4_bpe_codec, op5_benchmark_tiling, op6_secret_scan,
-    op7_token_counts, op8_quality_rules, op9_pii_surrogates, op10_uniform_shards, op11_phrase_collocations)}
+    op7_token_counts, op8_quality_rules, op9_pii_surrogates, op10_uniform_shards, op11_phrase_collocations,
+    op12_token_alignment, op13_best_fit_packing)}
 
 
 def _list(values) -> str:

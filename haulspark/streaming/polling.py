@@ -1,13 +1,20 @@
 """Structured Streaming re-aims of the reference's polling.
 
-* X1 -- a landing folder polled once per new file: file source + checkpoint
-  (the checkpoint *is* the "already processed" ledger), ``maxFileAge`` for
-  too-old files, ``trigger(availableNow=True)`` for one catch-up run.
+A poll is one ``availableNow`` run of a stream over what has landed since the
+last one; the checkpoint under the shared folder is the "already processed"
+ledger between runs, so files that arrive between polls, restarts and replays of
+a failed batch all go through the same mechanism.
+
+* X1 -- a landing folder polled once per new file: file source,
+  ``maxFilesPerTrigger`` files a batch, ``maxFileAge`` for too-old files, files of
+  finished batches moved to an archive folder (``cleanSource``).
 * X2 -- duplicates across polls: ``dropDuplicatesWithinWatermark``.
-* X3 -- period totals kept current: event-time windows with a watermark
-  (late rows beyond it are dropped by the engine).
-* X4 -- running driver/user totals: ``foreachBatch`` that merges the batch
-  into a snapshot and records the batch id, so a replayed batch is a no-op.
+* X3 -- period totals kept current: hourly totals in append mode, whose closed
+  windows (``window_time``) feed a second windowed aggregation.  A row later than
+  the watermark is dropped, a closed window's state goes, and a row is copied
+  into the overlapping long windows only after it has been summed into its hour.
+* X4 -- running totals per key: ``foreachBatch`` writes each batch's increment and
+  commits a manifest of live parts keyed by batch id, so a replayed batch is a no-op.
 
 Sinks and checkpoints live under the shared ``spark.checkpoint.dir``; nothing
 is written to machine-local folders on a cluster.
@@ -16,6 +23,7 @@ is written to machine-local folders on a cluster.
 from __future__ import annotations
 
 import os
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,102 +31,124 @@ from pyspark.sql import types as T
 
 from ..session import scratch_path
 
-
-def table_stream(spark: SparkSession, sf_dir: str, name: str, schema: T.StructType,
-                 files_per_trigger: int | None = None) -> DataFrame:
-    """Stream one driver table (a Parquet file inside ``sf_dir``)."""
-    r = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
-    if files_per_trigger:
-        r = r.option("maxFilesPerTrigger", files_per_trigger)
-    return r.parquet(sf_dir)
+COMPACT_EVERY = 8  # increments that are read together at most
 
 
 def poll_directory(spark: SparkSession, landing: str, schema: T.StructType, fmt: str = "csv",
-                   max_file_age: str = "30d", **options) -> DataFrame:
-    """New files of a landing folder, each exactly once (checkpointed)."""
+                   max_file_age: str = "30d", files_per_batch: int | None = None, archive: str | None = None,
+                   **options) -> DataFrame:
+    """New files of a landing folder, each exactly once (checkpointed);
+    files of finished batches move to ``archive``, if it is given."""
     r = spark.readStream.format(fmt).schema(schema).option("maxFileAge", max_file_age)
+    if files_per_batch:
+        r = r.option("maxFilesPerTrigger", files_per_batch)
+    if archive:
+        r = r.option("cleanSource", "archive").option("sourceArchiveDir", archive)
     for k, v in options.items():
         r = r.option(k, v)
     return r.load(landing)
 
 
-def run_available_now(stream: DataFrame, name: str, mode: str = "append",
-                      partition_by: list[str] | None = None) -> DataFrame:
-    """Run a stream over everything available, into a Parquet sink under the
-    shared checkpoint folder; return the sink as a batch DataFrame.
-
-    ``complete``/``update`` outputs are written per micro-batch with
-    ``foreachBatch`` (overwrite = the latest full result)."""
-    spark = stream.sparkSession
-    base = scratch_path(spark, name)
-    sink, ckpt = os.path.join(base, "out"), os.path.join(base, "_checkpoint")
-    w = stream.writeStream.outputMode(mode).option("checkpointLocation", ckpt).trigger(availableNow=True)
-    if mode == "append":
-        w = w.format("parquet").option("path", sink)
-        if partition_by:
-            w = w.partitionBy(*partition_by)
-    else:
-        def write_batch(df: DataFrame, _batch_id: int) -> None:
-            df.write.mode("overwrite").parquet(sink)
-        w = w.foreachBatch(write_batch)
-    q = w.start()
-    q.awaitTermination()
-    return spark.read.parquet(sink)
+class Poller:
+    """A landing folder, a sink and the checkpoint between them; the folders of
+    ``base`` are kept from poll to poll."""
+
+    def __init__(self, spark: SparkSession, name: str, base: str | None = None):
+        self.spark = spark
+        self.base = base or scratch_path(spark, name)
+        self.landing, self.archive = (os.path.join(self.base, d) for d in ("landing", "archive"))
+        self.sink, self.checkpoint = (os.path.join(self.base, d) for d in ("out", "_checkpoint"))
+
+    def land(self, df: DataFrame, fmt: str = "parquet", **options) -> None:
+        """What a collector drops into the folder between two polls."""
+        df.write.mode("append").format(fmt).options(**options).save(self.landing)
+
+    def poll(self, stream: DataFrame, batch: Callable[[DataFrame, int], None] | None = None) -> None:
+        """One run over everything that has landed, in append mode: into the Parquet
+        sink, or into ``batch`` for every micro-batch."""
+        w = stream.writeStream.outputMode("append").option("checkpointLocation", self.checkpoint).trigger(availableNow=True)
+        w = w.foreachBatch(batch) if batch else w.format("parquet").option("path", self.sink)
+        w.start().awaitTermination()
+
+    def result(self) -> DataFrame:
+        """Rows of committed batches only (the sink's own log says which files count)."""
+        return self.spark.read.parquet(self.sink)
 
 
 def dedupe_within_watermark(stream: DataFrame, keys: list[str], ts: str, horizon: str) -> DataFrame:
-    """Drop repeats of ``keys`` seen within ``horizon`` of event time."""
+    """Drop repeats of ``keys`` seen within ``horizon`` of event time, in this
+    or an earlier poll; older keys leave the state."""
     return stream.withWatermark(ts, horizon).dropDuplicatesWithinWatermark(keys)
 
 
-def windowed_totals(stream: DataFrame, ts: str, size: str, slide: str | None, lateness: str,
-                    value: str) -> DataFrame:
-    """Count and exact sum per event-time window (tumbling or sliding)."""
-    win = F.window(ts, size, slide) if slide else F.window(ts, size)
-    g = (stream.withWatermark(ts, lateness).groupBy(win.alias("w"))
-         .agg(F.count(F.lit(1)).alias("events"),
-              F.sum(F.rint(F.col(value) * 100).cast("long")).alias("_v")))
+def period_totals(stream: DataFrame, ts: str, size: str, slide: str | None, lateness: str, value: str,
+                  grain: str = "1 hour") -> DataFrame:
+    """Count and exact sum per event-time window (tumbling, or sliding by
+    ``slide``, a multiple of ``grain``), emitted when the watermark passes its end.
+
+    Rows are summed per ``grain`` first; state holds one row for each open grain
+    and one for each open window.  Rows whose grain the watermark has closed are dropped."""
+    fine = stream.withWatermark(ts, lateness).groupBy(F.window(ts, grain).alias("g")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.rint(F.col(value) * 100).cast("long")).alias("cents"))
+    at = F.window_time("g")
+    win = F.window(at, size, slide) if slide else F.window(at, size)
+    g = fine.groupBy(win.alias("w")).agg(F.sum("n").alias("events"), F.sum("cents").alias("cents"))
     return g.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "events",
-                    (F.col("_v") / 100.0).alias("total_value"))
-
-
-def idempotent_totals(stream: DataFrame, key: str, value: str, name: str) -> DataFrame:
-    """Running per-key totals maintained by ``foreachBatch``.
-
-    Each batch is aggregated, merged with the latest snapshot (snapshot in,
-    snapshot out -- plain Parquet has no MERGE) and written as a new version;
-    the batch id goes to a ledger *after* the version is written, and a batch
-    already in the ledger is skipped, so replays after a failure add nothing
-    twice.  Returns the latest snapshot."""
-    spark = stream.sparkSession
-    base = scratch_path(spark, name)
-    ledger_dir, ckpt = os.path.join(base, "ledger"), os.path.join(base, "_checkpoint")
-
-    def latest() -> tuple[int | None, str | None]:
-        path = spark._jvm.org.apache.hadoop.fs.Path(ledger_dir)
-        if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
-            return None, None  # no ledger yet; any other failure to read must stop the batch
-        led = spark.read.schema("batch_id long, version string").parquet(ledger_dir)
-        row = led.agg(F.max_by("version", "batch_id").alias("v"), F.max("batch_id").alias("b")).first()
-        return row["b"], row["v"]
-
-    def merge(batch: DataFrame, batch_id: int) -> None:
-        last_batch, last_version = latest()
-        if last_batch is not None and batch_id <= last_batch:
-            return  # replayed batch
-        inc = batch.groupBy(key).agg(F.count(F.lit(1)).alias("events"),
-                                     F.sum(F.rint(F.col(value) * 100).cast("long")).alias("cents"))
-        if last_version is not None:
-            inc = (spark.read.parquet(last_version).unionByName(inc).groupBy(key)
-                   .agg(F.sum("events").alias("events"), F.sum("cents").alias("cents")))
-        version = os.path.join(base, "totals", f"batch={batch_id}")
-        inc.write.mode("overwrite").parquet(version)
-        spark.createDataFrame([(batch_id, version)], "batch_id long, version string") \
-            .write.mode("append").parquet(ledger_dir)
-
-    q = (stream.writeStream.option("checkpointLocation", ckpt).trigger(availableNow=True)
-         .foreachBatch(merge).start())
-    q.awaitTermination()
-    _, v = latest()
-    return spark.read.parquet(v).select(key, F.col("events").cast("long").alias("events"),
-                                        (F.col("cents") / 100.0).alias("total_value"))
+                    (F.col("cents") / 100.0).alias("total_value"))
+
+
+class RunningTotals:
+    """Per-key totals kept by ``foreachBatch``, idempotent by batch id.
+
+    A batch writes its increment to a folder named by its id (a re-run overwrites
+    it) and then commits a manifest row (batch id, live parts); the greatest
+    batch id's row is the current version.  A batch the manifest has is skipped, so
+    a batch that is re-run after a failure -- before or after the commit -- counts
+    once.  Every ``compact_every`` increments are merged into one part, so the
+    whole is not rewritten for each batch.  ``on_written`` is called between
+    increment and commit (tests fail there)."""
+
+    def __init__(self, spark: SparkSession, base: str, key: str, value: str, compact_every: int = COMPACT_EVERY,
+                 on_written: Callable[[int], None] | None = None):
+        self.spark, self.base, self.key, self.value = spark, base, key, value
+        self.compact_every, self.on_written = compact_every, on_written
+        self.manifest = os.path.join(base, "manifest")
+
+    def current(self) -> tuple[int, list[str]]:
+        """(last committed batch id, live parts); (-1, []) before the first.  Any
+        failure to read the manifest but its absence stops the batch."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.manifest)
+        if not path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path):
+            return -1, []
+        rows = self.spark.read.schema("batch_id long, parts array<string>").parquet(self.manifest)
+        row = rows.agg(F.max_by("parts", "batch_id").alias("parts"), F.max("batch_id").alias("b")).first()
+        return (-1, []) if row["b"] is None else (row["b"], list(row["parts"]))
+
+    def _merged(self, parts: list[str]) -> DataFrame:
+        schema = self.spark.read.parquet(parts[0]).schema
+        return self.spark.read.schema(schema).parquet(*parts).groupBy(self.key).agg(
+            F.sum("events").alias("events"), F.sum("cents").alias("cents"))
+
+    def merge(self, batch: DataFrame, batch_id: int) -> None:
+        last, parts = self.current()
+        if batch_id <= last:
+            return  # a replay of a committed batch
+        part = os.path.join(self.base, "parts", f"batch={batch_id}")
+        batch.groupBy(self.key).agg(F.count(F.lit(1)).alias("events"),
+                                    F.sum(F.rint(F.col(self.value) * 100).cast("long")).alias("cents")) \
+            .write.mode("overwrite").parquet(part)
+        parts = [*parts, part]
+        if len(parts) > self.compact_every:
+            whole = os.path.join(self.base, "parts", f"compact={batch_id}")
+            self._merged(parts).write.mode("overwrite").parquet(whole)
+            parts = [whole]
+        if self.on_written:
+            self.on_written(batch_id)
+        self.spark.createDataFrame([(batch_id, parts)], "batch_id long, parts array<string>") \
+            .coalesce(1).write.mode("append").parquet(self.manifest)
+
+    def totals(self) -> DataFrame:
+        _, parts = self.current()
+        if not parts:
+            raise ValueError("no batch has been committed yet")
+        return self._merged(parts).select(self.key, "events", (F.col("cents") / 100.0).alias("total_value"))

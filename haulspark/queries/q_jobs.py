@@ -9,8 +9,10 @@ from ..plans import jobs as JB
 from ..plans.report_fact import report_fact
 from ..plans.routes_view import routes
 from ..session import scratch_path
+from ..sources import collector as SC
 from ..sources import files as S
 from ..sources.tables import table
+from ..streaming import polling as X
 from .q_entity import NESTED_SQL, ORDER, nested_routes
 from .q_joins import GAZ_SQL, _POINTS_SQL, _points, gazetteer
 from .q_reports import A18_ALL_SQL, A18_SQL, MONTH, MONTHLY_FORMULAS, MONTHLY_KPIS
@@ -22,8 +24,32 @@ from .sqlbase import r2, with_routes
 
 AS_OF = "2024-01-31 00:00:00"
 
+PAGE_RECORDS = 50
+API_SCHEMA = "trip_id string, dispatch_date string, driver_id string, shipper string, total_distance string, total_pay string, load_status string"
+
+
+def _land_pages(feed, path):
+    """What the API handed out: pages of records, one payload a line."""
+    numbered = feed.select(F.to_json(F.struct(*feed.columns)).alias("record"),
+                           F.floor(F.monotonically_increasing_id() / PAGE_RECORDS).alias("page"))
+    page = numbered.groupBy("page").agg(F.array_join(F.collect_list("record"), ",").alias("records"))
+    page.select(F.concat(F.lit('{"status": "ok", "result": {"data": ['), "records", F.lit("]}}")).alias("value")).write.text(path)
+
+
+def _pages(reader, path):
+    return reader.format("payload_pages").schema(API_SCHEMA).option("records", "result.data").load(path)
+
+
+def api_pages(spark, sf):
+    """The API feed as landed pages, read by the data source ``payload_pages``."""
+    SC.register_sources(spark)
+    d = scratch_path(spark, "api-pages")
+    _land_pages(api_feed(spark, sf), f"{d}/{SC.landing_name(0)}")
+    return _pages(spark.read, d)
+
+
 JB.register_collector("landing_files", file_feed, P.FILE_ALIASES, "file")
-JB.register_collector("tms_api", api_feed, P.API_ALIASES, "api")
+JB.register_collector("tms_api", api_pages, P.API_ALIASES, "api")
 JB.register_collector("dispatch_inbox", email_feed, P.EMAIL_ALIASES, "email")
 
 _STD_SQL = f"""
@@ -71,11 +97,26 @@ def a23(spark, sf):
 @register("E5_pluggable_collectors", with_routes(_STD_SQL + """
 SELECT source, count(*) AS records FROM std GROUP BY source"""))
 def e5(spark, sf):
-    """Collectors are plain functions returning DataFrames, registered by
-    name; the job runs whatever is registered."""
+    """Collectors are functions returning DataFrames, registered by name; the
+    job runs whatever is registered, the API's through a Python data source."""
     return JB.collect_all(spark, sf, AS_OF).groupBy("source").agg(F.count(F.lit(1)).alias("records"))
 
 
+@register("E5_streaming_collector", with_routes(_STD_SQL + """
+SELECT route_id, route_date, total_miles, revenue FROM std WHERE source = 'api'"""))
+def e5_stream(spark, sf):
+    """The API's pages land before each of two polls; the data source's stream
+    reader takes the new ones, which are standardised in the stream."""
+    SC.register_sources(spark)
+    p = X.Poller(spark, "e5-pages")
+    feed = api_feed(spark, sf)
+    for k in range(2):
+        _land_pages(feed.filter(F.pmod(F.xxhash64("trip_id"), F.lit(2)) == k), f"{p.landing}/{SC.landing_name(k)}")
+        p.poll(P.standardize(_pages(spark.readStream, p.landing), P.API_ALIASES, "api", "tms_api", AS_OF)
+               .select("route_id", "route_date", "total_miles", "revenue"))
+    return p.result()
+
+
 @register("R2_process_routes", with_routes(f"""
 , {NESTED_SQL.strip()}, {GAZ_SQL.strip()}, {_POINTS_SQL.strip()},
 kept AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY order_key, line_no

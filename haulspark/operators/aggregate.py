@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import count_if, div, fixed_avg, fixed_sum, nz, round2, truthy
 from .rows import keep_rows
+from .window import rank_by
 
 UNKNOWN = "Unknown"
 DEFAULT_CAPACITY = 40000.0
@@ -25,7 +26,7 @@ _LEDGER = ["route_key", "route_date", "revenue", "fuel_cost", "toll_cost", "driv
 # dimensions behind them).
 NEEDS = {
     "driver_performance": _DRV + ["total_costs"],
-    "driver_metrics": _DRV, "driver_rating": _DRV, "monthly_driver_ranking": _DRV + ["route_date"],
+    "driver_metrics": _DRV, "driver_rating": _DRV, "monthly_driver_ranking": _DRV + ["route_date", "driver_safety"],
     "vehicle_utilization": ["vehicle_id", "total_miles", "load_weight", "fuel_consumed", "vehicle_capacity"],
     "vehicle_metrics": ["vehicle_info", "total_miles", "fuel_consumed", "maintenance_cost"],
     "vehicle_load": ["vehicle_id", "total_miles", "fuel_consumed", "load_weight", "vehicle_capacity"],
@@ -91,8 +92,9 @@ def driver_performance(fact: DataFrame) -> DataFrame:
          .otherwise(F.lit(0.0)).alias("profit_margin"))
 
 
-def _driver_base(fact: DataFrame, keys: list) -> DataFrame:
+def _driver_base(fact: DataFrame, keys: list, *more: Column) -> DataFrame:
     return fact.groupBy(*keys).agg(
+        *more,
         F.count(F.lit(1)).alias("route_count"),
         _s("total_miles").alias("m"), _s("revenue").alias("r"),
         fixed_avg(F.when(truthy("efficiency_score"), F.col("efficiency_score"))).alias("e"),
@@ -102,7 +104,12 @@ def _driver_base(fact: DataFrame, keys: list) -> DataFrame:
 def driver_metrics(fact: DataFrame) -> DataFrame:
     """A4: per driver name; means over non-zero scores and speeds only."""
     f = fact.withColumn("name", F.coalesce("driver_name", F.lit(UNKNOWN)))
-    return _driver_base(f, ["name"]).select(
+    return driver_metrics_of(_driver_base(f, ["name"]))
+
+
+def driver_metrics_of(g: DataFrame) -> DataFrame:
+    """A4 from its sums ``name, route_count, m, r, e, v``."""
+    return g.select(
         "name", "route_count", round2("m").alias("total_miles"), round2("r").alias("revenue"),
         round2(F.coalesce("e", F.lit(0.0))).alias("efficiency"),
         round2(F.coalesce("v", F.lit(0.0))).alias("avg_speed"))
@@ -138,6 +145,11 @@ def vehicle_metrics(fact: DataFrame) -> DataFrame:
     g = fact.withColumn("vehicle", F.coalesce("vehicle_info", F.lit(UNKNOWN))).groupBy("vehicle").agg(
         F.count(F.lit(1)).alias("route_count"), _s("total_miles").alias("m"),
         _s("fuel_consumed").alias("f"), _s("maintenance_cost").alias("mc"))
+    return vehicle_metrics_of(g)
+
+
+def vehicle_metrics_of(g: DataFrame) -> DataFrame:
+    """A6 from its sums ``vehicle, route_count, m, f, mc``."""
     return g.select(
         F.col("vehicle").alias("vehicle_info"), "route_count", round2("m").alias("total_miles"),
         round2("f").alias("fuel_used"), round2("mc").alias("maintenance_cost"),
@@ -164,6 +176,11 @@ def vehicle_performance(fact: DataFrame) -> DataFrame:
         _s("fuel_consumed").alias("f"), _s("load_weight").alias("w"),
         fixed_sum(F.coalesce("vehicle_capacity", F.lit(DEFAULT_CAPACITY))).alias("cap"),
         _s("maintenance_cost").alias("mc"), _s("total_costs").alias("tc"))
+    return vehicle_performance_of(g)
+
+
+def vehicle_performance_of(g: DataFrame) -> DataFrame:
+    """A29 from its sums ``vehicle_id, route_count, m, f, w, cap, mc, tc``."""
     return g.select(
         "vehicle_id", "route_count", round2("m").alias("total_miles"), round2("f").alias("fuel_used"),
         round2(_ratio(F.col("m"), F.col("f"))).alias("mpg"),
@@ -178,6 +195,11 @@ def period_summary(fact: DataFrame) -> DataFrame:
     """A3 (+R8): one row; ``status`` is 'no_data' for an empty period."""
     g = fact.agg(F.count(F.lit(1)).alias("total_routes"), _s("total_miles").alias("m"),
                  _s("revenue").alias("r"), _s("total_costs").alias("c"))
+    return period_summary_of(g)
+
+
+def period_summary_of(g: DataFrame) -> DataFrame:
+    """A3 from its sums ``total_routes, m, r, c``."""
     n = F.col("total_routes")
     return g.select(
         F.when(n == 0, F.lit("no_data")).otherwise(F.lit("ok")).alias("status"),
@@ -223,6 +245,11 @@ def customer_metrics(fact: DataFrame) -> DataFrame:
     """A8."""
     g = fact.withColumn("c", F.coalesce("customer_name", F.lit(UNKNOWN))).groupBy("c").agg(
         F.count(F.lit(1)).alias("route_count"), _s("revenue").alias("r"), _s("total_miles").alias("m"))
+    return customer_metrics_of(g)
+
+
+def customer_metrics_of(g: DataFrame) -> DataFrame:
+    """A8 from its sums ``c, route_count, r, m``."""
     return g.select(
         F.col("c").alias("customer_name"), "route_count", round2("r").alias("revenue"),
         round2("m").alias("total_miles"),
@@ -234,6 +261,11 @@ def customer_profitability(fact: DataFrame) -> DataFrame:
     """Lifetime value = total profit of the customer up to the fact's end."""
     g = fact.withColumn("c", F.coalesce("customer_name", F.lit(UNKNOWN))).groupBy("c").agg(
         F.count(F.lit(1)).alias("route_count"), _s("revenue").alias("r"), _s("total_costs").alias("tc"))
+    return customer_profitability_of(g)
+
+
+def customer_profitability_of(g: DataFrame) -> DataFrame:
+    """A28 from its sums ``c, route_count, r, tc``."""
     p = F.col("r") - F.col("tc")
     return g.select(
         F.col("c").alias("customer_name"), "route_count", round2("r").alias("revenue"),
@@ -250,6 +282,11 @@ def daily_rollup(fact: DataFrame) -> DataFrame:
     g = fact.groupBy("route_date").agg(
         F.count(F.lit(1)).alias("routes"), _s("total_miles").alias("m"), _s("revenue").alias("r"),
         fixed_sum(nz("fuel_cost") + nz("driver_pay") + nz("other_costs")).alias("c"))
+    return daily_rollup_of(g)
+
+
+def daily_rollup_of(g: DataFrame) -> DataFrame:
+    """A10 from its sums ``route_date, routes, m, r, c``."""
     return g.select("route_date", "routes", round2("m").alias("miles"), round2("r").alias("revenue"),
                     round2("c").alias("costs"), round2(F.col("r") - F.col("c")).alias("profit"))
 
@@ -268,26 +305,22 @@ def monthly_comparison(fact: DataFrame) -> DataFrame:
 
 
 def weekly_overview(fact: DataFrame) -> DataFrame:
-    """Per day with profit margin and mean mpg, plus a TOTAL row."""
-    g = fact.groupBy("route_date").agg(
-        F.count(F.lit(1)).alias("routes"), _s("total_miles").alias("m"), _s("revenue").alias("r"),
-        _s("total_costs").alias("c"), fixed_avg(F.col("fuel_efficiency")).alias("mpg"))
-    detail = g.select(
-        F.lit("detail").alias("row_kind"), "route_date", "routes", round2("m").alias("miles"),
-        round2("r").alias("revenue"), round2("c").alias("costs"),
-        round2(F.col("r") - F.col("c")).alias("profit"),
-        round2(_ratio(F.col("r") - F.col("c"), F.col("r")) * 100).alias("profit_margin"),
-        round2("mpg").alias("avg_mpg"))
-    tot = fact.agg(
-        F.count(F.lit(1)).alias("routes"), _s("total_miles").alias("m"), _s("revenue").alias("r"),
-        _s("total_costs").alias("c"), fixed_avg(F.col("fuel_efficiency")).alias("mpg"))
-    total = tot.select(
-        F.lit("total").alias("row_kind"), F.lit(None).cast("date").alias("route_date"), "routes",
+    """Per day with profit margin and mean mpg, plus a TOTAL row (A17), both
+    from one pass over the fact (grouping sets)."""
+    g = fact.groupingSets([["route_date"], []], "route_date").agg(
+        F.grouping("route_date").alias("g"), F.count(F.lit(1)).alias("routes"), _s("total_miles").alias("m"),
+        _s("revenue").alias("r"), _s("total_costs").alias("c"), fixed_avg(F.col("fuel_efficiency")).alias("mpg"))
+    return weekly_overview_of(g)
+
+
+def weekly_overview_of(g: DataFrame) -> DataFrame:
+    """A32 from its sums ``g (1 for the total), route_date, routes, m, r, c, mpg``."""
+    return g.select(
+        F.when(F.col("g") == 1, "total").otherwise("detail").alias("row_kind"), "route_date", "routes",
         round2("m").alias("miles"), round2("r").alias("revenue"), round2("c").alias("costs"),
         round2(F.col("r") - F.col("c")).alias("profit"),
         round2(_ratio(F.col("r") - F.col("c"), F.col("r")) * 100).alias("profit_margin"),
         round2("mpg").alias("avg_mpg"))
-    return detail.unionByName(total)
 
 
 # --- A12 / A13 / A14 / A15: chart inputs ---------------------------------------
@@ -344,15 +377,18 @@ def revenue_efficiency_trend(fact: DataFrame) -> DataFrame:
 # --- A17 / A18 / A19: template aggregates -------------------------------------
 
 def with_summary_rows(detail: DataFrame, columns: list[str], key: str) -> DataFrame:
-    """Detail rows plus SUM and AVERAGE rows of ``columns``."""
-    sums = detail.agg(*[round2(fixed_sum(F.col(c))).alias(c) for c in columns])
-    avgs = detail.agg(*[round2(fixed_avg(F.col(c))).alias(c) for c in columns])
-    base = detail.select(F.lit("detail").alias("row_kind"), key, *columns)
-    return (base
-            .unionByName(sums.select(F.lit("SUM").alias("row_kind"),
-                                     F.lit(None).cast(detail.schema[key].dataType).alias(key), *columns))
-            .unionByName(avgs.select(F.lit("AVERAGE").alias("row_kind"),
-                                     F.lit(None).cast(detail.schema[key].dataType).alias(key), *columns)))
+    """Detail rows (one for each ``key``) plus SUM and AVERAGE rows of
+    ``columns``, from one pass (grouping sets)."""
+    g = detail.groupingSets([[key], []], key).agg(
+        F.grouping(key).alias("_g"), *[F.any_value(c).alias(f"_d_{c}") for c in columns],
+        *[fixed_sum(F.col(c)).alias(f"_s_{c}") for c in columns], *[F.count(c).alias(f"_n_{c}") for c in columns])
+
+    def row(kind: str, value) -> Column:
+        return F.struct(F.lit(kind).alias("row_kind"), *[value(c).alias(c) for c in columns])
+
+    total = F.array(row("SUM", lambda c: round2(f"_s_{c}")), row("AVERAGE", lambda c: round2(div(F.col(f"_s_{c}"), F.col(f"_n_{c}")))))
+    kinds = F.when(F.col("_g") == 1, total).otherwise(F.array(row("detail", lambda c: F.col(f"_d_{c}"))))
+    return g.select(key, F.inline(kinds)).select("row_kind", key, *columns)
 
 
 def kpis(fact: DataFrame, spec: list[dict]) -> DataFrame:
@@ -418,16 +454,22 @@ def error_summary(errors: DataFrame, type_col: str = "error_type",
 # --- A25 / A26 / A27 / A30 / A33: monthly & weekly templates ---------------------
 
 def monthly_driver_ranking(fact: DataFrame) -> DataFrame:
-    """Per month and driver; rank by revenue within the month."""
+    """Per month and driver: routes, miles, revenue, efficiency, safety and
+    overall score (mean of efficiency and safety; efficiency alone where no safety
+    score is known); rank by overall score within the month (W3)."""
     f = fact.withColumn("month", month_of("route_date")).withColumn(
         "name", F.coalesce("driver_name", F.lit(UNKNOWN)))
-    g = _driver_base(f, ["month", "name"])
-    w = Window.partitionBy("month").orderBy(F.col("r").desc())
-    return g.select(
-        "month", "name", F.rank().over(w).alias("rank"), "route_count",
-        round2("m").alias("total_miles"), round2("r").alias("revenue"),
-        round2(F.coalesce("e", F.lit(0.0))).alias("efficiency"),
-        round2(F.coalesce("v", F.lit(0.0))).alias("avg_speed"))
+    return monthly_driver_ranking_of(_driver_base(f, ["month", "name"], F.max("driver_safety").alias("safety_score")))
+
+
+def monthly_driver_ranking_of(g: DataFrame) -> DataFrame:
+    """A25 from its sums ``month, name, route_count, m, r, e, v, safety_score``."""
+    e = F.coalesce("e", F.lit(0.0))
+    scored = g.select(
+        "month", "name", "route_count", round2("m").alias("total_miles"), round2("r").alias("revenue"),
+        round2(e).alias("efficiency"), round2(F.coalesce("v", F.lit(0.0))).alias("avg_speed"), "safety_score",
+        round2(F.coalesce((e + F.col("safety_score")) / 2, e)).alias("overall_score"))
+    return rank_by(scored, [("overall_score", True)], within=["month"])
 
 
 LEDGER_CATEGORIES = ("revenue", "fuel_cost", "toll_cost", "driver_pay", "other_costs")
@@ -450,6 +492,11 @@ def financial_analysis(fact: DataFrame) -> DataFrame:
     long = (fact.select(month_of("route_date").alias("month"), *LEDGER_CATEGORIES)
             .unpivot(["month"], list(LEDGER_CATEGORIES), "category", "amount"))
     g = long.groupBy("category", "month").agg(_s("amount").alias("cur"))
+    return financial_analysis_of(g)
+
+
+def financial_analysis_of(g: DataFrame) -> DataFrame:
+    """A26 from the sums ``category, month, cur``."""
     w = Window.partitionBy("category").orderBy("month")
     wy = (Window.partitionBy("category", F.year("month")).orderBy("month")
           .rowsBetween(Window.unboundedPreceding, Window.currentRow))
@@ -467,6 +514,11 @@ def month_over_month(fact: DataFrame) -> DataFrame:
     g = fact.groupBy(month_of("route_date").alias("month")).agg(
         _s("revenue").alias("r"), F.count(F.lit(1)).alias("routes"),
         fixed_avg(F.col("efficiency_score")).alias("e"))
+    return month_over_month_of(g)
+
+
+def month_over_month_of(g: DataFrame) -> DataFrame:
+    """A27 from the sums ``month, r, routes, e``."""
     w = Window.orderBy("month")  # months only: a few hundred rows at any scale
     pr, pn, pe = F.lag("r").over(w), F.lag("routes").over(w), F.lag("e").over(w)
     return g.select(
@@ -493,10 +545,15 @@ def operational_vs_target(fact: DataFrame, targets: DataFrame) -> DataFrame:
         round2(F.coalesce(fixed_avg(F.col("efficiency_score")), F.lit(0.0))).alias("average_efficiency"),
         round2(F.coalesce(fixed_avg(F.col("deadhead_percentage")), F.lit(0.0))).alias("deadhead_percentage"),
         round2(F.coalesce(fixed_avg(F.col("average_speed")), F.lit(0.0))).alias("average_speed"))
+    return operational_vs_target_of(g, targets)
+
+
+def operational_vs_target_of(g: DataFrame, targets: DataFrame) -> DataFrame:
+    """A30 from the monthly metrics."""
     long = g.unpivot(["month"], list(OPERATIONAL_TARGETS), "metric", "actual")
     w = Window.partitionBy("metric").orderBy("month")
     prev = F.lag("actual").over(w)
-    j = long.join(F.broadcast(targets), "metric", "left")  # targets: one row per metric
+    j = long.join(targets, "metric", "left")
     return j.select(
         "month", "metric", "actual", "target",
         round2(F.col("actual") - F.col("target")).alias("variance"),

@@ -1,27 +1,81 @@
 """Ordering, ranking, banding and chunking.
 
-Nothing here puts a whole table into one window partition: global positions
-come from a range-partitioned sort plus ``zipWithIndex`` (one small counting
-pass, then every partition numbers its rows locally), percentiles from
-``percentile_approx`` (a mergeable sketch), and top-k from
-``orderBy().limit()`` which Spark plans as TakeOrderedAndProject (a per-task
-top-k heap, then a merge of k rows per task).
+Nothing here puts a whole table into one window partition.  Global positions
+and ranks come from a range-partitioned sort that is written once to the shared
+folder with each row's partition and place; the driver sees one number per
+partition (its rows), whose running sums are the partitions' offsets.  Ranks
+run over the distinct values, so a value that a third of the rows share is one
+row of the sort.  Percentiles come from ``percentile_approx`` (a mergeable
+sketch), and top-k from ``orderBy().limit()`` which Spark plans as
+TakeOrderedAndProject (a per-task top-k heap, then a merge of k rows per task).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-
-def global_index(df: DataFrame, order_cols: list[str], name: str = "row_index") -> DataFrame:
-    """0-based position of each row in ``order_cols`` order, computed without
-    a single-partition window."""
-    ordered = df.orderBy(*order_cols)
-    schema = T.StructType(ordered.schema.fields + [T.StructField(name, T.LongType(), False)])
-    rdd = ordered.rdd.zipWithIndex().map(lambda ri: tuple(ri[0]) + (ri[1],))
-    return ordered.sparkSession.createDataFrame(rdd, schema)
+from ..session import scratch_path
+
+_PLACE_BITS = 33  # of monotonically_increasing_id: the row's place in its partition
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table in the shared folder: computed once, and the same when a task runs again."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _ranged(df: DataFrame, order: list[Column], weight: Column) -> tuple[DataFrame, Column]:
+    """``df`` with ``_part`` and ``_place`` of a global sort, written; and the sum of
+    ``weight`` over all partitions before a row's own, as a column."""
+    at = F.monotonically_increasing_id()
+    split = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", at)
+    placed = written(split.select("*", F.shiftright("_at", _PLACE_BITS).alias("_part"),
+                                   F.col("_at").bitwiseAND((1 << _PLACE_BITS) - 1).alias("_place")).drop("_at"), "ranged")
+    sums = {r["_part"]: r["w"] for r in placed.groupBy("_part").agg(F.sum(weight).alias("w")).collect()}
+    before, total = [], 0
+    for part in range(max(sums, default=-1) + 1):
+        before.append(total)
+        total += sums.get(part, 0)
+    return placed, F.element_at(F.lit(before or [0]).cast("array<bigint>"), (F.col("_part") + 1).cast("int"))
+
+
+def global_index(df: DataFrame, order_cols: list, name: str = "row_index") -> DataFrame:
+    """0-based position of each row in ``order_cols`` order; equal rows in any order."""
+    order = [F.col(c) if isinstance(c, str) else c for c in order_cols]
+    placed, before = _ranged(df, order, F.lit(1))
+    return placed.withColumn(name, before + F.col("_place")).drop("_part", "_place")
+
+
+def rank_by(df: DataFrame, order: list[tuple[str, bool]], name: str = "rank", within: list[str] | None = None) -> DataFrame:
+    """Rank of each row (1 + rows that come before it; ties share a rank) in the
+    order of (column, descending) pairs, among the rows equal in ``within``;
+    nulls last."""
+    within = within or []
+    keys = [*within, *(c for c, _ in order)]
+    df = written(df, "rank")
+    values = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    by = [F.col(c).asc_nulls_last() for c in within] + [F.col(c).desc_nulls_last() if d else F.col(c).asc_nulls_last() for c, d in order]
+    placed, before = _ranged(values, by, F.col("_n"))
+    inside = F.sum("_n").over(Window.partitionBy("_part").orderBy("_place").rowsBetween(Window.unboundedPreceding, -1))
+    ahead = placed.withColumn("_ahead", before + F.coalesce(inside, F.lit(0)))
+
+    def same(a: DataFrame, b: DataFrame, cols: list[str]) -> Column:
+        out = F.lit(True)
+        for c in cols:
+            out = out & a[c].eqNullSafe(b[f"_{c}"])
+        return out
+
+    def renamed(x: DataFrame, cols: list[str], *more: str) -> DataFrame:
+        return x.select(*[F.col(c).alias(f"_{c}") for c in cols], *more)
+
+    if within:
+        first = renamed(ahead.groupBy(*within).agg(F.min("_ahead").alias("_first")), within, "_first")
+        ahead = ahead.join(first, same(ahead, first, within)).withColumn("_ahead", F.col("_ahead") - F.col("_first"))
+    found = renamed(ahead, keys, "_ahead")
+    return df.join(found, same(df, found, keys)).select(*df.columns, (F.col("_ahead") + 1).cast("int").alias(name))
 
 
 def chunk_ids(df: DataFrame, order_cols: list[str], size: int) -> DataFrame:
@@ -30,12 +84,6 @@ def chunk_ids(df: DataFrame, order_cols: list[str], size: int) -> DataFrame:
     return idx.select(*order_cols, F.floor(F.col("_pos") / size).cast("long").alias("chunk_id"))
 
 
-def first_per_key(df: DataFrame, keys: list[str], order_cols: list) -> DataFrame:
-    """First row per key in ``order_cols`` order (window per key)."""
-    w = Window.partitionBy(*keys).orderBy(*order_cols)
-    return df.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
-
-
 def percentile_bands(df: DataFrame, col: str, accuracy: int = 1_000_000) -> DataFrame:
     """Three-point colour scale (min / median / max) and a data bar.
 

@@ -3,7 +3,6 @@ U1, A26 and V11)."""
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import aggregate as A
@@ -20,9 +19,9 @@ SELECT name, efficiency, rank() OVER (ORDER BY efficiency DESC) AS rank
 FROM ({A4_SQL_BODY.format(extra='', where='')})"""))
 def w3(spark, sf):
     """Rank drivers by mean efficiency -- after aggregation (one row per
-    driver), never over the fact."""
+    driver), never over the fact; the drivers are ranked range by range."""
     d = A.driver_metrics(report_fact(spark, sf, need=A.NEEDS["driver_metrics"]))
-    return d.select("name", "efficiency", F.rank().over(Window.orderBy(F.col("efficiency").desc())).alias("rank"))
+    return W.rank_by(d.select("name", "efficiency"), [("efficiency", True)])
 
 
 @register("W6_percentile_bands", with_routes(f"""

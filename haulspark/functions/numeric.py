@@ -2,9 +2,10 @@
 
 ``round2`` is the engine's money rounding: half-to-even on the binary value
 scaled by 100 (``rint``), reproducible in DuckDB as ``round_even(x*100,0)/100``.
-``fixed_sum`` sums doubles exactly and order-independently by summing
-``rint(x * 10^scale)`` as DECIMAL (28 digits, so no number of rows overflows),
-so partial aggregates can combine in any order on any number of executors and still give the same last digit.
+``fixed_sum`` sums doubles exactly and order-independently: ``rint(x * 10^scale)``
+is summed as two BIGINTs, its low 20 bits and the rest, which overflow only beyond
+8 * 10^12 rows or a total of 9 * 10^24 units, so partial aggregates can combine in
+any order on any number of executors and still give the same last digit.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+_LOW_BITS = 20
 SUM_SCALE = 10_000  # four decimals: money products like price*(1-discount)
 
 
@@ -46,7 +48,10 @@ def div(a, b) -> Column:
 
 def fixed_sum(x, scale: int = SUM_SCALE) -> Column:
     """Exact, order-free sum of a double column (as double)."""
-    return F.sum(F.rint(c(x) * float(scale)).cast("decimal(18,0)")).cast("double") / float(scale)
+    units = F.rint(c(x) * float(scale)).cast("long")
+    low = F.sum(units.bitwiseAND((1 << _LOW_BITS) - 1)).cast("decimal(38,0)")
+    high = F.sum(F.shiftright(units, _LOW_BITS)).cast("decimal(20,0)")
+    return (high * F.lit(1 << _LOW_BITS).cast("decimal(8,0)") + low).cast("double") / float(scale)
 
 
 def fixed_avg(x, scale: int = SUM_SCALE) -> Column:

@@ -6,7 +6,6 @@
   The processed fact is cut from its lineage with ``checkpoint()`` into the
   shared checkpoint folder before it fans out into five entity outputs.
 * R3: flat landed rows become nested records first, then R2.
-* R4-R8: a report bundle is a dict of DataFrames over one persisted fact.
 """
 
 from __future__ import annotations
@@ -22,7 +21,6 @@ from ..operators import join as J
 from ..operators import standardize as P
 from ..operators import validate as V
 from ..session import ensure_checkpoint_dir
-from .report_fact import report_fact
 
 # ---------------------------------------------------------------- E5 collectors
 COLLECTORS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], dict, str]] = {}
@@ -103,16 +101,7 @@ def flat_to_nested(flat: DataFrame) -> DataFrame:
         s(("name", "customer_name"), ("phone", "customer_phone"), ("email", "customer_email")).alias("customer"))
 
 
-# ---------------------------------------------------------------- R4-R8, E4
-def report_bundle(spark: SparkSession, sf_dir: str, date_from: str, date_to: str) -> dict[str, DataFrame]:
-    """The sections of a report over one persisted, date-pruned fact;
-    R8: ``summary.status`` is 'no_data' for an empty period."""
-    fact = report_fact(spark, sf_dir, date_from, date_to).persist()
-    return {"summary": A.period_summary(fact), "drivers": A.driver_metrics(fact),
-            "vehicles": A.vehicle_metrics(fact), "customers": A.customer_metrics(fact),
-            "daily": A.daily_rollup(fact), "routes": fact}
-
-
+# ---------------------------------------------------------------- E4 (R4-R7: bundle.py)
 def compile_template(fact: DataFrame, template: dict) -> dict[str, DataFrame]:
     """A report template (data table spec, summary rows, KPIs and
     formula KPIs) compiled to DataFrames."""

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import aggregate as A
+from ..plans import bundle as B
 from ..plans.report_fact import report_fact
 from ..sources.tables import TABLES, table
-from .registry import register
+from .registry import ORACLE, register
 from .sqlbase import fsum, r2, with_routes
 
 # Report periods (inclusive dates) used by the registered report queries.
@@ -389,18 +390,22 @@ def a21(spark, sf):
 
 
 # ---------------------------------------------------------------- A25 / A26 / A27 / A30 / A31 / A33
-@register("A25_monthly_driver_ranking", with_routes(f"""
-SELECT month, name, rank() OVER (PARTITION BY month ORDER BY r DESC) AS rank, route_count,
-       {r2('m')} AS total_miles, {r2('r')} AS revenue, {r2('coalesce(e, 0.0)')} AS efficiency,
-       {r2('coalesce(v, 0.0)')} AS avg_speed
+A25_SQL = f"""
+SELECT *, rank() OVER (PARTITION BY month ORDER BY overall_score DESC) AS rank FROM (
+SELECT month, name, route_count, {r2('m')} AS total_miles, {r2('r')} AS revenue, {r2('coalesce(e, 0.0)')} AS efficiency,
+       {r2('coalesce(v, 0.0)')} AS avg_speed, safety_score,
+       {r2('coalesce((coalesce(e, 0.0) + safety_score) / 2, e, 0.0)')} AS overall_score
 FROM (SELECT cast(date_trunc('month', route_date) AS DATE) AS month,
-             coalesce(driver_name, 'Unknown') AS name, count(*) AS route_count,
+             coalesce(driver_name, 'Unknown') AS name, count(*) AS route_count, max(driver_safety) AS safety_score,
              {fsum(nz('total_miles'))} AS m, {fsum(nz('revenue'))} AS r,
              {fsum("CASE WHEN efficiency_score <> 0 THEN efficiency_score END")}
                / count(CASE WHEN efficiency_score <> 0 THEN 1 END) AS e,
              {fsum("CASE WHEN average_speed <> 0 THEN average_speed END")}
                / count(CASE WHEN average_speed <> 0 THEN 1 END) AS v
-      FROM route_metrics GROUP BY 1, 2)"""))
+      FROM route_metrics GROUP BY 1, 2))"""
+
+
+@register("A25_monthly_driver_ranking", with_routes(A25_SQL))
 def a25(spark, sf):
     return A.monthly_driver_ranking(_fact(spark, sf, need=A.NEEDS["monthly_driver_ranking"]))
 
@@ -493,30 +498,92 @@ def a33(spark, sf):
     return A.weekly_driver_table(_fact(spark, sf, WEEK, need=A.NEEDS["weekly_driver_table"]))
 
 
-# ---------------------------------------------------------------- R4-R8 bundles (summary sections)
-@register("R4_daily_report", with_routes(A3_SQL_BODY.format(where=_where(DAY))))
+# ---------------------------------------------------------------- R4-R8 bundles
+def _body(name: str) -> str:
+    """A registered oracle without the views in front of it, as one query."""
+    text = ORACLE[name].removeprefix(with_routes("")).strip()
+    return "WITH " + text[1:] if text.startswith(",") else text
+
+
+def _long_sql(section: str, query: str, keys: list[str], metrics: list[str], where: str) -> str:
+    body = query.replace("FROM route_metrics", f"FROM (SELECT * FROM route_metrics {where})")
+    key = f"concat_ws('|', {', '.join(f'cast({k} AS VARCHAR)' for k in keys)})" if keys else "''"
+    names = ", ".join(f"'{m}'" for m in metrics)
+    values = ", ".join(f"cast({m} AS DOUBLE)" for m in metrics)
+    return f"SELECT '{section}' AS section, {key} AS key, unnest([{names}]) AS metric, unnest([{values}]) AS value FROM ({body})"
+
+
+_ROUTES_SECTION = (f"SELECT route_key, {r2(nz('total_miles'))} AS total_miles, {r2(nz('revenue'))} AS revenue, "
+                   f"{r2(nz('total_costs'))} AS total_costs FROM route_metrics")
+
+
+def _bundle_sql(sections, period) -> str:
+    where = _where(period) if period else ""
+    trend = "CASE trend WHEN 'up' THEN 1 WHEN 'down' THEN -1 ELSE 0 END"
+    operational = _body("A30_operational_vs_target")
+    made = {
+        "summary": (A3_SQL_BODY.format(where=""), [], ["total_routes", "total_miles", "total_revenue", "total_costs",
+                    "average_miles_per_route", "average_revenue_per_route", "total_profit", "profit_margin"]),
+        "drivers": (A4_SQL_BODY.format(extra="", where=""), ["name"], ["route_count", "total_miles", "revenue", "efficiency", "avg_speed"]),
+        "vehicles": (_body("A6_vehicle_metrics"), ["vehicle_info"], ["route_count", "total_miles", "fuel_used", "maintenance_cost", "mpg",
+                     "cost_per_mile"]),
+        "customers": (_body("A8_customer_metrics"), ["customer_name"], ["route_count", "revenue", "total_miles", "avg_revenue_per_route",
+                      "revenue_per_mile"]),
+        "routes": (_ROUTES_SECTION, ["route_key"], ["total_miles", "revenue", "total_costs"]),
+        "daily": (A10_SQL, ["route_date"], ["routes", "miles", "revenue", "costs", "profit"]),
+        "overview": (_body("A32_weekly_overview"), ["row_kind", "route_date"], ["routes", "miles", "revenue", "costs", "profit",
+                     "profit_margin", "avg_mpg"]),
+        "driver_rankings": (A25_SQL, ["month", "name"], ["route_count", "total_miles", "revenue", "efficiency", "avg_speed", "safety_score",
+                            "overall_score", "rank"]),
+        "financial_analysis": (_body("A26_financial_analysis"), ["category", "month"], ["current_amount", "previous_amount", "change",
+                               "pct_change", "year_to_date"]),
+        "month_over_month": (_body("A27_month_over_month"), ["month"], ["revenue", "routes", "avg_efficiency", "revenue_growth",
+                             "routes_growth", "efficiency_growth"]),
+        "customer_profitability": (_body("A28_customer_profitability"), ["customer_name"], ["route_count", "revenue", "costs", "profit",
+                                   "margin", "revenue_per_route", "lifetime_value"]),
+        "vehicle_performance": (_body("A29_vehicle_performance"), ["vehicle_id"], ["route_count", "total_miles", "fuel_used", "mpg",
+                                "utilization", "maintenance_cost", "cost_per_mile"]),
+        "operational": (f"SELECT * REPLACE ({trend} AS trend) FROM ({operational})", ["month", "metric"], ["actual", "target", "variance",
+                        "pct_of_target", "trend"]),
+    }
+    status = ("SELECT CASE WHEN count(*) > 0 THEN 'success' ELSE 'no_data' END AS status, count(*) AS routes_count, "
+              f"coalesce({r2(fsum(nz('revenue')))}, 0) AS total_revenue, coalesce({r2(fsum(nz('total_miles')))}, 0) AS total_miles "
+              "FROM route_metrics")
+    parts = [_long_sql("status", status, ["status"], ["routes_count", "total_revenue", "total_miles"], where)]
+    parts += [_long_sql(s, *made[s], where) for s in sections]
+    return with_routes("\nUNION ALL ".join(parts))
+
+
+def _bundle(spark, sf, sections, period):
+    targets = spark.createDataFrame([(k, float(v)) for k, v in A.OPERATIONAL_TARGETS.items()], "metric string, target double")
+    return B.report_bundle(_fact(spark, sf, period, need=B.NEED), sections, targets)
+
+
+@register("R4_daily_report", _bundle_sql(B.DAILY, DAY))
 def r4(spark, sf):
-    return A.period_summary(_fact(spark, sf, DAY, need=A.NEEDS["period_summary"]))
+    """A day's summary, drivers, vehicles, customers and routes."""
+    return _bundle(spark, sf, B.DAILY, DAY)
 
 
-@register("R5_weekly_report", with_routes(f"""
-SELECT route_date, routes, {r2('m')} AS miles, {r2('r')} AS revenue, {r2('c')} AS costs,
-       {r2('r - c')} AS profit
-FROM (SELECT route_date, count(*) AS routes, {fsum(nz('total_miles'))} AS m, {fsum(nz('revenue'))} AS r,
-             {fsum(nz('fuel_cost') + ' + ' + nz('driver_pay') + ' + ' + nz('other_costs'))} AS c
-      FROM route_metrics {_where(WEEK)} GROUP BY route_date)"""))
+@register("R5_weekly_report", _bundle_sql(B.WEEKLY, WEEK))
 def r5(spark, sf):
-    return A.daily_rollup(_fact(spark, sf, WEEK, need=A.NEEDS["daily_rollup"]))
+    return _bundle(spark, sf, B.WEEKLY, WEEK)
 
 
-@register("R6_monthly_report", with_routes(A4_SQL_BODY.format(extra="", where=_where(MONTH))))
+@register("R6_monthly_report", _bundle_sql(B.MONTHLY, MONTH))
 def r6(spark, sf):
-    return A.driver_metrics(_fact(spark, sf, MONTH, need=A.NEEDS["driver_metrics"]))
+    return _bundle(spark, sf, B.MONTHLY, MONTH)
 
 
-@register("R7_custom_period_report", with_routes(A3_SQL_BODY.format(where=_where(YEAR))))
+@register("R7_custom_period_report", _bundle_sql(B.CUSTOM, YEAR))
 def r7(spark, sf):
-    return A.period_summary(_fact(spark, sf, YEAR, need=A.NEEDS["period_summary"]))
+    return _bundle(spark, sf, B.CUSTOM, YEAR)
+
+
+@register("R7_whole_period_report", _bundle_sql(B.MONTHLY, None))
+def r7_all(spark, sf):
+    """All sections over the whole fact."""
+    return _bundle(spark, sf, B.MONTHLY, None)
 
 
 @register("R8_empty_period", with_routes(A3_SQL_BODY.format(where=_where(EMPTY))))

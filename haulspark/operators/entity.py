@@ -1,29 +1,73 @@
 """Entity resolution and deduplication.
 
-"First wins" dedupe is an aggregate, not a window: ``min_by(row, order)``
-per key is algebraic, so Spark runs it as a partial HashAggregate before the
-shuffle -- a key holding a third of all rows is reduced to one candidate per
-map task and never materialised as one window partition.
+"First wins" comes in two plans, neither of which gathers a key's rows in one
+task.  :func:`first_per_key` (keys that mostly differ: records) is a row number
+of which only the first is kept, so every task passes on one candidate per key
+(WindowGroupLimit) before the shuffle.  :func:`first_of_few` (keys that repeat a
+lot: entities on a fact) finds each key's least order number by a fixed-width hash
+aggregate with map-side combine, joins back on (key, order number), which spreads
+a hot key's rows, and settles the ties that are left.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.window import global_index
 
 
+
+def _place(s: str) -> Column:
+    return F.concat_ws("|", *[F.coalesce(F.col(f"{s}.{c}"), F.lit("")) for c in ("address", "city", "state", "zip_code")])
+
+
+def route_key() -> list:
+    """The key that makes two route records the same, if none is given."""
+    return ["route_date", "driver.license_number", _place("start_location"), _place("end_location")]
+
+
+_INTEGRAL = ("tinyint", "smallint", "int", "bigint")
+
+
+def _key_columns(keys: list) -> list[Column]:
+    """Key parts as text, a missing one as '' (a struct as its JSON)."""
+    return [F.col(k) if isinstance(k, str) else k for k in keys]
+
+
+def _folded(df: DataFrame, keys: list) -> tuple[DataFrame, list[str]]:
+    names = [f"_k{i}" for i in range(len(keys))]
+    out = df.select("*", *[k.alias(n) for k, n in zip(_key_columns(keys), names)])
+    kinds = dict(out.dtypes)
+    for n in names:
+        text = F.to_json(n) if kinds[n].startswith(("struct", "array", "map")) else F.col(n).cast("string")
+        out = out.withColumn(n, F.coalesce(text, F.lit("")))
+    return out, names
+
+
 def first_per_key(df: DataFrame, keys: list, order: list[str]) -> DataFrame:
     """Keep the first row (by ``order``) of every key; key parts may be
-    expressions (e.g. ``lower(coalesce(x, ''))``)."""
-    key_cols = [k if isinstance(k, Column) else F.col(k) for k in keys]
-    kn = [f"_k{i}" for i in range(len(key_cols))]
-    cols = df.columns
-    g = (df.select(*[k.alias(n) for k, n in zip(key_cols, kn)], F.struct(*cols).alias("_row"),
-                   F.struct(*order).alias("_ord"))
-         .groupBy(*kn).agg(F.min_by("_row", "_ord").alias("_row")))
-    return g.select("_row.*")
+    expressions (e.g. ``lower(coalesce(x, ''))``), a missing part equals ''."""
+    keyed, names = _folded(df, keys)
+    first = F.row_number().over(Window.partitionBy(*names).orderBy(*order))
+    return keyed.withColumn("_rn", first).filter("_rn = 1").select(*df.columns)
+
+
+def first_of_few(df: DataFrame, keys: list, order: list[str]) -> DataFrame:
+    """The same for keys that repeat a lot: for each of the leading whole-number
+    columns of ``order`` (two at most) only rows with their key's least value stay."""
+    kept, names = _folded(df, keys)
+    kinds = dict(df.dtypes)
+    for o in order[:2]:
+        if kinds[o] not in _INTEGRAL:
+            break
+        least = kept.groupBy(*names).agg(F.min(o).alias("_least")).withColumnsRenamed({n: f"{n}_" for n in names})
+        same = F.col(o).eqNullSafe(F.col("_least"))
+        for n in names:
+            same = same & (F.col(n) == F.col(f"{n}_"))
+        kept = kept.join(least, same, "left_semi")
+    first = F.row_number().over(Window.partitionBy(*names).orderBy(*order))
+    return kept.withColumn("_rn", first).filter("_rn = 1").select(*df.columns)
 
 
 def _key_text(x) -> Column:
@@ -32,36 +76,35 @@ def _key_text(x) -> Column:
 
 def unique_locations(df: DataFrame, struct_cols: list[str], order: list[str]) -> DataFrame:
     """Locations from several struct columns; key lower(address, city,
-    state) + zip; rows whose four parts are all empty are skipped."""
+    state) + zip; rows whose four parts are all empty are skipped; the first row's
+    coordinates are kept, if the structs have them."""
     ex = df.select(*order, F.posexplode(F.array(*[F.col(c) for c in struct_cols])).alias("_slot", "loc"))
     ex = ex.select(*order, "_slot", "loc.*")
     empty = F.lit(True)
     for c in ("address", "city", "state", "zip_code"):
         empty = empty & (F.coalesce(F.col(c), F.lit("")) == "")
     ex = ex.filter(~empty)
-    return first_per_key(ex, [_key_text("address"), _key_text("city"), _key_text("state"),
-                              F.coalesce("zip_code", F.lit(""))], order + ["_slot"]) \
-        .select("address", "city", "state", "zip_code")
+    kept = [c for c in ("address", "city", "state", "zip_code", "latitude", "longitude") if c in ex.columns]
+    return first_of_few(ex, [_key_text("address"), _key_text("city"), _key_text("state"), "zip_code"],
+                        order + ["_slot"]).select(*kept)
 
 
 def unique_customers(df: DataFrame, order: list[str]) -> DataFrame:
     """Key lower(name), phone, email; a name is required."""
     f = df.filter(F.coalesce(F.trim("name"), F.lit("")) != "")
-    return first_per_key(f, [_key_text("name"), F.coalesce("phone", F.lit("")),
-                             F.coalesce("email", F.lit(""))], order)
+    return first_of_few(f, [_key_text("name"), "phone", "email"], order)
 
 
 def unique_drivers(df: DataFrame, order: list[str]) -> DataFrame:
     """U4: key lower(name), licence, phone; a name is required."""
     f = df.filter(F.coalesce(F.trim("name"), F.lit("")) != "")
-    return first_per_key(f, [_key_text("name"), F.coalesce("license_number", F.lit("")),
-                             F.coalesce("phone", F.lit(""))], order)
+    return first_of_few(f, [_key_text("name"), "license_number", "phone"], order)
 
 
 def unique_vehicles(df: DataFrame, order: list[str]) -> DataFrame:
     """Key lower(plate), lower(vin); plate or vin required."""
     f = df.filter((F.coalesce("license_plate", F.lit("")) != "") | (F.coalesce("vin", F.lit("")) != ""))
-    return first_per_key(f, [_key_text("license_plate"), _key_text("vin")], order)
+    return first_of_few(f, [_key_text("license_plate"), _key_text("vin")], order)
 
 
 def union_sources(frames: list[DataFrame]) -> DataFrame:

@@ -1,5 +1,5 @@
-"""Sinks (S11-S15): entity appends with stable ids, the date-partitioned
-route store and report-bundle exports."""
+"""Sinks (S12-S15): the date-partitioned route store and report-bundle exports
+(S11: store.py)."""
 
 from __future__ import annotations
 
@@ -9,16 +9,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def with_stable_id(df: DataFrame, key_cols: list[str], id_col: str = "id") -> DataFrame:
-    """A stable 64-bit id from the natural key (same key -> same id on
-    every run and executor, no coordination)."""
-    return df.withColumn(id_col, F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in key_cols]))
-
-
-def append_entities(df: DataFrame, path: str) -> None:
-    df.write.mode("append").parquet(path)
-
-
 def write_route_store(fact: DataFrame, path: str, date_col: str = "route_date") -> None:
     """Routes partitioned by month (one folder per month keeps the
     file count manageable at scale); readers prune by the partition column."""

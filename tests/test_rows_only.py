@@ -18,11 +18,6 @@ def test_ellipsoid_query_close_to_haversine(spark):
     assert worst < 0.01  # ellipsoid vs sphere differ by well under 1 %
 
 
-def test_stable_ids_unique(spark):
-    df = Q["S11_append_with_ids"](spark, SF_SMALL)
-    assert df.count() == df.select("id").distinct().count() > 0
-
-
 def test_nested_cleaning_rows(spark):
     df = Q["P18_clean_nested_record"](spark, SF_SMALL)
     assert df.count() == spark.read.parquet(f"{SF_SMALL}/lineitem.parquet").count()

@@ -3,13 +3,13 @@
 Plain Parquet has no MERGE, so updates (J8-J10) are snapshot-in /
 snapshot-out: a left join of the change set onto the snapshot, written as a
 new version by the caller.  Geocoding (J7) resolves each *distinct* address
-key once and joins the answer back, so the lookup side only ever sees the
-key set, never the fact.
+once, keeps the answer for later runs and joins it back, so the lookup side only
+ever sees new addresses, never the fact.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import fixed_sum
@@ -61,6 +61,53 @@ def geocode(points: DataFrame, gazetteer: DataFrame, city: str = "city", state:
     return points.join(res, same, "left").drop("_city", "_state")
 
 
+# Levels of a gazetteer, the surest first.
+FULL, ZIP, CITY_STATE = 1, 2, 3
+ADDRESS = ("address", "city", "state", "zip_code")
+
+
+def full_address(parts: tuple[str, ...] = ADDRESS) -> Column:
+    """The address as one text, parts that are there joined by commas; NULL
+    without a street address (which the geocoder needs)."""
+    street = F.col(parts[0])
+    shown = F.concat_ws(", ", *[F.when(F.col(p) != "", F.col(p)) for p in parts])
+    return F.when(F.coalesce(street, F.lit("")) != "", shown)
+
+
+def match_addresses(addresses: DataFrame, gazetteer: DataFrame) -> DataFrame:
+    """Distinct addresses (``full_address`` and its parts) -> full_address, level,
+    latitude, longitude of the surest gazetteer row (``level, key, latitude,
+    longitude``; of equal ones the least); addresses without a match are left out.
+
+    Every address asks for its keys of all levels in one join, and one aggregate
+    takes the surest answer."""
+    ask = F.array(F.struct(F.lit(FULL).alias("level"), F.col("full_address").alias("key")),
+                  F.struct(F.lit(ZIP).alias("level"), F.nullif("zip_code", F.lit("")).alias("key")),
+                  F.struct(F.lit(CITY_STATE).alias("level"),
+                           F.lower(F.concat_ws(", ", F.nullif("city", F.lit("")), F.nullif("state", F.lit("")))).alias("key")))
+    asked = addresses.select("full_address", F.inline(ask)).filter(F.col("key").isNotNull())
+    answers = gazetteer.select("level", "key", F.struct("level", "latitude", "longitude").alias("answer"))
+    best = asked.join(answers, ["level", "key"]).groupBy("full_address").agg(F.min("answer").alias("answer"))
+    return best.select("full_address", "answer.level", "answer.latitude", "answer.longitude")
+
+
+def geocode_kept(points: DataFrame, gazetteer: DataFrame, store, table: str = "geocodes") -> DataFrame:
+    """``points`` with latitude, longitude and level.  Resolved addresses are kept
+    in ``store``: only addresses that it lacks are matched, and their matches
+    appended (misses are asked again the next time, when the gazetteer may know
+    them); points without a street address stay without a position."""
+    asked = points.withColumn("full_address", full_address())
+    distinct = asked.filter(F.col("full_address").isNotNull()).dropDuplicates(["full_address"]).select("full_address", *ADDRESS)
+    if store.version(table)[2]:
+        distinct = distinct.join(store.read(table).select("full_address"), "full_address", "left_anti")
+    store.append(table, match_addresses(distinct, gazetteer), ("full_address",))
+    if not store.version(table)[2]:
+        return asked.select(*points.columns, *[F.lit(None).cast(t).alias(c) for c, t in (
+            ("level", "int"), ("latitude", "double"), ("longitude", "double"))])
+    known = store.read(table).select("full_address", "level", "latitude", "longitude")
+    return asked.join(known, "full_address", "left").select(*points.columns, "level", "latitude", "longitude")
+
+
 def recipients(alerts: DataFrame, rules: DataFrame, members: DataFrame) -> DataFrame:
     """Alert -> enabled rule -> groups -> distinct member addresses;
     'Healthy' alerts notify nobody."""

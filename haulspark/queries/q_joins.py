@@ -10,6 +10,8 @@ from ..operators import validate as V
 from ..plans.collected_view import COLLECTED_SQL, collected
 from ..plans.report_fact import report_fact
 from ..plans.routes_view import routes
+from ..session import scratch_path
+from ..sources import store as ST
 from ..sources.tables import table
 from .q_validate import _errs, _findings_sql
 from .registry import register
@@ -106,6 +108,62 @@ def j7(spark, sf):
     return J.geocode(_points(spark, sf), gazetteer(spark, sf))
 
 
+# Gazetteer of three levels over the addresses of the routes; parts of it are left
+# out, so that addresses fall through to the next level or miss.
+_FULL_SQL = "concat_ws(', ', nullif(address, ''), nullif(city, ''), nullif(state, ''), nullif(zip_code, ''))"
+LEVELS_SQL = f"""
+adr AS (SELECT route_key, raw_address AS address, n_name AS city, r_name AS state, raw_zip AS zip_code
+        FROM routes LEFT JOIN nation ON end_nation = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey),
+asked AS (SELECT *, CASE WHEN coalesce(address, '') <> '' THEN {_FULL_SQL} END AS full_address FROM adr),
+level1 AS (SELECT DISTINCT full_address AS key, length(full_address) / cast(4 AS DOUBLE) AS latitude,
+                  -length(address) / cast(2 AS DOUBLE) AS longitude FROM asked WHERE length(address) % 3 = 0),
+level2 AS (SELECT DISTINCT zip_code AS key, length(zip_code) + ascii(zip_code) / cast(2 AS DOUBLE) AS latitude, cast(-100 AS DOUBLE) AS longitude
+           FROM asked WHERE coalesce(zip_code, '') <> '' AND ascii(zip_code) % 2 = 0),
+level3 AS (SELECT lower(city || ', ' || state) AS key, min(latitude) AS latitude, min(longitude) AS longitude FROM gaz GROUP BY 1)"""
+_GEOCODED_SQL = f"""
+, {GAZ_SQL.strip()}, {LEVELS_SQL.strip()},
+geocoded AS (
+  SELECT a.route_key, CASE WHEN l1.key IS NOT NULL THEN 1 WHEN l2.key IS NOT NULL THEN 2 WHEN l3.key IS NOT NULL THEN 3 END AS level,
+         CASE WHEN l1.key IS NOT NULL THEN l1.latitude WHEN l2.key IS NOT NULL THEN l2.latitude ELSE l3.latitude END AS latitude,
+         CASE WHEN l1.key IS NOT NULL THEN l1.longitude WHEN l2.key IS NOT NULL THEN l2.longitude ELSE l3.longitude END AS longitude
+  FROM asked a LEFT JOIN level1 l1 ON a.full_address = l1.key
+  LEFT JOIN level2 l2 ON a.full_address IS NOT NULL AND a.zip_code = l2.key
+  LEFT JOIN level3 l3 ON a.full_address IS NOT NULL AND lower(concat_ws(', ', nullif(a.city, ''), nullif(a.state, ''))) = l3.key)"""
+
+
+def addresses(spark, sf, *more):
+    """Routes with the address they go to."""
+    r = routes(spark, sf, ("route_key", "end_nation", "raw_address", "raw_zip", *more))
+    n, rg = table(spark, sf, "nation"), table(spark, sf, "region")
+    nr = n.join(rg, n.n_regionkey == rg.r_regionkey, "left").select("n_nationkey", F.col("n_name").alias("city"), F.col("r_name").alias("state"))
+    return r.join(nr, r.end_nation == nr.n_nationkey, "left").select(
+        "route_key", F.col("raw_address").alias("address"), "city", "state", F.col("raw_zip").alias("zip_code"), *more)
+
+
+def gazetteer_levels(spark, sf):
+    """(level, key, latitude, longitude): full addresses, ZIP codes, cities with their states."""
+    a = addresses(spark, sf).withColumn("full_address", J.full_address())
+    level1 = a.filter(F.length("address") % 3 == 0).select(
+        F.lit(J.FULL).alias("level"), F.col("full_address").alias("key"), (F.length("full_address") / 4.0).alias("latitude"),
+        (-F.length("address") / 2.0).alias("longitude")).filter("key IS NOT NULL").distinct()
+    level2 = a.filter((F.coalesce("zip_code", F.lit("")) != "") & (F.ascii("zip_code") % 2 == 0)).select(
+        F.lit(J.ZIP).alias("level"), F.col("zip_code").alias("key"), (F.length("zip_code") + F.ascii("zip_code") / 2.0).alias("latitude"),
+        F.lit(-100.0).alias("longitude")).distinct()
+    level3 = gazetteer(spark, sf).select(F.lit(J.CITY_STATE).alias("level"), F.lower(F.concat_ws(", ", "city", "state")).alias("key"),
+                                         "latitude", "longitude")
+    return level1.unionByName(level2).unionByName(level3)
+
+
+@register("J7_geocode_kept", with_routes(_GEOCODED_SQL + "\nSELECT * FROM geocoded"))
+def j7_kept(spark, sf):
+    """Addresses resolved in two runs over a kept table of resolved ones: the second
+    resolves only what the first has not."""
+    store = ST.Store(spark, scratch_path(spark, "j7-geocodes"))
+    a, g = addresses(spark, sf, "line_no"), gazetteer_levels(spark, sf)
+    J.geocode_kept(a.filter("line_no <= 3"), g, store)
+    return J.geocode_kept(a, g, store).select("route_key", "level", "latitude", "longitude")
+
+
 @register("G5_geocode_statistics", with_routes(f"""
 , {GAZ_SQL.strip()}, {_POINTS_SQL.strip()}
 SELECT count(*) AS total, count(coalesce(g2.latitude, g1.lat)) AS resolved,

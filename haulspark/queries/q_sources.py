@@ -12,6 +12,7 @@ from ..functions.clean import to_number
 from ..operators import aggregate as A
 from ..operators import entity as U
 from ..operators import validate as V
+from ..operators.window import written
 from ..plans.collected_view import COLLECTED_SQL, collected
 from ..plans.report_fact import report_fact
 from ..plans.routes_view import routes
@@ -94,9 +95,44 @@ def s3(spark, sf):
            .otherwise(rec))
     r.select(doc.alias("value")).write.text(d)
     j = S.read_json_documents(spark, d, whole_file=False)
-    return j.select(S.field(F.col("record"), "route_key").alias("route_key"),
-                    S.field(F.col("record"), "revenue", "double").alias("revenue"),
-                    S.field(F.col("record"), "total_miles", "double").alias("total_miles"))
+    return j.select(*_RECORD_FIELDS())
+
+
+def _RECORD_FIELDS():
+    return [S.field(F.col("record"), "route_key").alias("route_key"), S.field(F.col("record"), "revenue", "double").alias("revenue"),
+            S.field(F.col("record"), "total_miles", "double").alias("total_miles")]
+
+
+@register("S3_json_rejects", with_routes("""
+SELECT route_key, revenue, total_miles, NULL AS reason FROM routes WHERE line_no NOT IN (4, 5)
+UNION ALL SELECT NULL, NULL, NULL, CASE line_no WHEN 4 THEN 'Document is not valid JSON' ELSE 'Unsupported JSON structure' END
+FROM routes WHERE line_no IN (4, 5)"""))
+def s3_rejects(spark, sf):
+    """Documents cut short and documents that are one number go to the reject sink
+    with their reason, in the pass that reads the good ones."""
+    d, root = scratch_path(spark, "s3-mixed"), scratch_path(spark, "s3-landed")
+    r = routes(spark, sf, ("route_key", "revenue", "total_miles", "line_no"))
+    rec = _route_json(r)
+    doc = F.when(F.col("line_no") == 4, F.concat(F.lit('{"data": ['), rec)).when(F.col("line_no") == 5, F.lit("42")).otherwise(rec)
+    r.select(doc.alias("value")).write.text(d)
+    good, bad = S.split_rejects(S.read_json_documents(spark, d, whole_file=False), root, "2024-01-31", _RECORD_FIELDS())
+    return good.withColumn("reason", F.lit(None).cast("string")).unionByName(bad.select(
+        *[F.lit(None).cast(t).alias(c) for c, t in good.dtypes], F.col("reasons")[0].alias("reason")))
+
+
+@register("S9_reject_lines", with_routes("""
+SELECT route_key, status, NULL AS reason FROM routes WHERE line_no <> 6
+UNION ALL SELECT NULL, NULL, 'Line does not fit the columns' FROM routes WHERE line_no = 6"""))
+def s9_lines(spark, sf):
+    """CSV lines with a value too many go to the reject sink."""
+    d, root = scratch_path(spark, "s9-csv"), scratch_path(spark, "s9-landed")
+    r = routes(spark, sf, ("route_key", "status", "line_no"))
+    line = F.concat_ws(",", "route_key", "status", F.when(F.col("line_no") == 6, F.lit("one,more")))
+    r.select(line.alias("value")).write.text(d)
+    good, bad = S.split_rejects(S.read_csv_with_rejects(spark, d, ["route_key", "status"]), root, "2024-01-31",
+                                [F.col("route_key"), F.col("status")])
+    return good.withColumn("reason", F.lit(None).cast("string")).unionByName(bad.select(
+        F.lit(None).cast("string").alias("route_key"), F.lit(None).cast("string").alias("status"), F.col("reasons")[0].alias("reason")))
 
 
 @register("S4_manual_entry", with_routes("""
@@ -156,19 +192,28 @@ def s7(spark, sf):
             .groupBy("event_type").agg((F.count(F.lit(1)) > 0).alias("found")))
 
 
-@register("S8_content_hash_dedupe", """
-SELECT count(DISTINCT event_type) AS kept_files, count(DISTINCT event_type) AS skipped_copies FROM events""")
+S8_BUCKETS = 16
+
+
+@register("S8_content_hash_dedupe", f"""
+SELECT event_type, count(DISTINCT event_id % {S8_BUCKETS}) AS kept_files, count(DISTINCT event_id % {S8_BUCKETS}) AS skipped_copies,
+       count(*) AS events FROM events GROUP BY event_type""")
 def s8(spark, sf):
-    """Each event type's file is landed twice (a byte copy in a second
-    folder); only one file per content survives."""
+    """Each event type lands as a few files, twice (a copy in a second folder); one
+    file per content survives and is read.  Files are dealt by type and a fixed
+    bucket of the id, so both copies hold the same rows in the same order."""
     d = scratch_path(spark, "s8-landing")
-    ev = table(spark, sf, "events").select("event_type", "event_id", "value")
+    ev = table(spark, sf, "events").select("event_type", "event_id", "value", (F.col("event_id") % S8_BUCKETS).alias("bucket"))
     for copy in ("a", "b"):
-        (ev.repartition(1, "event_type").sortWithinPartitions("event_type", "event_id")
-         .write.partitionBy("event_type").option("header", True).csv(os.path.join(d, copy)))
-    kept = S.new_contents(spark, d, "*.csv")
-    return kept.agg(F.count(F.lit(1)).alias("kept_files"),
-                    F.sum(F.col("copies") - 1).cast("long").alias("skipped_copies"))
+        (ev.repartition("event_type", "bucket").sortWithinPartitions("event_type", "bucket", "event_id")
+         .write.partitionBy("event_type", "bucket").option("header", True).csv(os.path.join(d, copy)))
+    kept = S.new_contents(spark, d, "*.csv").withColumn("event_type", F.regexp_extract("path", r"event_type=([^/]+)/", 1))
+    lines = spark.read.text(d, recursiveFileLookup=True, pathGlobFilter="*.csv").select(
+        "value", F.col("_metadata.file_path").alias("file")).filter("value NOT LIKE 'event_id%'")
+    plain = F.regexp_replace(F.col("path"), "^file:/+", "/")
+    rows = lines.groupBy(F.regexp_replace("file", "^file:/+", "/").alias("file")).agg(F.count(F.lit(1)).alias("n"))
+    return kept.withColumn("file", plain).join(rows, "file").groupBy("event_type").agg(
+        F.count(F.lit(1)).alias("kept_files"), F.sum(F.col("copies") - 1).cast("long").alias("skipped_copies"), F.sum("n").alias("events"))
 
 
 R = V.ROUTE_RULES
@@ -281,8 +326,12 @@ sec AS (SELECT 'summary' AS section, cast(1 AS BIGINT) AS rows
         UNION ALL SELECT 'routes', count(*) FROM m)""")
 
 
+_BUNDLE_NEED = sorted({c for n in ("period_summary", "driver_metrics", "customer_metrics") for c in A.NEEDS[n]}
+                      | {"route_key", "route_date", "total_costs", "profit"})
+
+
 def _bundle(spark, sf, period):
-    f = report_fact(spark, sf, *period).persist()
+    f = written(report_fact(spark, sf, *period).select(*_BUNDLE_NEED), "bundle-fact")
     return {"summary": A.period_summary(f), "drivers": A.driver_metrics(f), "customers": A.customer_metrics(f),
             "routes": f.select("route_key", "route_date", "driver_name", "revenue", "total_costs", "profit")}
 
@@ -290,7 +339,8 @@ def _bundle(spark, sf, period):
 def _export(spark, sf, formats, name, period=MONTH):
     """The bundle of a period (inclusive dates; () for the whole fact), exported."""
     root = scratch_path(spark, name)
-    return K.export_bundle(_bundle(spark, sf, period), root, formats)
+    return K.export_bundle(_bundle(spark, sf, period), root, formats, name, "2024-01-31T00:00:00",
+                           {"date_from": period[0] if period else "", "date_to": period[1] if period else ""}).drop("path")
 
 
 @register("S13_csv_export", _BUNDLE_SQL + "\nSELECT section, 'csv' AS format, rows, 'ok' AS status FROM sec WHERE rows > 0")

@@ -36,24 +36,29 @@ def read_csv_text(spark: SparkSession, paths, sep: str = ",", encoding: str = "U
 def read_csv_any_encoding(spark: SparkSession, folder: str, glob: str = "*.csv",
                           fallback: str = "ISO-8859-1") -> DataFrame:
     """Files that are valid UTF-8 are read as UTF-8, the others with the
-    fallback encoding (Latin-1 decodes any byte string, so it ends the chain
-    the reference tries).  Only file *paths* reach the driver (metadata, as
-    for any file listing); contents are read by the executors."""
-    files = (spark.read.format("binaryFile").option("pathGlobFilter", glob)
-             .option("recursiveFileLookup", True).load(folder)
-             .select("path", F.is_valid_utf8(F.col("content").cast("string")).alias("utf8")))
-    listing = files.select("path", "utf8").collect()
-    utf8 = [r["path"] for r in listing if r["utf8"]]
-    other = [r["path"] for r in listing if not r["utf8"]]
-    parts = []
-    if utf8:
-        parts.append(read_csv_text(spark, utf8, encoding="UTF-8"))
-    if other:
-        parts.append(read_csv_text(spark, other, encoding=fallback))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p, allowMissingColumns=True)
-    return out
+    fallback encoding, one that gives every byte a character (Latin-1 ends the chain
+    the reference tries).  All files are read with the fallback, line by line; a
+    file's lines say whether all its bytes are UTF-8, and the verdict is joined back
+    by the file's path.  Files stay splittable, and no path reaches the driver."""
+    raw = (spark.read.option("header", True).option("encoding", fallback).option("mode", "PERMISSIVE")
+           .option("pathGlobFilter", glob).option("recursiveFileLookup", True).csv(folder))
+    names = raw.columns
+    rows = raw.select(*[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(names)], F.col("_metadata.file_path").alias("_path"))
+    whole = F.concat_ws(",", *[F.col(f"_{i}") for i in range(len(names))])
+    valid = rows.groupBy("_path").agg(F.bool_and(F.is_valid_utf8(F.encode(whole, fallback).cast("string"))).alias("_utf8"))
+
+    def text(c: Column) -> Column:
+        return F.when(F.col("_utf8"), F.decode(F.encode(c, fallback), "UTF-8")).otherwise(c)
+
+    out = rows.join(valid, "_path").select(*[text(F.col(f"_{i}")).alias(_utf8_name(c, fallback)) for i, c in enumerate(names)])
+    return fold_nulls(out)
+
+
+def _utf8_name(name: str, encoding: str) -> str:
+    try:
+        return name.encode(encoding).decode("utf-8")
+    except UnicodeError:
+        return name
 
 
 def record_array(doc: Column, keys: list[str] = JSON_RECORD_KEYS) -> Column:
@@ -65,14 +70,51 @@ def record_array(doc: Column, keys: list[str] = JSON_RECORD_KEYS) -> Column:
     return F.coalesce(*cands)
 
 
+# Reasons of rejected documents and lines.
+NOT_JSON, NOT_RECORDS, NOT_COLUMNS = "Document is not valid JSON", "Unsupported JSON structure", "Line does not fit the columns"
+
+
 def read_json_documents(spark: SparkSession, path: str, whole_file: bool = True,
                         keys: list[str] = JSON_RECORD_KEYS) -> DataFrame:
-    """S3: landed JSON, one document per file (or per line), polymorphic
-    root; one output row per record as VARIANT plus the source path."""
-    t = spark.read.option("wholetext", whole_file).text(path).withColumn("_path", F.input_file_name())
-    doc = F.try_parse_json(F.col("value"))
-    return (t.select("_path", doc.alias("doc")).filter(F.col("doc").isNotNull())
-            .select("_path", "doc", F.explode(record_array(F.col("doc"), keys)).alias("record")))
+    """S3: landed JSON, one document per file (or per line), polymorphic root; one
+    row per record as VARIANT plus the source path.  A document that does not parse,
+    or whose root is neither list nor object, is a row with its ``reason`` and
+    ``document`` and no record (:func:`split_rejects`); blank ones are nothing."""
+    t = spark.read.option("wholetext", whole_file).text(path).select("value", F.col("_metadata.file_path").alias("_path"))
+    doc = t.filter(F.trim("value") != "").withColumn("doc", F.try_parse_json("value"))
+    kind = F.schema_of_variant("doc")
+    reason = F.when(F.col("doc").isNull(), NOT_JSON).when(~(kind.startswith("OBJECT") | kind.startswith("ARRAY")), NOT_RECORDS)
+    found = F.when(reason.isNull(), record_array(F.col("doc"), keys)).otherwise(F.array(F.lit(None).cast("variant")))
+    return doc.select("_path", "doc", reason.alias("reason"), F.when(reason.isNotNull(), F.col("value")).alias("document"),
+                      F.explode(found).alias("record"))
+
+
+def read_csv_with_rejects(spark: SparkSession, path: str, columns: list[str], sep: str = ",", header: bool = False) -> DataFrame:
+    """S1 with a fixed set of text columns; a line with more or fewer values is a row
+    with its ``reason`` and ``document`` (:func:`split_rejects`)."""
+    schema = ", ".join(f"`{c}` string" for c in columns) + ", document string"
+    raw = (spark.read.schema(schema).option("header", header).option("enforceSchema", True).option("sep", sep).option("mode", "PERMISSIVE")
+           .option("columnNameOfCorruptRecord", "document").csv(path).withColumn("_path", F.col("_metadata.file_path")))
+    values = [F.col(f"`{c}`") for c in columns]
+    reason = F.when(F.col("document").isNotNull(), NOT_COLUMNS)
+    folded = [F.when(F.trim(v).isin(NULL_SPELLINGS), F.lit(None)).otherwise(v).alias(c) for v, c in zip(values, columns)]
+    return raw.select("_path", reason.alias("reason"), "document", *folded)
+
+
+def split_rejects(rows: DataFrame, root: str, load_date: str, good: list[Column]) -> tuple[DataFrame, DataFrame]:
+    """Good rows and rejects of one pass over the source, both written under
+    ``root`` (partitioned by ``rejected`` and load date): the ``good`` columns, and
+    path, document and reasons.  Rows without a ``reason`` are good."""
+    names = [f"g{i}" for i in range(len(good))]
+    out = rows.select(*[c.alias(n) for c, n in zip(good, names)], F.col("_path").alias("path"), "document",
+                      F.when(F.col("reason").isNotNull(), F.array("reason")).alias("reasons"), F.col("reason").isNotNull().alias("rejected"),
+                      F.lit(load_date).cast("date").alias("load_date"))
+    out.write.mode("append").partitionBy("rejected", "load_date").parquet(root)
+    written = rows.sparkSession.read.schema(out.schema).parquet(root)
+    kept = written.filter("NOT rejected").select(*names)
+    for n, field in zip(names, rows.select(*good).schema):
+        kept = kept.withColumnRenamed(n, field.name)
+    return kept, written.filter("rejected").select("path", "document", "reasons", "load_date")
 
 
 def field(record: Column, name: str, typ: str = "string") -> Column:

@@ -2,9 +2,8 @@
 
 * R1 collect: every registered collector's DataFrame -> standardise ->
   union -> one validation projection -> good rows, rejects, summary.
-* R2 process: dedupe -> geocode -> metrics -> entities -> checks -> store.
-  The processed fact is cut from its lineage with ``checkpoint()`` into the
-  shared checkpoint folder before it fans out into five entity outputs.
+* R2 process: clean -> dedupe -> geocode -> metrics -> entities -> checks -> store.
+  What is kept is written to the shared folder before it fans out.
 * R3: flat landed rows become nested records first, then R2.
 """
 
@@ -20,7 +19,9 @@ from ..operators import entity as U
 from ..operators import join as J
 from ..operators import standardize as P
 from ..operators import validate as V
-from ..session import ensure_checkpoint_dir
+from ..functions.metrics import with_route_metrics
+from ..operators.window import written
+from ..sources import store as ST
 
 # ---------------------------------------------------------------- E5 collectors
 COLLECTORS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], dict, str]] = {}
@@ -67,22 +68,54 @@ def collection_summary(found: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------- R2 / R3
-def process_routes(spark: SparkSession, nested: DataFrame, gazetteer: DataFrame, order: list[str],
-                   points: DataFrame) -> dict[str, DataFrame]:
-    """R2: dedupe -> geocode -> entities, without clean, metrics, checks and
-    store.  Returns the outputs; the
-    deduplicated fact is checkpointed (lineage cut) before the fan-out."""
-    ensure_checkpoint_dir(spark)
-    kept = U.first_per_key(nested, ["order_key", "line_no"], order).checkpoint(eager=True)
-    geo = J.geocode(kept.select("route_key").join(points, "route_key", "left"), gazetteer)
-    return {
-        "routes": kept,
-        "geocoded": geo,
-        "locations": U.unique_locations(kept, ["start_location", "end_location"], order),
-        "customers": U.unique_customers(kept.select(*order, "customer.*"), order),
-        "drivers": U.unique_drivers(kept.select(*order, "driver.*"), order),
-        "vehicles": U.unique_vehicles(kept.select(*order, "vehicle.*"), order),
-    }
+LINKS = (("customers", "customer.", "customer_id"), ("drivers", "driver.", "driver_id"), ("vehicles", "vehicle.", "vehicle_id"),
+         ("locations", "start_location.", "start_location_id"), ("locations", "end_location.", "end_location_id"))
+
+
+def _located(kept: DataFrame, gazetteer: DataFrame, store: ST.Store) -> DataFrame:
+    """Both locations with the coordinates of their addresses."""
+    ends = [kept.select(*[F.col(f"{s}.{c}").alias(c) for c in J.ADDRESS]) for s in ("start_location", "end_location")]
+    J.geocode_kept(ends[0].unionByName(ends[1]).distinct(), gazetteer, store)
+    found = store.version("geocodes")[2]
+    out = kept
+    for s in ("start_location", "end_location"):
+        at = [F.lit(None).cast("double").alias(c) for c in ("latitude", "longitude")]
+        if found:
+            known = store.read("geocodes").select(F.col("full_address").alias("_known"), "latitude", "longitude")
+            parts = tuple(f"{s}.{c}" for c in J.ADDRESS)
+            out = out.withColumn("_asked", J.full_address(parts)).join(known, F.col("_asked") == F.col("_known"), "left")
+            at = [F.col(c) for c in ("latitude", "longitude")]
+        out = out.withColumn(s, F.struct(f"{s}.*", *at)).drop("_asked", "_known", "latitude", "longitude")
+    return out
+
+
+def process_routes(spark: SparkSession, nested: DataFrame, gazetteer: DataFrame, store: ST.Store, order: list[str]) -> dict[str, DataFrame]:
+    """R2: clean every field (P18), require a date, drop repeated routes (U1), find
+    coordinates (J7), compute the metrics (M14), extract the entities (U2-U5), check
+    (V17, a failure stops the job before anything is stored) and store them with ids
+    (S11).  The source is read once: what is kept is written to the shared folder
+    before it fans out.  ``routes`` are linked to the stored entities' ids."""
+    cleaned = P.clean_nested_record(nested).filter(F.col("route_date").isNotNull())
+    kept = written(U.first_per_key(cleaned, U.route_key(), order), "process-kept")
+    located = written(_located(kept, gazetteer, store), "process-located")
+    flat = located.withColumns({
+        **{f"{e}_{c[:3]}": F.col(f"{e}_location.{c}") for e in ("start", "end") for c in ("latitude", "longitude")},
+        **{t: F.col(f"{t}_time") for t in ("scheduled_start", "scheduled_end", "actual_start", "actual_end")}}).drop("average_speed")
+    routes = with_route_metrics(flat, mpg_col=None, rate_col=None)
+    locations = U.unique_locations(located, ["start_location", "end_location"], order)
+    checks = V.post_transform_checks(routes, locations)
+    if not checks.first()["passed"]:
+        raise ValueError("Data validation failed")
+    entities = {
+        "locations": locations, "customers": U.unique_customers(located.select(*order, "customer.*"), order).drop(*order),
+        "drivers": U.unique_drivers(located.select(*order, "driver.*"), order).drop(*order),
+        "vehicles": U.unique_vehicles(located.select(*order, "vehicle.*"), order).drop(*order)}
+    added = ST.store_all(store, entities)
+    linked = routes
+    for table, of, id_col in LINKS:
+        linked = store.ids(table, linked, id_col=id_col, of=of)
+    added["routes"] = ST.store_all(store, {"routes": linked})["routes"]
+    return {**added, "checks": checks}
 
 
 def flat_to_nested(flat: DataFrame) -> DataFrame:

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
+from ..operators import join as J
 from ..operators import standardize as P
 from ..plans import jobs as JB
 from ..plans.report_fact import report_fact
@@ -11,16 +14,17 @@ from ..plans.routes_view import routes
 from ..session import scratch_path
 from ..sources import collector as SC
 from ..sources import files as S
+from ..sources import store as ST
 from ..sources.tables import table
 from ..streaming import polling as X
-from .q_entity import NESTED_SQL, ORDER, nested_routes
-from .q_joins import GAZ_SQL, _POINTS_SQL, _points, gazetteer
+from .q_entity import ORDER
+from .q_functions import _C6_FORMATS, _STATE_VALUES, _abbrev_sql, _coalesce_parse, _title_sql
 from .q_reports import A18_ALL_SQL, A18_SQL, MONTH, MONTHLY_FORMULAS, MONTHLY_KPIS
 from .q_sources import _landed_csv
-from .q_standardize import (API_FEED_SQL, EMAIL_FEED_SQL, FILE_FEED_SQL, api_feed, email_feed, file_feed,
+from .q_standardize import (raw_nested, API_FEED_SQL, EMAIL_FEED_SQL, FILE_FEED_SQL, api_feed, email_feed, file_feed,
                             s_float, s_iso)
 from .registry import register
-from .sqlbase import r2, with_routes
+from .sqlbase import METRICS_CTE, r2, with_routes
 
 AS_OF = "2024-01-31 00:00:00"
 
@@ -117,34 +121,102 @@ def e5_stream(spark, sf):
     return p.result()
 
 
-@register("R2_process_routes", with_routes(f"""
-, {NESTED_SQL.strip()}, {GAZ_SQL.strip()}, {_POINTS_SQL.strip()},
-kept AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY order_key, line_no
-                                                     ORDER BY order_key, line_no, route_key) AS rn FROM nested)
-         WHERE rn = 1),
-locs AS (SELECT s_address AS a, s_city AS c, s_state AS s, s_zip AS z FROM kept
-         UNION ALL SELECT e_address, e_city, e_state, e_zip FROM kept)
-SELECT (SELECT count(*) FROM nested) AS processed,
-       (SELECT count(*) FROM kept) AS unique_routes,
-       (SELECT count(*) FROM kept k JOIN pts p ON k.route_key = p.route_key
-          WHERE p.city IN (SELECT city FROM gaz)) AS geocoded,
-       (SELECT count(DISTINCT (lower(coalesce(a, '')), lower(coalesce(c, '')), lower(coalesce(s, '')), coalesce(z, '')))
-          FROM locs WHERE NOT (coalesce(a, '') = '' AND coalesce(c, '') = '' AND coalesce(s, '') = ''
-                               AND coalesce(z, '') = '')) AS locations,
-       (SELECT count(DISTINCT (lower(c_name), coalesce(c_phone, ''), coalesce(c_email, ''))) FROM kept
-          WHERE coalesce(trim(c_name), '') <> '') AS customers,
-       (SELECT count(DISTINCT (lower(d_name), d_license)) FROM kept WHERE coalesce(trim(d_name), '') <> '') AS drivers,
-       (SELECT count(DISTINCT lower(v_plate)) FROM kept) AS vehicles"""))
+# ---------------------------------------------------------------- R2
+def _phone(x):
+    d = f"regexp_replace({x}, '[^0-9]', '', 'g')"
+    return (f"CASE WHEN length({d}) = 10 THEN '(' || substr({d}, 1, 3) || ') ' || substr({d}, 4, 3) || '-' || substr({d}, 7, 4) "
+            f"WHEN length({d}) = 11 AND substr({d}, 1, 1) = '1' THEN '(' || substr({d}, 2, 3) || ') ' || substr({d}, 5, 3) || '-' || substr({d}, 8, 4) END")
+
+
+def _email(x):
+    return f"CASE WHEN regexp_full_match(lower(trim({x})), '[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\\.[a-zA-Z]{{2,}}') THEN lower(trim({x})) END"
+
+
+def _zip(x):
+    return f"CASE WHEN regexp_full_match(replace(trim({x}), ' ', ''), '[0-9]{{5}}(-[0-9]{{4}})?') THEN replace(trim({x}), ' ', '') END"
+
+
+def _name(x):
+    return f"CASE WHEN trim({x}) <> '' THEN {_title_sql(f'trim({x})')} END"
+
+
+def _address(x):
+    return f"CASE WHEN trim({x}) <> '' THEN " + _abbrev_sql(_title_sql(f"regexp_replace(trim({x}), '\\s+', ' ', 'g')")) + " END"
+
+
+def _key(*parts):
+    return " || chr(31) || ".join(f"lower(coalesce({p}, ''))" if fold else f"coalesce({p}, '')" for p, fold in parts)
+
+
+_LOC_KEY = lambda e: _key((f"{e}_address", 1), (f"{e}_city", 1), (f"{e}_state", 1), (f"{e}_zip", 0))
+_FULL = lambda e: (f"CASE WHEN coalesce({e}_address, '') <> '' THEN concat_ws(', ', nullif({e}_address, ''), nullif({e}_city, ''), "
+                   f"nullif({e}_state, ''), nullif({e}_zip, '')) END")
+_GEO = lambda e: f"""
+  LEFT JOIN zips z{e} ON {_FULL(e)} IS NOT NULL AND k.{e}_zip = z{e}.zip
+  LEFT JOIN cities c{e} ON {_FULL(e)} IS NOT NULL AND lower(concat_ws(', ', nullif(k.{e}_city, ''), nullif(k.{e}_state, ''))) = c{e}.key""".replace("  # noqa: E731", "")
+_AT = lambda e, c: f"CASE WHEN z{e}.zip IS NOT NULL THEN z{e}.{c} ELSE c{e}.{c} END"
+PROCESSED_SQL = f"""
+, st(k, code) AS (VALUES {_STATE_VALUES}),
+cleaned AS (
+  SELECT route_key, order_key, line_no, {_coalesce_parse('raw_date', _C6_FORMATS)} AS route_date,
+    {_address("cast(driver_id AS VARCHAR) || ' Depot Rd'")} AS s_address, 'Hub City' AS s_city, 'IL' AS s_state,
+    {_zip("lpad(cast(driver_id AS VARCHAR), 5, '0')")} AS s_zip,
+    {_address('raw_address')} AS e_address, {_name('raw_city')} AS e_city, st.code AS e_state, {_zip('raw_zip')} AS e_zip,
+    {_name('driver_name')} AS d_name, 'DL-' || lpad(cast(driver_id AS VARCHAR), 6, '0') AS d_license,
+    {_name('customer_name')} AS c_name, {_phone('raw_phone')} AS c_phone, {_email('raw_email')} AS c_email,
+    'TRK-' || cast(vehicle_id AS VARCHAR) AS v_plate,
+    total_miles, empty_miles, fuel_consumed, revenue, other_costs, scheduled_start, scheduled_end, actual_start, actual_end
+  FROM routes LEFT JOIN st ON upper(trim(raw_state)) = st.k),
+kept AS (
+  SELECT * FROM cleaned WHERE route_date IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY route_date, coalesce(d_license, ''),
+    concat_ws('|', coalesce(s_address, ''), coalesce(s_city, ''), coalesce(s_state, ''), coalesce(s_zip, '')),
+    concat_ws('|', coalesce(e_address, ''), coalesce(e_city, ''), coalesce(e_state, ''), coalesce(e_zip, ''))
+    ORDER BY order_key, line_no, route_key) = 1),
+zips AS (SELECT DISTINCT e_zip AS zip, 25 + cast(substr(e_zip, 1, 2) AS INTEGER) / cast(10 AS DOUBLE) AS lat,
+                -80 - cast(substr(e_zip, 4, 2) AS INTEGER) / cast(10 AS DOUBLE) AS lon FROM cleaned WHERE ascii(e_zip) % 2 = 0),
+cities(key, lat, lon) AS (VALUES ('hub city, il', cast(41.9 AS DOUBLE), cast(-87.6 AS DOUBLE)), ('chicago, il', 41.8, -87.7)),
+located AS (
+  SELECT k.*, cast(NULL AS DOUBLE) AS vehicle_mpg, cast(NULL AS DOUBLE) AS driver_rate,
+         {_AT('s', 'lat')} AS start_lat, {_AT('s', 'lon')} AS start_lon, {_AT('e', 'lat')} AS end_lat, {_AT('e', 'lon')} AS end_lon
+  FROM kept k {_GEO('s')} {_GEO('e')}),
+{re.sub(r"[ ]rm([0-9])", r" pm\1", re.sub(r"^rm([0-9])", r"pm\1", METRICS_CTE.strip(), flags=re.M)).replace("FROM routes r", "FROM located r").replace("route_metrics AS", "processed AS")},
+locs AS (SELECT k, row_number() OVER (ORDER BY k) AS id FROM (
+  SELECT {_LOC_KEY('s')} AS k FROM kept UNION SELECT {_LOC_KEY('e')} FROM kept WHERE coalesce(e_address, '') <> '' OR coalesce(e_city, '') <> ''
+    OR coalesce(e_state, '') <> '' OR coalesce(e_zip, '') <> '')),
+custs AS (SELECT k, row_number() OVER (ORDER BY k) AS id FROM (SELECT DISTINCT {_key(('c_name', 1), ('c_phone', 0), ('c_email', 0))} AS k
+  FROM kept WHERE coalesce(trim(c_name), '') <> '')),
+drvs AS (SELECT k, row_number() OVER (ORDER BY k) AS id FROM (SELECT DISTINCT {_key(('d_name', 1), ('d_license', 0), ("''", 0))} AS k
+  FROM kept WHERE coalesce(trim(d_name), '') <> '')),
+vehs AS (SELECT k, row_number() OVER (ORDER BY k) AS id FROM (SELECT DISTINCT {_key(('v_plate', 1), ("''", 1))} AS k FROM kept WHERE coalesce(v_plate, '') <> ''))
+SELECT p.route_key, p.route_date, p.start_lat, p.start_lon, p.end_lat, p.end_lon, p.total_hours, p.calculated_distance, p.total_costs, p.profit,
+       p.efficiency_score, c.id AS customer_id, d.id AS driver_id, v.id AS vehicle_id, ls.id AS start_location_id, le.id AS end_location_id
+FROM processed p LEFT JOIN custs c ON c.k = {_key(('p.c_name', 1), ('p.c_phone', 0), ('p.c_email', 0))}
+LEFT JOIN drvs d ON d.k = {_key(('p.d_name', 1), ('p.d_license', 0), ("''", 0))} LEFT JOIN vehs v ON v.k = {_key(('p.v_plate', 1), ("''", 1))}
+LEFT JOIN locs ls ON ls.k = {_LOC_KEY('p.s').replace('p.s_', 'p.s_')} LEFT JOIN locs le ON le.k = {_LOC_KEY('p.e')}"""
+
+
+def _process_gazetteer(raw):
+    """ZIP codes (some left out) and two cities."""
+    z = P.clean_nested_record(raw).select(F.col("end_location.zip_code").alias("zip")).filter(F.ascii("zip") % 2 == 0).distinct()
+    zips = z.select(F.lit(J.ZIP).alias("level"), F.col("zip").alias("key"), (25 + F.substring("zip", 1, 2).cast("int") / 10.0).alias("latitude"),
+                    (-80 - F.substring("zip", 4, 2).cast("int") / 10.0).alias("longitude"))
+    cities = F.array(*[F.struct(F.lit(J.CITY_STATE).alias("level"), F.lit(k).alias("key"), F.lit(a).alias("latitude"), F.lit(o).alias("longitude"))
+                       for k, a, o in (("hub city, il", 41.9, -87.6), ("chicago, il", 41.8, -87.7))])
+    return zips.unionByName(raw.sparkSession.range(1).select(F.inline(cities)))
+
+
+PROCESSED = ["route_key", "route_date", "start_lat", "start_lon", "end_lat", "end_lon", "total_hours", "calculated_distance", "total_costs",
+             "profit", "efficiency_score", "customer_id", "driver_id", "vehicle_id", "start_location_id", "end_location_id"]
+
+
+@register("R2_process_routes", with_routes(PROCESSED_SQL))
 def r2_process(spark, sf):
-    """Process: dedupe (checkpointed) -> geocode -> entities; one row of
-    counts."""
-    out = JB.process_routes(spark, nested_routes(spark, sf), gazetteer(spark, sf), ORDER, _points(spark, sf))
-    n = lambda df: df.agg(F.count(F.lit(1))).scalar()
-    return spark.range(1).select(
-        n(nested_routes(spark, sf)).alias("processed"), n(out["routes"]).alias("unique_routes"),
-        out["geocoded"].agg(F.count("latitude")).scalar().alias("geocoded"),
-        n(out["locations"]).alias("locations"), n(out["customers"]).alias("customers"),
-        n(out["drivers"]).alias("drivers"), n(out["vehicles"]).alias("vehicles"))
+    """The whole job over raw nested routes; the stored routes with metrics and ids."""
+    raw = raw_nested(spark, sf)
+    store = ST.Store(spark, scratch_path(spark, "r2-store"))
+    JB.process_routes(spark, raw, _process_gazetteer(raw), store, ORDER)
+    return store.read("routes").select(*PROCESSED)
 
 
 @register("R3_process_flat_file", with_routes("""

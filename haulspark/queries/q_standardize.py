@@ -372,11 +372,8 @@ def p17(spark, sf):
 
 
 # ---------------------------------------------------------------- P18-P23
-@register("P18_clean_nested_record")
-def p18(spark, sf):
-    """The whole nested route record, landed as text, cleaned field by field
-    (C1-C8 on members); rows-only check here, the same functions are
-    oracle-checked one by one in C1-C11."""
+def raw_nested(spark, sf):
+    """The whole nested route record, landed as text."""
     from .q_entity import nested_routes
     numbers = [c for c in P.NESTED_NUMBERS if c not in ("load_value", "average_speed", "fuel_cost")]
     times = {f"{c}_time": c for c in ("scheduled_start", "actual_start", "scheduled_end", "actual_end")}
@@ -388,8 +385,15 @@ def p18(spark, sf):
             F.col("raw_date"), F.concat(F.lit(" "), "load_type_raw").alias("load_type"),
             F.when(F.col("load_type_raw") == "fragile", F.lit(" handle with care ")).alias("special_requirements"),
             F.concat("status", F.lit(" ")).alias("status"), F.lit("").alias("notes")]
-    n = nested_routes(spark, sf, need, more).withColumn("route_date", F.col("raw_date")).drop("raw_date")
-    return P.clean_nested_record(n).drop("order_key", "line_no")
+    return nested_routes(spark, sf, need, more).withColumn("route_date", F.col("raw_date")).drop("raw_date")
+
+
+@register("P18_clean_nested_record")
+def p18(spark, sf):
+    """The whole nested record cleaned field by field (C1-C8 on members); its cleaned
+    fields are oracle-checked one by one in C1-C11 and together in R2."""
+    return P.clean_nested_record(raw_nested(spark, sf)).drop("order_key", "line_no")
+
 
 
 @register("P19_enum_parse", with_routes("""

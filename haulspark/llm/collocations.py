@@ -46,8 +46,8 @@ from haulspark.session import ensure_checkpoint_dir
 
 UNKNOWN_GROUP = "und"
 BREAKS = b".,;:!?\x0a\x0b\x0c\x0d"
-BLOCK_BYTES = 6 << 20  # of text that a task counts at a time
-FILTER_BITS = 1 << 27  # of the table of frequent n-grams of an order, 16 MB
+BLOCK_BYTES = 4 << 20  # of text that a task counts at a time
+FILTER_BITS = 1 << 26  # of the table of frequent n-grams of an order, 8 MB
 DEALT = 32  # parts of a group ranked apart
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _STEP = np.uint64(0xD6E8FEB86659FD93)

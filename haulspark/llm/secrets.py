@@ -25,12 +25,14 @@ that share); both are broadcast.  No shuffle depends on a key of the data except
 the counts, which are combined before it.
 
 Defined results: null and empty texts have no candidates; repeated rows give
-their own findings; an empty table, or labels of one kind only, gives an empty
-result from :func:`scan`; extra columns are ignored.
+their own findings; an empty table gives an empty result; given labels of one kind
+only are an error, and where the weak labels are of one kind all findings are
+returned without a score; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import bisect
 import math
 import re
 from collections import Counter
@@ -67,8 +69,11 @@ FORMATS = (
 )
 
 _RUN = r"[A-Za-z0-9+/_=.\-]"
-_NAMED = re.compile(rf"(?i)(?<![A-Za-z0-9])({'|'.join(sorted(map(re.escape, ANNOUNCE), key=len, reverse=True))})"
-                    rf"[\"']?\s*[:=]\s*[\"']?((?-i:{_RUN}){{6,}})")
+# A name that announces a secret (after a character that is no letter or digit, or at a
+# camelCase boundary), a sign, and the value: up to the closing quote, or if there is none
+# up to a blank, quote or bracket.
+_NAMED = re.compile(rf"(?:(?<![A-Za-z0-9])|(?<=[a-z0-9])(?=[A-Z]))(?i:{'|'.join(sorted(map(re.escape, ANNOUNCE), key=len, reverse=True))})"
+                    r"[\"']?\s*(?::=|=>|[:=])\s*(?:\"([^\"\n]{6,})\"|'([^'\n]{6,})'|[\"']?([^\s\"'`,;<>(){}\[\]]{6,}))")
 _LONG = re.compile(rf"(?<!{_RUN})[\"']?({_RUN}{{{MIN_LENGTH},}})(?!{_RUN})")
 _PIECES = re.compile(r"[A-Za-z]+|[0-9]+")
 _LETTERS = re.compile(rf"[^\W\d_]{{{DICTIONARY_WORD[0]},{DICTIONARY_WORD[1]}}}(?![^\W\d_])")
@@ -81,11 +86,14 @@ FEATURES = ("length", "entropy", "digit_share", "upper_share", "class_switches",
 
 def candidates(text: str) -> list[tuple[int, str]]:
     """(start, value) of every candidate, each run once."""
-    out = {}
+    out, ends = {}, []
     for m in _NAMED.finditer(text):
-        value = m.group(2).rstrip(".-=")
+        value = m.group(m.lastindex)
+        if m.lastindex == 3:
+            value = value.rstrip(".-=:!?")
         if len(value) >= 6:
-            out[m.start(2)] = value
+            out[m.start(m.lastindex)] = value
+            ends.append((m.start(m.lastindex), m.start(m.lastindex) + len(value)))
     for m in _LONG.finditer(text):
         value = m.group(1)
         start = m.start(1)
@@ -93,8 +101,10 @@ def candidates(text: str) -> list[tuple[int, str]]:
         if 0 < sign < len(value) - MIN_LENGTH:  # name=value without blanks
             start, value = start + sign + 1, value[sign + 1:]
         value = value.rstrip(".-")
-        if len(value) >= MIN_LENGTH:
-            out.setdefault(start, value)
+        i = bisect.bisect_right(ends, (start, math.inf)) - 1
+        apart = (i < 0 or start >= ends[i][1]) and (i + 1 == len(ends) or start + len(value) <= ends[i + 1][0])
+        if len(value) >= MIN_LENGTH and apart:  # an announced value is the finding there
+            out[start] = value
     return sorted(out.items())
 
 
@@ -273,7 +283,9 @@ def scan(docs: DataFrame, labels: DataFrame | None = None, threshold: float = 0.
     plain = found.select("doc_id", "start", F.length("value").alias("n_chars"), "kind",
                          F.sha2("value", 256).alias("value_sha256"), *FEATURES)
     if model is None:
-        return plain.select("doc_id", "start", "n_chars", "kind", "value_sha256", F.lit(0.0).alias("score")).filter("false")
+        if labels is not None and not found.isEmpty():
+            raise ValueError("labels of both kinds are needed")
+        return plain.select("doc_id", "start", "n_chars", "kind", "value_sha256", F.lit(None).cast("double").alias("score"))
     scored = model.transform(VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(plain))
     return scored.withColumn("score", F.round(vector_to_array("probability")[1], 6)).filter(F.col("score") >= threshold).select(
         "doc_id", "start", "n_chars", "kind", "value_sha256", "score")

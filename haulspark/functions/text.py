@@ -24,7 +24,7 @@ def extract_rules(df: DataFrame, text: str, rules: dict[str, str], flags: str =
     where some field matched are kept."""
     cols = {}
     for name, pat in rules.items():
-        v = F.regexp_replace(F.regexp_extract(F.col(text), flags + pat, 1), r"^\s+|\s+$", "")
+        v = F.btrim(F.regexp_extract(F.col(text), flags + pat, 1), F.lit(" \t\n\x0b\x0c\r"))
         v = F.nullif(v, F.lit(""))
         cols[name] = F.nullif(fold_ws(v), F.lit("")) if fold else v
     out = df.withColumns(cols)

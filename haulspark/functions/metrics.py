@@ -40,6 +40,23 @@ def minutes_between(start, end) -> Column:
     return (micros(end) - micros(start)) / 6.0e7
 
 
+def parse_time_text(x) -> Column:
+    """A time given as text: ISO (``T`` or a blank, fractions, ``Z`` or an offset; a time
+    without one counts as UTC), to the minute, or a date; NULL if it is none of these."""
+    x = F.trim(c(x))
+    return F.when(x.rlike(r"^\d{4}-\d{2}-\d{2}([T ].*)?$"), x.try_cast("timestamp"))
+
+
+def trip_duration(start, end) -> dict[str, Column]:
+    """M6 over text times: total hours and minutes, driving 80 %, waiting 20 %; 0 where
+    a time is missing or does not parse."""
+    a, b = parse_time_text(start), parse_time_text(end)
+    us = F.unix_micros(b) - F.unix_micros(a)
+    h, m = us / 3.6e9, us / 6.0e7
+    shares = {"total_hours": h, "total_minutes": m, "driving_hours": h * DRIVING_SHARE, "wait_hours": h * WAITING_SHARE}
+    return {n: F.coalesce(round2(v), F.lit(0.0)) for n, v in shares.items()}
+
+
 def _rad(x) -> Column:
     return c(x) * math.pi / 180.0
 

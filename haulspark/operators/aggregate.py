@@ -437,18 +437,22 @@ def table_counts(named: dict[str, DataFrame]) -> DataFrame:
     return out.unionByName(total)
 
 
+def error_messages(errors: DataFrame, type_col: str = "error_type", msg_col: str = "message") -> DataFrame:
+    """A24, the messages: each message of each type with its count."""
+    return errors.groupBy(type_col, msg_col).agg(F.count(F.lit(1)).alias("message_count"))
+
+
 def error_summary(errors: DataFrame, type_col: str = "error_type",
                   msg_col: str = "message") -> DataFrame:
-    """Count and distinct messages per error type, and the most common
-    type (ties -> alphabetically first).  Messages are counted, not collected,
-    so a type with millions of rows never becomes one in-memory list; the
-    ranking runs on the per-type rows only (one row per rule type)."""
+    """Count, distinct messages and the least message per error type, and the
+    most common type (ties: the first by name).  The messages themselves are rows of
+    :func:`error_messages`: a type with millions of them is never one list."""
     per_type = errors.groupBy(type_col).agg(
         F.count(F.lit(1)).alias("error_count"),
         F.count_distinct(msg_col).alias("distinct_messages"),
         F.min(msg_col).alias("example_message"))
-    w = Window.orderBy(F.col("error_count").desc(), F.col(type_col))
-    return per_type.withColumn("is_most_common", F.row_number().over(w) == 1)
+    top = per_type.agg(F.min_by(type_col, F.struct(-F.col("error_count"), F.col(type_col)))).scalar()
+    return per_type.withColumn("is_most_common", F.col(type_col).eqNullSafe(top))
 
 
 # --- A25 / A26 / A27 / A30 / A33: monthly & weekly templates ---------------------

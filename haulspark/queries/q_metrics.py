@@ -71,6 +71,29 @@ def m6(spark, sf):
     return _fact(spark, sf).select("route_key", "total_hours", "total_minutes", "driving_hours", "wait_hours")
 
 
+_TEXT_HOURS = """(epoch_us(CASE WHEN line_no % 5 = 3 THEN date_trunc('minute', actual_end) WHEN line_no % 5 <> 4 THEN actual_end END)
+  - epoch_us(CASE WHEN line_no % 5 = 3 THEN date_trunc('minute', actual_start) ELSE actual_start END)) / cast(3600000000 AS DOUBLE)"""
+
+
+@register("M6_trip_duration_text", with_routes(f"""
+SELECT route_key, coalesce({r2('h')}, 0) AS total_hours, coalesce({r2('m')}, 0) AS total_minutes,
+       coalesce({r2('h * 0.8')}, 0) AS driving_hours, coalesce({r2('h * 0.2')}, 0) AS wait_hours
+FROM (SELECT route_key, {_TEXT_HOURS} AS h, {_TEXT_HOURS.replace('3600000000', '60000000')} AS m FROM routes)"""))
+def m6_text(spark, sf):
+    """Times landed as text in four spellings (with Z, with an offset, plain, to the
+    minute), and some that are no time."""
+    r = routes(spark, sf, ("route_key", "line_no", "actual_start", "actual_end"))
+
+    def text(t):
+        utc, k = F.date_format(t, "yyyy-MM-dd HH:mm:ss"), F.col("line_no") % 5
+        later = F.date_format(F.col(t) + F.expr("INTERVAL 2 HOURS"), "yyyy-MM-dd'T'HH:mm:ss")
+        return (F.when(k == 0, F.concat(F.translate(utc, " ", "T"), F.lit("Z"))).when(k == 1, F.concat(later, F.lit("+02:00")))
+                .when(k == 2, utc).when(k == 3, F.date_format(t, "yyyy-MM-dd HH:mm")).otherwise(utc if t == "actual_start" else F.lit("soon")))
+
+    return r.select("route_key", text("actual_start").alias("s"), text("actual_end").alias("e")).select(
+        "route_key", *[v.alias(n) for n, v in M.trip_duration("s", "e").items()])
+
+
 @register("M7_average_speed", with_routes("SELECT route_key, average_speed FROM route_metrics"))
 def m7(spark, sf):
     return _fact(spark, sf).select("route_key", "average_speed")

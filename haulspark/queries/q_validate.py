@@ -170,6 +170,14 @@ def a24(spark, sf):
     return A.error_summary(rep, "rule_type", "message").withColumnRenamed("rule_type", "error_type")
 
 
+@register("A24_error_messages", _with_fl(R, f"""
+, rep AS ({_report_sql(R)})
+SELECT rule_type AS error_type, message, count(*) AS message_count FROM rep GROUP BY 1, 2""".replace("\n, rep AS", ", rep AS", 1)))
+def a24_messages(spark, sf):
+    rep = V.findings_report(_found(spark, sf), "record_key")
+    return A.error_messages(rep, "rule_type", "message").withColumnRenamed("rule_type", "error_type")
+
+
 # ---------------------------------------------------------------- single-rule queries V1-V11
 SINGLE = {
     "V1_required": {"field": "route_id", "type": "required", "params": {}, "severity": V.ERROR,

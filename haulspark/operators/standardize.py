@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import clean as C
+from ..functions.text import extract_rules
 from ..functions.numeric import nz
 
 # ---------------------------------------------------------------- fixed values
@@ -407,3 +408,16 @@ def report_table(df: DataFrame, spec: list[tuple[str, str]]) -> DataFrame:
         v = F.col(f).cast("string") if f in df.columns else F.lit(None).cast("string")
         out.append(F.coalesce(v, F.lit("")).alias(display))
     return df.select(*out)
+
+
+def collect_by_config(df: DataFrame, cfg: dict, text_col: str = "body") -> DataFrame:
+    """A collector's records by its configuration: ``column_mapping`` and
+    ``required_columns`` (files); ``parsing_patterns`` (messages: for each group of
+    patterns the fields found in ``text_col``, messages without any are left out)."""
+    for group in cfg.get("parsing_patterns", {}).values():
+        if group.get("type") != "key_value":
+            raise ValueError(f"unknown pattern type {group.get('type')!r}")
+        df = extract_rules(df, text_col, group["patterns"], fold=True)
+    if "column_mapping" in cfg:
+        df = apply_mapping(df, cfg["column_mapping"])
+    return require_columns(df, cfg.get("required_columns", []))

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from ..functions.clean import parse_date, to_float, to_int
 from .rows import keep_rows
 
-ERROR, WARNING = "error", "warning"
+ERROR, WARNING, INFO = "error", "warning", "info"
 
 # The built-in route rule set (13 rules, in order).
 ROUTE_RULES = [
@@ -89,8 +89,16 @@ def python_validator(pred: Callable[[object, dict], bool]) -> Callable[[Column,
 
 
 def rules_from_config(cfg: dict) -> list[dict]:
-    """``{field: [{type, params?, severity?, message?}, ...]}`` -> rules;
-    severity defaults to warning."""
+    """Rules from ``{field: [{type, params?, severity?, message?}, ...]}``, or from
+    ``{name?, rules: [{field_name, rule_type, parameters?, severity?, message}, ...]}``;
+    severity defaults to warning.  An unknown severity or a missing part is an error."""
+    if isinstance(cfg.get("rules"), list):
+        out = [{"field": r["field_name"], "type": r["rule_type"], "params": r.get("parameters", {}),
+                "severity": r.get("severity", WARNING), "message": r["message"]} for r in cfg["rules"]]
+        unknown = {r["severity"] for r in out} - {ERROR, WARNING, INFO}
+        if unknown:
+            raise ValueError(f"unknown severity {sorted(unknown)}")
+        return out
     out = []
     for field, specs in cfg.items():
         for s in specs:

@@ -491,3 +491,26 @@ def e3(spark, sf):
     """A collector configured by a dict (mapping + required columns)."""
     df = P.apply_mapping(file_feed(spark, sf), E3_CONFIG["mapping"])
     return P.require_columns(df, E3_CONFIG["required"])
+
+
+# A message collector's patterns.
+E3_PATTERNS = {"route_id": r"Route\s*ID:\s*([A-Z0-9]+)", "pickup_date": r"Pickup\s*Date:\s*([0-9\/\-]+)",
+               "driver_name": r"Driver:\s*([A-Za-z\s]+)", "total_miles": r"Miles:\s*([0-9,\.]+)"}
+E3_MESSAGES = {"type": "email", "parsing_patterns": {"route_info": {"type": "key_value", "patterns": E3_PATTERNS}},
+               "required_columns": ["route_id"]}
+_E3_BODY = """CASE line_no % 4 WHEN 0 THEN 'nothing to see' WHEN 1 THEN 'Miles: ' || cast(line_no AS VARCHAR) || ',5'
+  ELSE 'Route ID: A' || cast(order_key AS VARCHAR) || chr(10) || 'pickup date: ' || strftime(route_date, '%m/%d/%Y') || chr(10)
+       || 'Driver:  Ann  of' || chr(10) || ' Ames ' || cast(line_no AS VARCHAR) END"""
+
+
+@register("E3_extraction_rules", with_routes(f"""
+SELECT route_key, {', '.join(f"nullif(trim(regexp_replace(regexp_extract(body, '(?im){p}', 1), '\\s+', ' ', 'g')), '') AS {n}" for n, p in E3_PATTERNS.items())}
+FROM (SELECT route_key, line_no, {_E3_BODY} AS body FROM routes) WHERE line_no % 4 <> 0"""))
+def e3_messages(spark, sf):
+    """Fields pulled out of message bodies by the patterns of a collector's configuration."""
+    r = routes(spark, sf, ("route_key", "order_key", "line_no", "route_date"))
+    k, line = F.col("line_no") % 4, F.col("line_no").cast("string")
+    body = (F.when(k == 0, F.lit("nothing to see")).when(k == 1, F.concat(F.lit("Miles: "), line, F.lit(",5"))).otherwise(F.concat(
+        F.lit("Route ID: A"), F.col("order_key").cast("string"), F.lit("\npickup date: "), F.date_format("route_date", "MM/dd/yyyy"),
+        F.lit("\nDriver:  Ann  of\n Ames "), line)))
+    return P.collect_by_config(r.select("route_key", body.alias("body")), E3_MESSAGES).drop("body")

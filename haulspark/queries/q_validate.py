@@ -247,6 +247,18 @@ def v15(spark, sf):
     return V.findings_report(_found(spark, sf, V15_RULES), "record_key")
 
 
+V15_FILE = {"name": "route_data_validator", "rules": [
+    {"field_name": "route_id", "rule_type": "required", "severity": "error", "message": "Route ID is required"},
+    {"field_name": "total_miles", "rule_type": "range", "parameters": {"min": 0, "max": 500}, "message": "Miles out of range"}]}
+V15_FILE_RULES = V.rules_from_config(V15_FILE)
+
+
+@register("V15_rules_of_a_validator_file", _with_fl(V15_FILE_RULES, _report_sql(V15_FILE_RULES)))
+def v15_file(spark, sf):
+    """The same from the shape of a validator's configuration file."""
+    return V.findings_report(_found(spark, sf, V15_FILE_RULES), "record_key")
+
+
 # ---------------------------------------------------------------- E1 / E2 extension surface
 V.register_validator("multiple_of", lambda v, p: (
     F.coalesce(F.pmod(v.try_cast("double"), F.lit(float(p["step"]))) == 0, F.lit(False)), v.cast("string")))

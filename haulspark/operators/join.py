@@ -9,6 +9,8 @@ ever sees new addresses, never the fact.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -115,3 +117,44 @@ def recipients(alerts: DataFrame, rules: DataFrame, members: DataFrame) -> DataF
     r = rules.filter("enabled").select("alert_type", F.explode("groups").alias("group_name"))
     return (a.join(r, "alert_type").join(members, "group_name")
             .select("alert_id", "email").distinct())
+
+
+SEVERITIES = ("INFO", "WARNING", "ERROR", "CRITICAL")  # least first
+_CONDITION = re.compile(r"\s*(\w+)\s*(>=|<=|!=|==|=|>|<)\s*(.+?)\s*$")
+
+
+def condition(text: str) -> Column:
+    """``field operator value`` of a notification rule as a column: severities compare
+    by rank, numbers as numbers, the rest as text; a missing field does not fit."""
+    m = _CONDITION.match(text)
+    if not m:
+        raise ValueError(f"condition not understood: {text!r}")
+    name, op, value = m.groups()
+    left, right = F.col(name).cast("string"), F.lit(value)
+    if value.upper() in SEVERITIES:
+        rank = F.array_position(F.array(*[F.lit(s) for s in SEVERITIES]), F.upper(left))
+        left, right = F.when(rank > 0, rank), F.lit(SEVERITIES.index(value.upper()) + 1)
+    elif re.fullmatch(r"[+-]?\d+(\.\d+)?", value):
+        left, right = F.col(name).try_cast("double"), F.lit(float(value))
+    fits = {">=": left >= right, "<=": left <= right, "!=": left != right, "==": left == right, "=": left == right,
+            ">": left > right, "<": left < right}[op]
+    return F.coalesce(fits, F.lit(False))
+
+
+def route_alerts(alerts: DataFrame, rules: dict[str, dict], members: DataFrame) -> DataFrame:
+    """J11 with the rules of a notification configuration: an alert of an enabled
+    rule's type that meets all of its conditions goes to the members of its groups,
+    each address once.  The rules are compiled into one projection."""
+    groups = None
+    for name, rule in rules.items():
+        if not rule.get("enabled", False):
+            continue
+        fits = F.col("alert_type") == name
+        for text in rule.get("conditions", []):
+            fits = fits & condition(text)
+        to = F.array(*[F.lit(g) for g in rule["recipients"]])
+        groups = F.when(fits, to) if groups is None else groups.when(fits, to)
+    if groups is None:
+        groups = F.lit(None).cast("array<string>")
+    asked = alerts.select("alert_id", F.explode(groups).alias("group_name"))
+    return asked.join(members, "group_name").select("alert_id", "email").distinct()

@@ -242,7 +242,67 @@ def j11(spark, sf):
                          F.when(F.col("share") > ERROR_SHARE_LIMIT, "Warning").otherwise("Healthy").alias("status"))
     rules = spark.createDataFrame(ALERT_RULES, "alert_type string, groups array<string>, enabled boolean")
     members = spark.createDataFrame(GROUP_MEMBERS, "group_name string, email string")
-    return J.recipients(alerts, F.broadcast(rules), F.broadcast(members))
+    return J.recipients(alerts, rules, members)
+
+
+# A notification configuration.
+NOTIFICATION_RULES = {
+    "report_generated": {"enabled": True, "recipients": ["reports", "admins"], "conditions": []},
+    "error_occurred": {"enabled": True, "recipients": ["admins"], "conditions": ["severity >= WARNING"]},
+    "system_health_check": {"enabled": True, "recipients": ["admins"], "conditions": ["health_status != Healthy"]},
+    "data_collection_failed": {"enabled": False, "recipients": ["admins", "operators"], "conditions": []},
+}
+_ALERTS = """SELECT event_id AS alert_id, CASE event_type WHEN 'error' THEN 'error_occurred' WHEN 'click' THEN 'system_health_check'
+    WHEN 'view' THEN 'data_collection_failed' WHEN 'signup' THEN 'report_generated' ELSE 'unknown' END AS alert_type,
+  CASE event_id % 5 WHEN 0 THEN 'INFO' WHEN 1 THEN 'warning' WHEN 2 THEN 'ERROR' WHEN 3 THEN 'CRITICAL' END AS severity,
+  CASE event_id % 3 WHEN 0 THEN 'Healthy' WHEN 1 THEN 'Critical' END AS health_status FROM {events}"""
+
+
+@register("J11_rule_conditions", f"""
+WITH a AS ({_ALERTS.format(events='events')}),
+m(grp, email) AS (SELECT CASE c_custkey % 3 WHEN 0 THEN 'admins' WHEN 1 THEN 'operators' ELSE 'reports' END, 'user' || (c_custkey % 7) || '@example.com' FROM customer)
+SELECT DISTINCT alert_id, email FROM a JOIN m ON
+  (alert_type = 'report_generated' AND grp IN ('reports', 'admins'))
+  OR (alert_type = 'error_occurred' AND upper(severity) IN ('WARNING', 'ERROR', 'CRITICAL') AND grp = 'admins')
+  OR (alert_type = 'system_health_check' AND health_status <> 'Healthy' AND grp = 'admins')""")
+def j11_conditions(spark, sf):
+    """Alerts of the event stream by rules with conditions; the customers' contacts are the groups' members."""
+    alerts = spark.sql(_ALERTS.format(events="{events}"), events=table(spark, sf, "events"))
+    k = F.col("c_custkey")
+    members = table(spark, sf, "customer").select(
+        F.when(k % 3 == 0, "admins").when(k % 3 == 1, "operators").otherwise("reports").alias("group_name"),
+        F.concat(F.lit("user"), (k % 7).cast("string"), F.lit("@example.com")).alias("email")).distinct()
+    return J.route_alerts(alerts, NOTIFICATION_RULES, members)
+
+
+_LOOKUPS = (("customers", "customer", "c_custkey", "c_name"), ("drivers", "supplier", "s_suppkey", "s_name"), ("vehicles", "part", "p_partkey", "p_name"),
+            ("routes", "orders", "o_orderkey", "o_orderstatus"), ("locations", "nation", "n_nationkey", "n_name"))
+
+
+@register("J4_point_lookups", " UNION ALL ".join(
+    f"SELECT '{n}' AS table_name, cast({k} AS BIGINT) AS id, {v} AS name FROM {t} WHERE {k} IN (SELECT user_id FROM events WHERE event_type = 'error')"
+    for n, t, k, v in _LOOKUPS))
+def j4_tables(spark, sf):
+    """Rows of five tables by a list of ids (the users with errors)."""
+    ids = table(spark, sf, "events").filter("event_type = 'error'").select("user_id").distinct()
+    out = None
+    for n, t, k, v in _LOOKUPS:
+        rows = J.semi_lookup(table(spark, sf, t), ids, k, "user_id").select(F.lit(n).alias("table_name"), F.col(k).cast("long").alias("id"), F.col(v).alias("name"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@register("J12_active_vehicles", "SELECT p_partkey AS vehicle_id, p_brand AS make, p_type AS model FROM part WHERE p_size > 10")
+def j12_vehicles(spark, sf):
+    """Active vehicles (in use: size above 10), by make and model."""
+    return table(spark, sf, "part").filter("p_size > 10").select(
+        F.col("p_partkey").alias("vehicle_id"), F.col("p_brand").alias("make"), F.col("p_type").alias("model")).orderBy("make", "model", "vehicle_id")
+
+
+@register("J12_all_customers", "SELECT c_custkey AS customer_id, c_name AS name FROM customer")
+def j12_customers(spark, sf):
+    """All customers, by name."""
+    return table(spark, sf, "customer").select(F.col("c_custkey").alias("customer_id"), F.col("c_name").alias("name")).orderBy("name")
 
 
 @register("J12_active_drivers", "SELECT s_suppkey AS driver_id, s_name AS name FROM supplier WHERE s_acctbal > 0")

@@ -31,3 +31,31 @@ def test_no_match_at_all(spark):
     points = spark.createDataFrame([(1, "1 Elm", "Ames", "IA", "50010")], POINT)
     gaz = spark.createDataFrame([], "level int, key string, latitude double, longitude double")
     assert [r["latitude"] for r in J.geocode_kept(points, gaz, store).collect()] == [None]
+
+
+def test_notification_conditions(spark):
+    import pytest
+    alerts = spark.createDataFrame([(1, "e", "info", "3"), (2, "e", "ERROR", "5"), (3, "e", None, "9"), (4, "e", "odd", None), (5, "f", "CRITICAL", "1")],
+                                   "alert_id int, alert_type string, severity string, n string")
+    members = spark.createDataFrame([("g", "x@y"), ("h", "x@y"), ("h", "z@y")], "group_name string, email string")
+
+    def routed(*conditions, enabled=True):
+        rules = {"e": {"enabled": enabled, "recipients": ["g", "h"], "conditions": list(conditions)}}
+        return sorted((r.alert_id, r.email) for r in J.route_alerts(alerts, rules, members).collect())
+
+    assert routed("severity >= WARNING") == [(2, "x@y"), (2, "z@y")]
+    assert {i for i, _ in routed("n > 4")} == {2, 3} and {i for i, _ in routed("n > 4", "severity = error")} == {2}
+    assert {i for i, _ in routed()} == {1, 2, 3, 4} and routed(enabled=False) == [] and {i for i, _ in routed("severity != odd")} == {1, 2}
+    with pytest.raises(ValueError, match="not understood"):
+        J.condition("severity about WARNING")
+
+
+def test_rules_of_a_validator_file():
+    import pytest
+    from haulspark.operators import validate as V
+    rule = {"field_name": "a", "rule_type": "required", "message": "m"}
+    assert V.rules_from_config({"name": "n", "rules": [rule]}) == [{"field": "a", "type": "required", "params": {}, "severity": "warning", "message": "m"}]
+    with pytest.raises(ValueError, match="severity"):
+        V.rules_from_config({"rules": [{**rule, "severity": "fatal"}]})
+    with pytest.raises(KeyError):
+        V.rules_from_config({"rules": [{"field_name": "a", "rule_type": "required"}]})

@@ -5,6 +5,7 @@ import random
 import time
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -108,3 +109,31 @@ def test_routes_across_batches_and_starts(spark):
     for r in range(40):
         pts = [(la, lo) for route, _, la, lo in stops if route == r]
         assert [got[r][i] for i in range(len(pts))] == brute_walk(pts, None if r % 2 else (35.0, -93.0))[0]
+
+
+def test_short_routes_are_walked_together(monkeypatch):
+    """No walk of its own for a short route; the same orders and miles as one by one."""
+    rnd = random.Random(5)
+    rows = [(r, s, float(rnd.randrange(25, 35)), float(rnd.randrange(-100, -90)), *((30.0, -95.0) if r % 3 == 0 else (math.nan, math.nan)))
+            for r in range(200) for s in range(r % 9 + 1)]
+    b = pd.DataFrame(rows, columns=["route", "seq", "lat", "lon", "start_lat", "start_lon"])
+    monkeypatch.setattr(G, "_walk", None)
+    monkeypatch.setattr(G, "SHORT_CELLS", 50)
+    got = G._nn_frame(b)
+    for r, own in got.groupby("route"):
+        pts = [(x[2], x[3]) for x in rows if x[0] == r]
+        order, original, miles = brute_walk(pts, (30.0, -95.0) if r % 3 == 0 else None)
+        assert own["seq"].tolist() == order and own["visit"].tolist() == list(range(len(pts)))
+        assert own["original_miles"].iloc[0] == pytest.approx(original) and own["optimized_miles"].iloc[0] == pytest.approx(miles)
+
+
+def test_pairs_of_one_cell_are_spread(spark, monkeypatch):
+    """Many points around one place: every pair once, found by several tasks."""
+    monkeypatch.setattr(G, "BLOCK_PAIRS", 100)
+    points = spark.range(400).select(F.col("id").alias("point_id"), (30 + F.col("id") % 20 / 20.0).alias("lat"), F.lit(-90.0).alias("lon"))
+    points = points.unionByName(spark.createDataFrame([(None, 30.0, -90.0)], "point_id long, lat double, lon double"))
+    centres = spark.range(10).select(F.col("id").alias("centre_id"), F.lit(30.0).alias("lat"), F.lit(-90.0).alias("lon"))
+    out = G.within_radius(points, centres, 20.0).select("centre_id", "point_id", F.spark_partition_id().alias("task")).collect()
+    want = [(c, p) for c in range(10) for p in [*range(400), None] if (0 if p is None else p % 20) / 20 * math.pi / 180 * 3956 <= 20.0]
+    assert sorted((r[0], str(r[1])) for r in out) == sorted((c, str(p)) for c, p in want)
+    assert len({r["task"] for r in out}) > 4

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from ..operators import join as J
@@ -32,11 +33,23 @@ PAGE_RECORDS = 50
 API_SCHEMA = "trip_id string, dispatch_date string, driver_id string, shipper string, total_distance string, total_pay string, load_status string"
 
 
+def _paged(batches):
+    """Records -> pages of :data:`PAGE_RECORDS` records in the order they come."""
+    held = []
+    for b in batches:
+        held += b.column(0).to_pylist()
+        whole = len(held) // PAGE_RECORDS * PAGE_RECORDS
+        if whole:
+            yield pa.RecordBatch.from_pydict({"records": [",".join(held[i:i + PAGE_RECORDS]) for i in range(0, whole, PAGE_RECORDS)]})
+            held = held[whole:]
+    if held:
+        yield pa.RecordBatch.from_pydict({"records": [",".join(held)]})
+
+
 def _land_pages(feed, path):
-    """What the API handed out: pages of records, one payload a line."""
-    numbered = feed.select(F.to_json(F.struct(*feed.columns)).alias("record"),
-                           F.floor(F.monotonically_increasing_id() / PAGE_RECORDS).alias("page"))
-    page = numbered.groupBy("page").agg(F.array_join(F.collect_list("record"), ",").alias("records"))
+    """What the API handed out: pages of records, one payload a line (a page's
+    records follow each other in a partition, so none is shuffled)."""
+    page = feed.select(F.to_json(F.struct(*feed.columns)).alias("record")).mapInArrow(_paged, "records string")
     page.select(F.concat(F.lit('{"status": "ok", "result": {"data": ['), "records", F.lit("]}}")).alias("value")).write.text(path)
 
 

@@ -125,6 +125,8 @@ def test_short_routes_are_walked_together(monkeypatch):
         order, original, miles = brute_walk(pts, (30.0, -95.0) if r % 3 == 0 else None)
         assert own["seq"].tolist() == order and own["visit"].tolist() == list(range(len(pts)))
         assert own["original_miles"].iloc[0] == pytest.approx(original) and own["optimized_miles"].iloc[0] == pytest.approx(miles)
+    lat, lon = np.array([[x[2] for x in rows[-5:]]]), np.array([[x[3] for x in rows[-5:]]])
+    assert G._short_walks(lat, lon, np.full((1, 2), np.nan))[1][0] == brute_walk(list(zip(lat[0], lon[0])))[1]  # to the last bit
 
 
 def test_pairs_of_one_cell_are_spread(spark, monkeypatch):

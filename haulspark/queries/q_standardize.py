@@ -229,7 +229,8 @@ def p10(spark, sf):
            .when(n == 7, F.to_json(F.struct(key, F.struct(F.col("driver_id").alias("amount")).alias("revenue"),
                                             F.array(F.col("driver_id")).alias("load_weight"))))
            .otherwise(F.to_json(F.struct(key, F.lit("12.5").alias("total_miles")))))
-    return r.select("route_key", F.array_join(P.manual_type_errors(F.parse_json(doc), n), "; ").alias("errors"))
+    parsed = r.select("route_key", "line_no", F.parse_json(doc).alias("doc"))
+    return parsed.select("route_key", F.array_join(P.manual_type_errors(F.col("doc"), n), "; ").alias("errors"))
 
 
 # What the landed records of P11 lack, by line number (field -> condition).

@@ -27,10 +27,12 @@ def _envelope(df: DataFrame, section: str, name: str, generated_at: str, metadat
 
 
 def export_bundle(sections: dict[str, DataFrame], root: str, formats: list[str], name: str = "report",
-                  generated_at: str = "", metadata: dict[str, str] | None = None) -> DataFrame:
+                  generated_at: str = "", metadata: dict[str, str] | None = None, compression: str = "gzip") -> DataFrame:
     """Write every section in every format (csv with header, json lines in
     an envelope, parquet) into a staging folder of its own; a failing format does not
-    stop the others.  Rows are counted while they are written.  The manifest --
+    stop the others.  The text formats are compressed (``compression``; 'none': plain
+    files), as every json line repeats the envelope and the names of its fields.  Rows
+    are counted while they are written.  The manifest --
     (section, format, path, rows, status), non-empty sections and failures -- is
     written last under ``root/manifest`` and is what makes the files count: an export
     that stops before leaves none."""
@@ -46,9 +48,9 @@ def export_bundle(sections: dict[str, DataFrame], root: str, formats: list[str],
                 seen = Observation()
                 counted = df.observe(seen, F.count(F.lit(1)).alias("n"))
                 if fmt == "csv":
-                    counted.write.option("header", True).csv(out)
+                    counted.write.option("header", True).option("compression", compression).csv(out)
                 elif fmt == "json":
-                    _envelope(counted, section, name, generated_at, metadata or {}).write.json(out)
+                    _envelope(counted, section, name, generated_at, metadata or {}).write.option("compression", compression).json(out)
                 else:
                     counted.write.parquet(out)
                 rows.append((section, fmt, out, int(seen.get["n"]), "ok"))

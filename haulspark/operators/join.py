@@ -76,6 +76,18 @@ def full_address(parts: tuple[str, ...] = ADDRESS) -> Column:
     return F.when(F.coalesce(street, F.lit("")) != "", shown)
 
 
+def located(points: DataFrame, known: DataFrame, address: Column) -> DataFrame:
+    """``points`` with the other columns of ``known`` (one row for each
+    ``full_address``).  Rows without an address have no match; they join on a number
+    of their own as well, so that they do not all go to one task."""
+    own = [F.col(f"`{c}`") for c in points.columns]
+    asked = points.withColumn("_asked", address)
+    asked = asked.withColumn("_spread", F.when(F.col("_asked").isNull(), F.xxhash64(*own)).otherwise(F.xxhash64("_asked")))
+    found = known.withColumnRenamed("full_address", "_known").withColumn("_known_spread", F.xxhash64("_known"))
+    same = (F.col("_asked") == F.col("_known")) & (F.col("_spread") == F.col("_known_spread"))
+    return asked.join(found, same, "left").drop("_asked", "_spread", "_known", "_known_spread")
+
+
 def match_addresses(addresses: DataFrame, gazetteer: DataFrame) -> DataFrame:
     """Distinct addresses (``full_address`` and its parts) -> full_address, level,
     latitude, longitude of the surest gazetteer row (``level, key, latitude,
@@ -107,7 +119,7 @@ def geocode_kept(points: DataFrame, gazetteer: DataFrame, store, table: str = "g
         return asked.select(*points.columns, *[F.lit(None).cast(t).alias(c) for c, t in (
             ("level", "int"), ("latitude", "double"), ("longitude", "double"))])
     known = store.read(table).select("full_address", "level", "latitude", "longitude")
-    return asked.join(known, "full_address", "left").select(*points.columns, "level", "latitude", "longitude")
+    return located(points, known, full_address())
 
 
 def recipients(alerts: DataFrame, rules: DataFrame, members: DataFrame) -> DataFrame:

@@ -70,23 +70,40 @@ def collection_summary(found: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- R2 / R3
 LINKS = (("customers", "customer.", "customer_id"), ("drivers", "driver.", "driver_id"), ("vehicles", "vehicle.", "vehicle_id"),
          ("locations", "start_location.", "start_location_id"), ("locations", "end_location.", "end_location_id"))
+ENDS = ("start_location", "end_location")
+ROW = "_row"  # number of a kept record
 
 
 def _located(kept: DataFrame, gazetteer: DataFrame, store: ST.Store) -> DataFrame:
-    """Both locations with the coordinates of their addresses."""
-    ends = [kept.select(*[F.col(f"{s}.{c}").alias(c) for c in J.ADDRESS]) for s in ("start_location", "end_location")]
-    J.geocode_kept(ends[0].unionByName(ends[1]).distinct(), gazetteer, store)
-    found = store.version("geocodes")[2]
-    out = kept
-    for s in ("start_location", "end_location"):
-        at = [F.lit(None).cast("double").alias(c) for c in ("latitude", "longitude")]
-        if found:
-            known = store.read("geocodes").select(F.col("full_address").alias("_known"), "latitude", "longitude")
-            parts = tuple(f"{s}.{c}" for c in J.ADDRESS)
-            out = out.withColumn("_asked", J.full_address(parts)).join(known, F.col("_asked") == F.col("_known"), "left")
-            at = [F.col(c) for c in ("latitude", "longitude")]
-        out = out.withColumn(s, F.struct(f"{s}.*", *at)).drop("_asked", "_known", "latitude", "longitude")
-    return out
+    """Both locations with the coordinates of their addresses (J7).  Only the row's
+    number and its address are joined with the known addresses, and the answers of
+    both ends come back to the records at once."""
+    ends = [kept.select(ROW, F.lit(s).alias("_end"), *[F.col(f"{s}.{c}").alias(c) for c in J.ADDRESS]) for s in ENDS]
+    both = ends[0].unionByName(ends[1])
+    J.geocode_kept(both.select(*J.ADDRESS).distinct(), gazetteer, store)
+    none = F.lit(None).cast("struct<latitude double, longitude double>")
+    out = kept.withColumns({f"_at_{s}": none for s in ENDS})
+    if store.version("geocodes")[2]:
+        known = store.read("geocodes").select("full_address", F.struct("latitude", "longitude").alias("_at"))
+        asked = both.select(ROW, "_end", J.full_address().alias("full_address")).filter("full_address IS NOT NULL")
+        found = asked.join(known, "full_address").groupBy(F.col(ROW).alias("_of")).agg(
+            *[F.max(F.when(F.col("_end") == s, F.col("_at"))).alias(f"_at_{s}") for s in ENDS])
+        out = kept.join(found, F.col(ROW) == F.col("_of"), "left").drop("_of")
+    return out.withColumns({s: F.struct(f"{s}.*", *[F.col(f"_at_{s}.{c}").alias(c) for c in ("latitude", "longitude")]) for s in ENDS}).drop(
+        *[f"_at_{s}" for s in ENDS])
+
+
+def _linked(routes: DataFrame, store: ST.Store) -> DataFrame:
+    """The routes with the ids of their entities (J3): the natural keys alone are
+    joined with the store's tables, a row for each link, and a record's ids come back
+    to it at once."""
+    ask = F.array(*[F.struct(F.lit(t).alias("_table"), F.lit(i).alias("_link"), ST.natural_key(ST.KEYS[t], of).alias("_key"))
+                    for t, of, i in LINKS])
+    known = U.union_sources([store.read(t).select(F.lit(t).alias("_table"), F.col("natural_key").alias("_key"), F.col("id").alias("_id"))
+                             for t in dict.fromkeys(t for t, _, _ in LINKS)])
+    ids = routes.select(ROW, F.inline(ask)).join(known, ["_table", "_key"]).groupBy(F.col(ROW).alias("_of")).agg(
+        *[F.max(F.when(F.col("_link") == i, F.col("_id"))).alias(i) for _, _, i in LINKS])
+    return routes.join(ids, F.col(ROW) == F.col("_of"), "left").drop("_of")
 
 
 def process_routes(spark: SparkSession, nested: DataFrame, gazetteer: DataFrame, store: ST.Store, order: list[str]) -> dict[str, DataFrame]:
@@ -96,7 +113,7 @@ def process_routes(spark: SparkSession, nested: DataFrame, gazetteer: DataFrame,
     (S11).  The source is read once: what is kept is written to the shared folder
     before it fans out.  ``routes`` are linked to the stored entities' ids."""
     cleaned = P.clean_nested_record(nested).filter(F.col("route_date").isNotNull())
-    kept = written(U.first_per_key(cleaned, U.route_key(), order), "process-kept")
+    kept = written(U.first_per_key(cleaned, U.route_key(), order).withColumn(ROW, F.monotonically_increasing_id()), "process-kept")
     located = written(_located(kept, gazetteer, store), "process-located")
     flat = located.withColumns({
         **{f"{e}_{c[:3]}": F.col(f"{e}_location.{c}") for e in ("start", "end") for c in ("latitude", "longitude")},
@@ -111,10 +128,7 @@ def process_routes(spark: SparkSession, nested: DataFrame, gazetteer: DataFrame,
         "drivers": U.unique_drivers(located.select(*order, "driver.*"), order).drop(*order),
         "vehicles": U.unique_vehicles(located.select(*order, "vehicle.*"), order).drop(*order)}
     added = ST.store_all(store, entities)
-    linked = routes
-    for table, of, id_col in LINKS:
-        linked = store.ids(table, linked, id_col=id_col, of=of)
-    added["routes"] = ST.store_all(store, {"routes": linked})["routes"]
+    added["routes"] = ST.store_all(store, {"routes": _linked(routes, store).drop(ROW)})["routes"]
     return {**added, "checks": checks}
 
 

@@ -1,10 +1,17 @@
 """What is shuffled and written: exports, appends to the store, links of routes, lookups."""
 
+import datetime
+
 from pyspark.sql import functions as F
 
+from sf import SF_SMALL
+
 from haulspark.operators import join as J
 from haulspark.operators import window as W
+from haulspark.plans import bundle as B
 from haulspark.plans import jobs as JB
+from haulspark.plans.report_fact import report_fact
+from haulspark.plans.routes_view import routes
 from haulspark.session import scratch_path
 from haulspark.sources import sinks as K
 from haulspark.sources import store as ST
@@ -61,3 +68,49 @@ def test_links_are_those_of_the_store_and_the_routes_join_once(spark):
     got = JB._linked(routes, store)
     assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
     assert got._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 2
+
+
+def _exchanges(df):
+    """(partitioning, output columns) of every exchange of a plan."""
+    plan, found = df._jdf.queryExecution().executedPlan(), []
+    todo = [plan.initialPlan() if plan.getClass().getSimpleName() == "AdaptiveSparkPlanExec" else plan]
+    while todo:
+        p = todo.pop()
+        if p.getClass().getSimpleName() == "ShuffleExchangeExec":
+            found.append((p.outputPartitioning().toString(), [p.output().apply(i).name() for i in range(p.output().size())]))
+        todo += [p.children().apply(i) for i in range(p.children().size())]
+    return found
+
+
+def test_a_bundle_shuffles_narrow_rows(spark, monkeypatch):
+    """A customer's row holds the amounts that the customers' sections read, not those of all sections."""
+    seen = []
+    monkeypatch.setattr(B, "written", lambda df, name: seen.append(_exchanges(df)) or W.written(df, name))
+    B.bundle_sums(report_fact(spark, SF_SMALL, need=B.NEED), B.MONTHLY)
+    assert len(seen[0]) > 0 and max(len(columns) for _, columns in seen[0]) <= 30
+
+
+def test_a_bundle_keeps_nulls_and_means_of_every_group(spark):
+    ddl = ", ".join(f"{c} {'date' if c == 'route_date' else 'string' if c in ('driver_name', 'vehicle_info', 'customer_name', 'route_key') else 'bigint' if c == 'vehicle_id' else 'double'}" for c in B.NEED if c not in ("driver_id", "customer_id"))
+    row = {f.split()[0]: None for f in ddl.split(", ")}
+    day = datetime.date(1997, 5, 2)
+    rows = [row | {"customer_name": "c", "route_date": day, "total_miles": 10.0, "efficiency_score": 0.0, "vehicle_id": 7, "average_speed": 40.0},
+            row | {"customer_name": "c", "route_date": day, "total_miles": 5.0, "efficiency_score": 90.0, "driver_safety": 61.0}, row]
+    got = {(r.of, r.cust or r.vehicle or r.name or r.route_date or r.month or r.vehicle_id): r
+           for r in B.bundle_sums(spark.createDataFrame([tuple(r.values()) for r in rows], ddl), B.MONTHLY).collect() if r.of != "month+name"}
+    assert (got["cust", "c"].n, got["cust", "c"].m, got["cust", "Unknown"].n) == (2, 15.0, 1)
+    assert (got["name", "Unknown"].e, got["name", "Unknown"].v, got["name", "Unknown"].m) == (90.0, 40.0, 15.0)
+    month = got["month", datetime.date(1997, 5, 1)]
+    assert (month.mean_efficiency_score, month.on_time, month.n, got["month", None].mean_efficiency_score) == (45.0, 1.0, 2, None)
+    assert (got["vehicle_id", 7].cap, got["vehicle_id", None].n, got["", None].n, got["route_date", None].n) == (40000.0, 2, 3, 1)
+
+
+def test_driver_names_are_not_shuffled_with_the_lines_of_other_joins(spark):
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        moved = dict(_exchanges(routes(spark, SF_SMALL, ("route_key", "customer_name", "driver_name", "vehicle_info"))))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    lines = {k: c for k, c in moved.items() if "l_partkey" in k or "l_orderkey" in k}
+    assert len(lines) == 2 and not any("s_name" in c for c in lines.values())

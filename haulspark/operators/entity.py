@@ -1,12 +1,10 @@
 """Entity resolution and deduplication.
 
-"First wins" comes in two plans, neither of which gathers a key's rows in one
-task.  :func:`first_per_key` (keys that mostly differ: records) is a row number
-of which only the first is kept, so every task passes on one candidate per key
-(WindowGroupLimit) before the shuffle.  :func:`first_of_few` (keys that repeat a
-lot: entities on a fact) finds each key's least order number by a fixed-width hash
-aggregate with map-side combine, joins back on (key, order number), which spreads
-a hot key's rows, and settles the ties that are left.
+"First wins" is a rank of which only the first is kept, so every task passes on one
+candidate per key (WindowGroupLimit) before the shuffle and no key's rows are gathered
+in one task.  :func:`first_per_key` is for records, :func:`first_of_few` for entities
+on a fact, whose keys repeat a lot: what is shuffled there is one row for each key and
+task, and the fact is neither shuffled nor joined with its own keys.
 """
 
 from __future__ import annotations
@@ -54,20 +52,16 @@ def first_per_key(df: DataFrame, keys: list, order: list[str]) -> DataFrame:
 
 
 def first_of_few(df: DataFrame, keys: list, order: list[str]) -> DataFrame:
-    """The same for keys that repeat a lot: for each of the leading whole-number
-    columns of ``order`` (two at most) only rows with their key's least value stay."""
+    """The same for keys that repeat a lot; in the leading whole-number columns of
+    ``order`` (two at most) a missing value comes last.  Copies of a key's first row are
+    merged by a hash aggregate, rows that differ but are equal in ``order`` settled by number."""
     kept, names = _folded(df, keys)
     kinds = dict(df.dtypes)
-    for o in order[:2]:
-        if kinds[o] not in _INTEGRAL:
-            break
-        least = kept.groupBy(*names).agg(F.min(o).alias("_least")).withColumnsRenamed({n: f"{n}_" for n in names})
-        same = F.col(o).eqNullSafe(F.col("_least"))
-        for n in names:
-            same = same & (F.col(n) == F.col(f"{n}_"))
-        kept = kept.join(least, same, "left_semi")
-    first = F.row_number().over(Window.partitionBy(*names).orderBy(*order))
-    return kept.withColumn("_rn", first).filter("_rn = 1").select(*df.columns)
+    whole = [kinds[o] in _INTEGRAL for o in order[:2]]
+    leading = len(whole) if all(whole) else whole.index(False)
+    window = Window.partitionBy(*names).orderBy(*[F.col(o).asc_nulls_last() if i < leading else F.col(o) for i, o in enumerate(order)])
+    first = kept.withColumn("_rank", F.rank().over(window)).filter("_rank = 1").drop("_rank").distinct()
+    return first.withColumn("_rn", F.row_number().over(window)).filter("_rn = 1").select(*df.columns)
 
 
 def _key_text(x) -> Column:

@@ -94,3 +94,16 @@ def test_pages_are_whole_and_none_is_shuffled(spark, tmp_path):
     pages = [[r["trip_id"] for r in json.loads(x["value"])["result"]["data"]] for x in spark.read.text(str(tmp_path / "pages")).collect()]
     assert sorted(int(i) for p in pages for i in p) == list(range(1030))
     assert sum(len(p) == 50 for p in pages) == 18 and all(int(p[0]) + i == int(x) for p in pages for i, x in enumerate(p))
+
+
+def test_first_of_few_shuffles_once_after_a_limit_per_task(spark):
+    """The fact is neither shuffled nor joined; the first row by the order, missing numbers last."""
+    from haulspark.operators import entity as U
+    rows = [(None, 0, "r0", "a"), (3, 1, "r1", "A"), (2, 5, "r2", "a"), (2, 4, "r3", "a"), (2, 4, "r3", "a"), (None, 1, "r4", "b"),
+            (9, 9, "r5", None), (9, 9, "r6", "")]
+    df = spark.createDataFrame(rows, "order_key long, line_no int, route_key string, name string").repartition(3)
+    out = U.first_of_few(df, [U._key_text("name")], ["order_key", "line_no", "route_key"])
+    assert sorted(r["route_key"] for r in out.collect()) == ["r3", "r4", "r5"]
+    plan = _plan(spark.read.parquet(f"{SF_SMALL}/lineitem.parquet").transform(
+        lambda li: U.first_of_few(li, ["l_returnflag"], ["l_orderkey", "l_linenumber"])))
+    assert "Join" not in plan and plan.count("Exchange") == 1 and "WindowGroupLimit" in plan

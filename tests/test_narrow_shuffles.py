@@ -114,3 +114,30 @@ def test_driver_names_are_not_shuffled_with_the_lines_of_other_joins(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
     lines = {k: c for k, c in moved.items() if "l_partkey" in k or "l_orderkey" in k}
     assert len(lines) == 2 and not any("s_name" in c for c in lines.values())
+
+
+def test_an_append_writes_its_rows_once_into_the_store(spark, monkeypatch):
+    names, written = [], W.written
+    for module in (W, ST):
+        monkeypatch.setattr(module, "written", lambda df, name: names.append(name) or written(df, name))
+    base = scratch_path(spark, "t-part")
+    store = ST.Store(spark, base)
+    ST.store_all(store, {"routes": spark.createDataFrame([("b", 1), ("a", 2)], "route_key string, v int")})
+    assert len(names) == 1 and names[0].startswith(base)
+    assert {r.route_key: (r.id, r.v) for r in store.read("routes").collect()} == {"a": (1, 2), "b": (2, 1)}
+
+
+def test_whole_records_are_not_sorted_for_their_ids(spark, monkeypatch):
+    """Wide rows get the ids that a plain append gives them; only their numbers and keys are sorted by ranges."""
+    seen, written = [], W.written
+    monkeypatch.setattr(W, "written", lambda df, name: seen.extend(_exchanges(df)) or written(df, name))
+    wide, plain = (ST.Store(spark, scratch_path(spark, f"t-{n}")) for n in ("wide", "plain"))
+    for k in (0, 7):
+        rows = spark.range(k, k + 20).selectExpr("id AS _row", "concat('r', id % 13) AS route_key", "if(id % 13 = 12, null, 'x') AS payload")
+        plain.append("routes", rows.drop("_row"))
+        seen.clear()
+        added = wide.append_wide("routes", rows, rows.select("_row", "route_key"), "_row")
+        assert seen and not any("payload" in columns for _, columns in seen)
+        assert added.columns == ["id", "natural_key", "route_key", "payload"]
+    assert sorted(map(str, wide.read("routes").collect())) == sorted(map(str, plain.read("routes").collect()))
+    assert wide.version("routes")[:2] == plain.version("routes")[:2] == (1, 13)

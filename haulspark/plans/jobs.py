@@ -74,25 +74,38 @@ ENDS = ("start_location", "end_location")
 ROW = "_row"  # number of a kept record
 
 
-def _located(kept: DataFrame, gazetteer: DataFrame, store: ST.Store) -> DataFrame:
-    """Both locations with the coordinates of their addresses (J7).  Only the row's
-    number and its address are joined with the known addresses, and the answers of
-    both ends come back to the records at once."""
+def _positions(kept: DataFrame, gazetteer: DataFrame, store: ST.Store) -> DataFrame | None:
+    """Where the addresses of both locations are (J7): a record's number as ``_of`` and
+    the known positions, written; None if no address is known."""
     ends = [kept.select(ROW, F.lit(s).alias("_end"), *[F.col(f"{s}.{c}").alias(c) for c in J.ADDRESS]) for s in ENDS]
     both = ends[0].unionByName(ends[1])
     J.geocode_kept(both.select(*J.ADDRESS).distinct(), gazetteer, store)
+    if not store.version("geocodes")[2]:
+        return None
+    known = store.read("geocodes").select("full_address", F.struct("latitude", "longitude").alias("_at"))
+    asked = both.select(ROW, "_end", J.full_address().alias("full_address")).filter("full_address IS NOT NULL")
+    return written(asked.join(known, "full_address").groupBy(F.col(ROW).alias("_of")).agg(
+        *[F.max(F.when(F.col("_end") == s, F.col("_at"))).alias(f"_at_{s}") for s in ENDS]), "process-positions")
+
+
+def _located(kept: DataFrame, found: DataFrame | None) -> DataFrame:
+    """Both locations with the coordinates of their addresses, which come back to the records at once."""
     none = F.lit(None).cast("struct<latitude double, longitude double>")
-    out = kept.withColumns({f"_at_{s}": none for s in ENDS})
-    if store.version("geocodes")[2]:
-        known = store.read("geocodes").select("full_address", F.struct("latitude", "longitude").alias("_at"))
-        asked = both.select(ROW, "_end", J.full_address().alias("full_address")).filter("full_address IS NOT NULL")
-        found = asked.join(known, "full_address").groupBy(F.col(ROW).alias("_of")).agg(
-            *[F.max(F.when(F.col("_end") == s, F.col("_at"))).alias(f"_at_{s}") for s in ENDS])
-        out = kept.join(found, F.col(ROW) == F.col("_of"), "left").drop("_of")
+    out = kept.withColumns({f"_at_{s}": none for s in ENDS}) if found is None else \
+        kept.join(found, F.col(ROW) == F.col("_of"), "left").drop("_of")
     return out.withColumns({s: F.struct(f"{s}.*", *[F.col(f"_at_{s}.{c}").alias(c) for c in ("latitude", "longitude")]) for s in ENDS}).drop(
         *[f"_at_{s}" for s in ENDS])
 
 
+def _places(kept: DataFrame, store: ST.Store, order: list[str]) -> DataFrame:
+    """The unique locations (U2) with the coordinates of their addresses."""
+    places = U.unique_locations(kept, list(ENDS), order)
+    if not store.version("geocodes")[2]:
+        return places.withColumns({c: F.lit(None).cast("double") for c in ("latitude", "longitude")})
+    known = store.read("geocodes").select("full_address", "latitude", "longitude")
+    return J.located(places, known, J.full_address())
+
+
 def _linked(routes: DataFrame, store: ST.Store) -> DataFrame:
     """The routes with the ids of their entities (J3): the natural keys alone are
     joined with the store's tables, a row for each link, and a record's ids come back
@@ -111,24 +124,27 @@ def process_routes(spark: SparkSession, nested: DataFrame, gazetteer: DataFrame,
     coordinates (J7), compute the metrics (M14), extract the entities (U2-U5), check
     (V17, a failure stops the job before anything is stored) and store them with ids
     (S11).  The source is read once: what is kept is written to the shared folder
-    before it fans out.  ``routes`` are linked to the stored entities' ids."""
+    before it fans out.  ``routes`` are linked to the stored entities' ids.  Positions,
+    links and the routes' own ids are found by narrow rows of a record's number and come
+    back to the records together, so whole records are shuffled twice: by their key
+    to drop repeated ones, and by their number."""
     cleaned = P.clean_nested_record(nested).filter(F.col("route_date").isNotNull())
     kept = written(U.first_per_key(cleaned, U.route_key(), order).withColumn(ROW, F.monotonically_increasing_id()), "process-kept")
-    located = written(_located(kept, gazetteer, store), "process-located")
+    found = _positions(kept, gazetteer, store)
+    locations = written(_places(kept, store, order), "process-locations")
+    checks = V.post_transform_checks(kept, locations)
+    if not checks.first()["passed"]:
+        raise ValueError("Data validation failed")
+    added = ST.store_all(store, {
+        "locations": locations, "customers": U.unique_customers(kept.select(*order, "customer.*"), order).drop(*order),
+        "drivers": U.unique_drivers(kept.select(*order, "driver.*"), order).drop(*order),
+        "vehicles": U.unique_vehicles(kept.select(*order, "vehicle.*"), order).drop(*order)})
+    located = _located(_linked(kept, store), found)
     flat = located.withColumns({
         **{f"{e}_{c[:3]}": F.col(f"{e}_location.{c}") for e in ("start", "end") for c in ("latitude", "longitude")},
         **{t: F.col(f"{t}_time") for t in ("scheduled_start", "scheduled_end", "actual_start", "actual_end")}}).drop("average_speed")
-    routes = with_route_metrics(flat, mpg_col=None, rate_col=None)
-    locations = U.unique_locations(located, ["start_location", "end_location"], order)
-    checks = V.post_transform_checks(routes, locations)
-    if not checks.first()["passed"]:
-        raise ValueError("Data validation failed")
-    entities = {
-        "locations": locations, "customers": U.unique_customers(located.select(*order, "customer.*"), order).drop(*order),
-        "drivers": U.unique_drivers(located.select(*order, "driver.*"), order).drop(*order),
-        "vehicles": U.unique_vehicles(located.select(*order, "vehicle.*"), order).drop(*order)}
-    added = ST.store_all(store, entities)
-    added["routes"] = ST.store_all(store, {"routes": _linked(routes, store).drop(ROW)})["routes"]
+    routes, ids = with_route_metrics(flat, mpg_col=None, rate_col=None), [i for _, _, i in LINKS]
+    added["routes"] = store.append_wide("routes", routes.select(*[c for c in routes.columns if c not in ids], *ids), kept, ROW)
     return {**added, "checks": checks}
 
 

@@ -99,3 +99,23 @@ def test_fixed_sum_beyond_bigint(spark):
     from pyspark.sql import functions as F
     got = spark.range(1000).agg(fixed_sum(F.lit(9.0e13)).alias("s")).first()["s"]
     assert got == 9.0e16
+
+
+def test_radius_search_decides_pairs_at_the_radius_by_their_distance(spark):
+    """The sines are taken of near pairs only; pairs that lie on the radius, equal, opposite and polar positions, any radius."""
+    import math
+    from haulspark.functions.metrics import haversine_raw
+    from haulspark.operators import geo as G
+    spots = [(40.0, -75.0), (40.0, -75.0), (40.5, -75.0), (40.0, -74.25), (40.25, -75.25), (-40.0, 105.0), (90.0, 0.0), (89.9, 170.0),
+             (-90.0, 10.0), (0.0, 180.0), (0.0, -180.0), (0.0, 179.99), (None, 1.0)]
+    points = spark.createDataFrame([(i, a, o) for i, (a, o) in enumerate(spots)], "point_id int, lat double, lon double")
+    centres = points.withColumnRenamed("point_id", "centre_id")
+    miles = {(r.c, r.p): r.d for r in centres.selectExpr("centre_id c", "lat a", "lon o").crossJoin(points.selectExpr("point_id p", "lat b", "lon q"))
+             .filter("a IS NOT NULL AND b IS NOT NULL").select("c", "p", haversine_raw("a", "o", "b", "q").alias("d")).collect()}
+    on_the_radius = miles[0, 2]
+    for radius in (0.0, 0.01, on_the_radius, math.nextafter(on_the_radius, 0), miles[0, 3], 13000.0):
+        got = {(r.centre_id, r.point_id) for r in G.within_radius(points, centres, radius).collect()}
+        assert got == {k for k, d in miles.items() if d <= radius}, radius
+    plan = G.within_radius(points, centres, 5.0)._jdf.queryExecution().optimizedPlan().toString()
+    join = next(x for x in plan.split("\n") if "Join Inner" in x and "ASIN" in x)
+    assert join.index("c_x") < join.index("ASIN")
